@@ -119,7 +119,7 @@ class ForestModel:
                     total += path[t][node]
                 yield pd.Series(np.exp2(-(total / len(feature)) / norm))
 
-        return df.withColumn("score", anomaly(F.col(FEATURES)))
+        return spread(df).withColumn("score", anomaly(F.col(FEATURES)))
 
 
 def _share(*parts: Column) -> Column:
@@ -135,21 +135,23 @@ def tree_samples(df: DataFrame, config: ForestConfig, rows: int) -> tuple[DataFr
     sample = min(config.sample, rows)
     rate = min(1.0, (sample + 10 * math.sqrt(sample) + 20) / max(1, rows))
     pool = min(1.0, max(rate, _POOL_FACTOR * config.trees * sample / max(1, rows)))
-    position = F.col(POSITION)
-    kept = df if pool >= 1.0 else df.filter(_share(position, F.lit(-1), F.lit(config.seed)) < pool)
-    drawn = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(config.trees - 1)),
-                    lambda t: F.struct(t.alias("tree"), _share(position, t, F.lit(config.seed)).alias("draw"))),
-        lambda d: d["draw"] < rate / pool)
-    return kept.select(FEATURES, F.explode(drawn).alias("d")).select("d.tree", "d.draw", FEATURES), sample
+    hashed = df.select(FEATURES, F.xxhash64(POSITION).alias("h"))
+    kept = hashed if pool >= 1.0 else hashed.filter(_share(F.col("h"), F.lit(-1), F.lit(config.seed)) < pool)
+    drawn = kept.select(FEATURES, "h", F.explode(F.sequence(F.lit(0), F.lit(config.trees - 1))).alias("tree"))
+    drawn = drawn.withColumn("draw", _share(F.col("h"), F.col("tree"), F.lit(config.seed)))
+    return drawn.filter(F.col("draw") < rate / pool).select("tree", "draw", FEATURES), sample
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work in Python when the source has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fit_forest(df: DataFrame, config: ForestConfig = ForestConfig(), rows: int | None = None) -> ForestModel:
     """Grow all trees; each group handed to Python holds one subsample."""
     rows = df.count() if rows is None else rows
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    samples, size = tree_samples(df, config, rows)
+    samples, size = tree_samples(spread(df), config, rows)
     depth, seed = depth_for(size), config.seed
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

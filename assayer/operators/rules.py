@@ -270,14 +270,15 @@ def _tally(df: DataFrame, rules: list[RowRule]) -> DataFrame:
 
 
 def row_findings(df: DataFrame, rules: list[RowRule], table: str) -> DataFrame:
-    """One row per failing row and rule; rows that pass everything leave the plan at once."""
+    """One row per failing row and rule."""
     marks = [
         F.when(rule.failing(), F.struct(F.lit(rule.column).cast("string").alias("column"),
                                         F.lit(rule.rule_id).alias("rule_id"),
                                         F.lit(rule.dimension).alias("dimension")))
         for rule in rules
     ]
+    # an outer explode: the inner one would evaluate all rules a second time in a filter below it
     return df.select(
         F.lit(table).alias("table"), F.col(ROW_KEY).alias("row_key"), F.col(POSITION),
-        F.explode(F.array_compact(F.array(*marks))).alias("m"),
-    ).select("table", "row_key", "m.column", "m.rule_id", "m.dimension", POSITION)
+        F.explode_outer(F.array_compact(F.array(*marks))).alias("m"),
+    ).filter(F.col("m").isNotNull()).select("table", "row_key", "m.column", "m.rule_id", "m.dimension", POSITION)

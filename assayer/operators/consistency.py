@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.functions.coerce import as_number, as_text, column, missing
-from assayer.operators.rules import ratio_score, result_row
+from assayer.operators.rules import Rule, rule_counts
 from assayer.operators.skew import rows_of_groups
 from assayer.operators.uniqueness import finding_rows
 from assayer.plans.profile import CrossRule, Profile
@@ -101,18 +101,22 @@ def _total_groups(df: DataFrame, rule: CrossRule, ref: Reference) -> tuple[DataF
 _KINDS = {"foreign_key": _foreign_key_groups, "lookup_match": _lookup_groups, "group_total": _total_groups}
 
 
-def consistency_results(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[DataFrame]:
-    results = []
+def reference_rules(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[Rule]:
+    return [Rule(f"consistency.{r.id}", "consistency", r.column, r.description, r.impact,
+                 detail={"ref_table": r.ref_table, "ref_column": r.ref_column})
+            for r in applicable(df, profile, refs)]
+
+
+def reference_counts(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[DataFrame]:
+    """Counts of :func:`reference_rules`."""
+    parts = []
     for rule in applicable(df, profile, refs):
         _, _, judged = _KINDS[rule.kind](df, rule, refs[rule.ref_table])
         counted = judged.agg(
             F.coalesce(F.sum(F.when(F.col("__checked"), F.col(COPIES))), F.lit(0)).alias("c"),
             F.coalesce(F.sum(F.when(F.col("__failed"), F.col(COPIES))), F.lit(0)).alias("f"))
-        results.append(counted.select(result_row(
-            f"consistency.{rule.id}", "consistency", rule.column, rule.description, F.col("c"), F.col("f"),
-            ratio_score(F.col("c"), F.col("f")), rule.impact, 1.0,
-            {"ref_table": rule.ref_table, "ref_column": rule.ref_column}).alias("r")).select("r.*"))
-    return results
+        parts.append(rule_counts(counted, [(f"consistency.{rule.id}", "c", "f")]))
+    return parts
 
 
 def consistency_findings(

@@ -12,6 +12,7 @@ from assayer.operators.identity import POSITION, ROW_KEY
 from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
 from assayer.plans import severity as S
 from assayer.plans.profile import Profile
+from assayer.session import small_table
 
 ISSUE_SCHEMA = (
     "issue_id string, severity string, severity_score double, source string, dimension string, rule_id string, "
@@ -190,7 +191,7 @@ def anomaly_issues(
                      f"{rest:,} further records exceeded the anomaly threshold but were not listed individually "
                      f"(register capped at {max_issues}).", S.TRUNCATED_ACTION, [],
                      json.dumps({"n_truncated": rest})))
-    return spark.createDataFrame(rows, ISSUE_SCHEMA).coalesce(1)
+    return small_table(spark, rows, ISSUE_SCHEMA)
 
 
 # --- the register -----------------------------------------------------------------------
@@ -210,9 +211,9 @@ def prioritized(parts: list[DataFrame]) -> DataFrame:
 
 def severity_counts(issues: DataFrame) -> DataFrame:
     """Issues per level, all four levels present."""
-    levels = issues.sparkSession.createDataFrame([(i, s) for i, s in enumerate(S.LEVELS)], "rank int, severity string")
+    levels = small_table(issues.sparkSession, list(enumerate(S.LEVELS)), "rank int, severity string")
     counted = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
-    return levels.coalesce(1).join(F.broadcast(counted), "severity", "left").orderBy("rank").select(
+    return levels.join(F.broadcast(counted), "severity", "left").orderBy("rank").select(
         "severity", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_issues"))
 
 

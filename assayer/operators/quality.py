@@ -7,15 +7,19 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.operators.consistency import Reference, as_references, consistency_findings, consistency_results
+from assayer.operators.consistency import (
+    Reference, as_references, consistency_findings, reference_counts, reference_rules,
+)
 from assayer.operators.identity import data_columns, with_identity
 from assayer.operators.order_stats import IN_MEMORY_ROWS
 from assayer.operators.plausibility import OutlierFit, fit_outliers, outlier_rules
 from assayer.operators.rules import (
-    FINDING_COLUMNS, RESULT_SCHEMA, RowRule, completeness_rules, expression_rules, row_findings, tally, validity_rules,
+    FINDING_COLUMNS, RESULT_SCHEMA, Rule, RowRule, completeness_rules, expression_rules, row_findings, rule_results,
+    tally, validity_rules,
 )
-from assayer.operators.uniqueness import uniqueness_findings, uniqueness_results
+from assayer.operators.uniqueness import uniqueness_counts, uniqueness_findings, uniqueness_rules
 from assayer.plans.profile import Profile
+from assayer.session import small_table
 
 
 @dataclass
@@ -65,18 +69,23 @@ class QualityRun:
         ]
 
     @cached_property
-    def lazy_results(self) -> DataFrame:
-        """One row per rule, as a plan: one scan for row rules, one grouping per key or reference."""
+    def rules(self) -> list[Rule]:
+        df = self.batch
+        return [*self.row_rules, *uniqueness_rules(df, self.profile), *reference_rules(df, self.profile, self.refs)]
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Rows checked and failed per rule: one scan for row rules, one grouping per key or reference."""
         parts = [tally(self.batch, self.row_rules)] if self.row_rules else []
-        parts += uniqueness_results(self.batch, self.profile, self.total_rows)
-        parts += consistency_results(self.batch, self.profile, self.refs)
+        parts += uniqueness_counts(self.batch, self.profile, self.total_rows)
+        parts += reference_counts(self.batch, self.profile, self.refs)
         return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def results(self) -> DataFrame:
-        """The same rows evaluated once; there are as many as the profile has rules."""
-        spark = self.batch.sparkSession
-        return spark.createDataFrame(self.lazy_results.collect(), RESULT_SCHEMA).coalesce(1)
+        """One row per rule, evaluated once; there are as many as the profile has rules."""
+        rows = rule_results(self.counts, self.rules).collect()
+        return small_table(self.batch.sparkSession, [tuple(r) for r in rows], RESULT_SCHEMA)
 
     @cached_property
     def positioned_findings(self) -> DataFrame:

@@ -17,10 +17,15 @@ from assayer.functions.coerce import as_number, as_text, as_timestamp, coerced,
 from assayer.functions.predicates import operands, predicate
 from assayer.operators.identity import POSITION, ROW_KEY
 from assayer.plans.profile import ColumnSpec, CrossRule, Profile
+from assayer.session import small_table
 
 # counters per aggregate: two per rule, kept well inside the generated-code limit
 RULES_PER_SCAN = 150
 
+INFO_SCHEMA = (
+    "rule_id string, dimension string, column string, description string, impact double, weight double, "
+    "tolerance double, always_zero boolean, drop_if_unchecked boolean, detail map<string,string>"
+)
 RESULT_SCHEMA = (
     "rule_id string, dimension string, column string, description string, n_checked bigint, n_failed bigint, "
     "score double, impact double, weight double, detail map<string,string>"
@@ -29,66 +34,86 @@ FINDING_COLUMNS = ["table", "row_key", "column", "rule_id", "dimension"]
 
 
 @dataclass(frozen=True)
-class RowRule:
-    """A rule decided by one row: was it checked, and did it fail?"""
+class Rule:
+    """What is known of a rule before any row is read."""
 
     rule_id: str
     dimension: str
     column: str | None
     description: str
     impact: float
-    weight: float
-    failed: Column
-    checked: Column | None = None  # None: every row
+    weight: float = 1.0
     tolerance: float | None = None
     always_zero: bool = False
     drop_if_unchecked: bool = False
     detail: dict[str, object] = field(default_factory=dict)
 
+    def as_row(self) -> tuple:
+        shown = {k: _shown(v) for k, v in self.detail.items()}
+        return (self.rule_id, self.dimension, self.column, self.description, float(self.impact), float(self.weight),
+                self.tolerance, self.always_zero, self.drop_if_unchecked, shown)
+
+
+@dataclass(frozen=True, kw_only=True)
+class RowRule(Rule):
+    """A rule decided by one row: was it checked, and did it fail?"""
+
+    failed: Column
+    checked: Column | None = None  # None: every row
+
     def failing(self) -> Column:
         held = self.failed if self.checked is None else self.checked & self.failed
         return F.coalesce(held, F.lit(False))
 
 
-def ratio_score(checked: Column, failed: Column) -> Column:
-    """1 - failed / checked, and 1 when nothing was checked; always inside [0, 1]."""
-    score = F.when(checked > 0, 1 - failed / checked).otherwise(F.lit(1.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-
-
-def result_row(
-    rule_id: str, dimension: str, col: str | None, description: Column | str, checked: Column, failed: Column,
-    score: Column, impact: float, weight: float, detail: dict[str, object],
-) -> Column:
-    entries = [x for k, v in detail.items() for x in (F.lit(k), _shown(v))]
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(dimension).alias("dimension"),
-        F.lit(col).cast("string").alias("column"),
-        (F.lit(description) if isinstance(description, str) else description).alias("description"),
-        checked.cast("bigint").alias("n_checked"),
-        failed.cast("bigint").alias("n_failed"),
-        score.cast("double").alias("score"),
-        F.lit(float(impact)).alias("impact"),
-        F.lit(float(weight)).alias("weight"),
-        (F.create_map(*entries) if entries else F.create_map()).cast("map<string,string>").alias("detail"),
-    )
-
-
-def _shown(value: object) -> Column:
-    if isinstance(value, Column):
-        return value.cast("string")
+def _shown(value: object) -> str | None:
     if isinstance(value, (list, tuple)):
-        return F.lit("[" + ", ".join(str(v) for v in value) + "]")
+        return "[" + ", ".join(str(v) for v in value) + "]"
     if isinstance(value, bool):
-        return F.lit(str(value).lower())
-    return F.lit(None if value is None else str(value)).cast("string")
+        return str(value).lower()
+    return None if value is None else str(value)
 
 
 def percent(share: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f%%", F.bround(share * 100, digits))
 
 
+def rule_counts(counted: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(rule_id, n_checked, n_failed) rows from one row of counters; ``rules`` holds SQL over its columns."""
+    cells = ", ".join(f"{_text(i)}, CAST({c} AS BIGINT), CAST({f} AS BIGINT)" for i, c, f in rules)
+    return counted.selectExpr(f"stack({len(rules)}, {cells}) AS (rule_id, n_checked, n_failed)")
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def rule_results(counts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Scores and texts for counted rules.
+
+    The score is 1 - failed / checked, and 1 when nothing was checked. A
+    tolerance moves its zero point; validity rules without a checked row vanish.
+    """
+    info = small_table(counts.sparkSession, [r.as_row() for r in rules], INFO_SCHEMA)
+    both = counts.join(F.broadcast(info), "rule_id")
+    both = both.filter(~F.col("drop_if_unchecked") | (F.col("n_checked") > 0))
+    tolerance = F.col("tolerance")
+    rate = F.when(F.col("n_checked") > 0, F.col("n_failed") / F.col("n_checked")).otherwise(F.lit(0.0))
+    over = F.greatest(F.lit(0.0), rate - tolerance) / F.greatest(F.lit(1e-9), 1 - tolerance)
+    score = F.when(F.col("always_zero"), 0.0).when(tolerance.isNotNull(), 1 - over).otherwise(1 - rate)
+    nulls = F.concat(F.lit("'"), F.col("column"), F.lit("' is "), percent(rate), F.lit(" null (tolerance "),
+                     percent(tolerance), F.lit(")"))
+    extra = F.map_concat("detail", F.create_map(F.lit("null_rate"), rate.cast("string"), F.lit("tolerance"),
+                                                tolerance.cast("string")))
+    return both.select(
+        "rule_id", "dimension", "column",
+        F.when(tolerance.isNotNull(), nulls).otherwise(F.col("description")).alias("description"),
+        "n_checked", "n_failed",
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"), "impact", "weight",
+        F.when(tolerance.isNotNull(), extra).otherwise(F.col("detail")).alias("detail"))
+
+
 # --- the rules of one column ------------------------------------------------------------
 
 
@@ -234,7 +259,7 @@ def _expression_rule(df: DataFrame, rule: CrossRule, names: list[str], numeric:
 
 
 def tally(df: DataFrame, rules: list[RowRule]) -> DataFrame:
-    """One result row per rule, from one scan per ``RULES_PER_SCAN`` rules."""
+    """Counts of all rules, from one scan per ``RULES_PER_SCAN`` rules."""
     parts = [rules[i:i + RULES_PER_SCAN] for i in range(0, len(rules), RULES_PER_SCAN)]
     return reduce(DataFrame.unionByName, [_tally(df, part) for part in parts])
 
@@ -245,28 +270,8 @@ def _tally(df: DataFrame, rules: list[RowRule]) -> DataFrame:
         if rule.checked is not None:
             counters.append(F.count_if(rule.checked).alias(f"c{i}"))
         counters.append(F.count_if(rule.failing()).alias(f"f{i}"))
-    counted = df.agg(*counters)
-    rows = []
-    for i, rule in enumerate(rules):
-        checked = F.col("rows") if rule.checked is None else F.col(f"c{i}")
-        failed = F.col(f"f{i}")
-        description: Column | str = rule.description
-        score = ratio_score(checked, failed)
-        detail = dict(rule.detail)
-        if rule.always_zero:
-            score = F.lit(0.0)
-        if rule.tolerance is not None:
-            rate = F.when(checked > 0, failed / checked).otherwise(F.lit(0.0))
-            spare = max(1e-9, 1.0 - rule.tolerance)
-            excess = F.greatest(F.lit(0.0), rate - rule.tolerance)
-            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - excess / spare))
-            description = F.concat(F.lit(f"'{rule.column}' is "), percent(rate), F.lit(" null (tolerance "),
-                                   percent(F.lit(float(rule.tolerance))), F.lit(")"))
-            detail |= {"null_rate": rate, "tolerance": rule.tolerance}
-        row = result_row(rule.rule_id, rule.dimension, rule.column, description, checked, failed, score,
-                         rule.impact, rule.weight, detail)
-        rows.append(F.when(checked > 0, row) if rule.drop_if_unchecked else row)
-    return counted.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+    return rule_counts(df.agg(*counters), [
+        (rule.rule_id, "rows" if rule.checked is None else f"c{i}", f"f{i}") for i, rule in enumerate(rules)])
 
 
 def row_findings(df: DataFrame, rules: list[RowRule], table: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.operators.uniqueness import KEY_RULE
 from assayer.plans.profile import DIMENSIONS, Profile
+from assayer.session import small_table
 
 # Floor under the logarithm, grade bands and the cap for a failed dimension.
 SCORE_FLOOR = 0.01
@@ -16,9 +17,9 @@ COLLAPSED = 0.50
 def dimension_scores(results: DataFrame, profile: Profile) -> DataFrame:
     """Weighted mean score per dimension; a dimension without rules has weight 0."""
     spark = results.sparkSession
-    fixed = spark.createDataFrame(
-        [(i, d, float(profile.weights.get(d, 0.0))) for i, d in enumerate(DIMENSIONS)],
-        "rank int, dimension string, declared double").coalesce(1)
+    fixed = small_table(
+        spark, [(i, d, float(profile.weights.get(d, 0.0))) for i, d in enumerate(DIMENSIONS)],
+        "rank int, dimension string, declared double")
     scored = results.groupBy("dimension").agg(
         (F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("s"),
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_failed") > 0).alias("bad"))

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
+from assayer.session import small_table
 
 REVIEW_BUDGET = 0.005
 BUDGET_SWEEP = (0.001, 0.005, 0.01, 0.02)
@@ -21,10 +22,8 @@ class Threshold:
     is_oracle: bool = False
 
     def as_row(self, spark: SparkSession) -> DataFrame:
-        fields = asdict(self)
-        return spark.createDataFrame(
-            [tuple(fields.values())],
-            "name string, value double, rule string, expected_flag_rate double, is_oracle boolean").coalesce(1)
+        return small_table(spark, [tuple(asdict(self).values())],
+                           "name string, value double, rule string, expected_flag_rate double, is_oracle boolean")
 
 
 def review_budgets(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.coerce import column, missing
 from assayer.operators.identity import POSITION, ROW_KEY, data_columns
-from assayer.operators.rules import ratio_score, result_row
+from assayer.operators.rules import Rule, rule_counts
 from assayer.operators.skew import rows_of_groups
 from assayer.plans.profile import ColumnSpec, Profile
 
@@ -56,37 +56,44 @@ def equal_rows(df: DataFrame, profile: Profile, total_rows: int, first: bool = F
     return grouped.filter(F.col(COPIES) > 1)
 
 
-def _summary(groups: DataFrame, failed: Column, rule: tuple, total_rows: int) -> DataFrame:
-    rule_id, col, description, impact, weight, detail = rule
-    counted = groups.agg(F.coalesce(F.sum(failed), F.lit(0)).alias("failed"))
-    checked = F.lit(total_rows)
-    return counted.select(
-        result_row(rule_id, "uniqueness", col, description, checked, F.col("failed"),
-                   ratio_score(checked, F.col("failed")), impact, weight, detail).alias("r")
-    ).select("r.*")
-
-
 def _unique_columns(df: DataFrame, profile: Profile) -> list[ColumnSpec]:
     return [c for c in profile.columns if c.unique and c.name in df.columns]
 
 
-def uniqueness_results(df: DataFrame, profile: Profile, total_rows: int) -> list[DataFrame]:
+def _unique_id(name: str) -> str:
+    return f"expect_column_values_to_be_unique.{name}"
+
+
+def uniqueness_rules(df: DataFrame, profile: Profile) -> list[Rule]:
+    rules = [Rule(ROW_RULE, "uniqueness", None, "Rows must not be exact duplicates of one another", 0.7)]
+    keys = key_columns(df, profile)
+    if keys:
+        rules.append(Rule(KEY_RULE, "uniqueness", ",".join(keys),
+                          f"Primary key {keys} must identify at most one row", 1.0, 2.0,
+                          detail={"primary_key": keys}))
+    return rules + [Rule(_unique_id(c.name), "uniqueness", c.name, f"'{c.name}' must be unique", 0.8, c.weight)
+                    for c in _unique_columns(df, profile)]
+
+
+def uniqueness_counts(df: DataFrame, profile: Profile, total_rows: int) -> list[DataFrame]:
+    """Counts of :func:`uniqueness_rules`; a unique column that is also the key shares the key's grouping."""
+    total = str(total_rows)
+
+    def counted(groups: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        sums = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"f{i}") for i, c in enumerate(rules.values())])
+        return rule_counts(sums, [(r, total, f"f{i}") for i, r in enumerate(rules)])
+
     copies = F.col(COPIES)
-    results = [_summary(equal_rows(df, profile, total_rows), copies - 1,
-                        (ROW_RULE, None, "Rows must not be exact duplicates of one another", 0.7, 1.0, {}),
-                        total_rows)]
+    parts = [counted(equal_rows(df, profile, total_rows), {ROW_RULE: copies - 1})]
     keys = key_columns(df, profile)
+    alone = [c.name for c in _unique_columns(df, profile)]
     if keys:
-        results.append(_summary(
-            colliding_keys(df, keys), copies,
-            (KEY_RULE, ",".join(keys), f"Primary key {keys} must identify at most one row", 1.0, 2.0,
-             {"primary_key": keys}), total_rows))
-    for spec in _unique_columns(df, profile):
-        results.append(_summary(
-            colliding_values(df, spec.name), copies,
-            (f"expect_column_values_to_be_unique.{spec.name}", spec.name, f"'{spec.name}' must be unique", 0.8,
-             spec.weight, {}), total_rows))
-    return results
+        rules = {KEY_RULE: copies}
+        if len(keys) == 1 and keys[0] in alone:
+            alone.remove(keys[0])
+            rules[_unique_id(keys[0])] = F.when(~missing(column(keys[0]), df.schema[keys[0]].dataType), copies)
+        parts.append(counted(colliding_keys(df, keys), rules))
+    return parts + [counted(colliding_values(df, name), {_unique_id(name): copies}) for name in alone]
 
 
 def finding_rows(rows: DataFrame, table: str, rule_id: str, dimension: str, col: str | None) -> DataFrame:
@@ -106,6 +113,5 @@ def uniqueness_findings(df: DataFrame, profile: Profile, table: str, total_rows:
         parts.append(finding_rows(hit, table, KEY_RULE, "uniqueness", ",".join(keys)))
     for spec in _unique_columns(df, profile):
         hit = rows_of_groups(df, colliding_values(df, spec.name), [spec.name], COPIES, total_rows)
-        parts.append(finding_rows(hit, table, f"expect_column_values_to_be_unique.{spec.name}", "uniqueness",
-                                  spec.name))
+        parts.append(finding_rows(hit, table, _unique_id(spec.name), "uniqueness", spec.name))
     return parts

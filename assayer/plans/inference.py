@@ -8,6 +8,7 @@ from assayer.functions.coerce import as_number, column, missing
 from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.profile import ColumnSpec, Profile, detect_profile
+from assayer.session import small_table
 
 # Fixed values of the inference.
 NULL_SLACK = 0.02
@@ -104,7 +105,7 @@ def profile_table(spark: SparkSession, profile: Profile) -> DataFrame:
          c.name in profile.outlier_columns, c.name in profile.primary_key)
         for i, c in enumerate(profile.columns)
     ]
-    return spark.createDataFrame(rows, PROFILE_SCHEMA).coalesce(1)
+    return small_table(spark, rows, PROFILE_SCHEMA)
 
 
 def resolve_profile(

@@ -1,10 +1,13 @@
-"""Session defaults and the shared folder used to cut lineage."""
+"""Session defaults, and tables written to the shared folder to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def local_session(cores: int | str = "*", app: str = "assayer", **conf: str) -> SparkSession:
@@ -26,20 +29,43 @@ def local_session(cores: int | str = "*", app: str = "assayer", **conf: str) ->
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only a local master may fall back to /tmp."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; only a local master may fall back to a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="assayer-checkpoint-")
-    context.setCheckpointDir(shared)
+    if context.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+            shared = tempfile.mkdtemp(prefix="assayer-checkpoint-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so that every later read sees the same rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and read it from there.
+
+    Every later pass sees the same rows, also after executors are lost, and reads
+    only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_settled(spark: SparkSession) -> None:
+    """Remove this application's written tables, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/settled-*")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(path) or []:
+        system.delete(status.getPath(), True)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A bounded table from driver values: settings, rule lists, one-row results."""
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [[] for _ in kind.fields]
+    return spark.createDataFrame(
+        pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow), schema=kind)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.operators.features import Scaler
 from assayer.operators.forest import ForestModel
 from assayer.operators.reconstruct import AutoencoderConfig, AutoencoderModel
+from assayer.session import small_table
 
 _PARAMETERS = "part string, settings string, numbers array<double>"
 
@@ -41,9 +42,9 @@ def save_bundle(spark: SparkSession, bundle: ModelBundle, folder: str) -> None:
         rows.append(("forest", json.dumps({"sample": f.sample, "depth": f.depth}), []))
         trees = [(i, bytes(a.tobytes()), bytes(b.tobytes()), bytes(c.tobytes()))
                  for i, (a, b, c) in enumerate(zip(f.feature, f.threshold, f.path))]
-        spark.createDataFrame(trees, "tree int, feature binary, threshold binary, path binary").write.mode(
+        small_table(spark, trees, "tree int, feature binary, threshold binary, path binary").write.mode(
             "overwrite").parquet(f"{folder}/trees")
-    spark.createDataFrame(rows, _PARAMETERS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/parameters")
+    small_table(spark, rows, _PARAMETERS).write.mode("overwrite").parquet(f"{folder}/parameters")
     if bundle.calibration is not None:
         write_scores(bundle.calibration, f"{folder}/calibration_scores")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.hashing import uniform
 from assayer.operators import explore, metrics
-from assayer.operators.consistency import as_references, consistency_results
+from assayer.operators.consistency import as_references, reference_counts, reference_rules
 from assayer.operators.defects import changed_cells, inject_defects
 from assayer.operators.features import Scaler, card_features, normals, plain_features, temporal_split
 from assayer.operators.forest import ForestConfig, fit_forest
@@ -21,19 +21,19 @@ from assayer.operators.issues import (
 from assayer.operators.plausibility import fit_outliers, outlier_rules
 from assayer.operators.quality import QualityRun
 from assayer.operators.reconstruct import AutoencoderConfig, fit_autoencoder, fit_pca
-from assayer.operators.rules import completeness_rules, expression_rules, tally, validity_rules
+from assayer.operators.rules import RowRule, completeness_rules, expression_rules, rule_results as scored_rules, tally, validity_rules
 from assayer.operators.scoring import dimension_table, quality_summary
 from assayer.operators.supervised import fit_logistic
 from assayer.operators.thresholds import (
     BUDGET_SWEEP, best_f1, caught, flagged, review_budget, review_budgets, train_percentile,
 )
-from assayer.operators.uniqueness import uniqueness_results
+from assayer.operators.uniqueness import KEY_RULE, ROW_RULE, uniqueness_counts, uniqueness_rules
 from assayer.plans.audit import AuditConfig, audit_batch, score_with_fallback
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.inference import infer_profile, profile_table
 from assayer.plans.measure import Measurement, measure_rules
 from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile
-from assayer.session import settled
+from assayer.session import settled, small_table
 from assayer.sources.tables import Contract, checked_contract, most_recent
 from workload import bindings as B
 
@@ -61,6 +61,10 @@ def results(df: DataFrame) -> DataFrame:
     return rounded(df.select(*RESULT))
 
 
+def row_results(df: DataFrame, rules: list[RowRule]) -> DataFrame:
+    return results(scored_rules(tally(df, rules), rules))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -81,14 +85,14 @@ def header_run(spark: SparkSession, folder: str) -> QualityRun:
 @query("completeness_scores")
 def completeness_scores(spark: SparkSession, folder: str) -> DataFrame:
     df = B.dirty_headers(spark, folder)
-    return results(tally(df, completeness_rules(df, B.HEADERS)))
+    return row_results(df, completeness_rules(df, B.HEADERS))
 
 
 def _validity(family: str) -> Query:
     def body(spark: SparkSession, folder: str) -> DataFrame:
         df = B.dirty_headers(spark, folder)
         rules = [r for r in validity_rules(df, B.HEADERS, today()) if r.rule_id.startswith(family + ".")]
-        return results(tally(df, rules))
+        return row_results(df, rules)
 
     return body
 
@@ -106,27 +110,29 @@ for _name, _family in (
 def _uniqueness(rule: str) -> Query:
     def body(spark: SparkSession, folder: str) -> DataFrame:
         df = B.dirty_headers(spark, folder)
-        parts = uniqueness_results(df, B.HEADERS, df.count())
-        return results(parts[("rows", "key", "column").index(rule)])
+        rows, keyed = uniqueness_counts(df, B.HEADERS, df.count())
+        scored = scored_rules(rows if rule == ROW_RULE else keyed, uniqueness_rules(df, B.HEADERS))
+        return results(scored.filter(F.col("rule_id").startswith(rule)))
 
     return body
 
 
-QUERIES["row_duplicates"] = _uniqueness("rows")
-QUERIES["primary_key_collisions"] = _uniqueness("key")
-QUERIES["column_uniqueness"] = _uniqueness("column")
+QUERIES["row_duplicates"] = _uniqueness(ROW_RULE)
+QUERIES["primary_key_collisions"] = _uniqueness(KEY_RULE)
+QUERIES["column_uniqueness"] = _uniqueness("expect_column_values_to_be_unique")
 
 
 @query("lineitem_key_collisions")
 def lineitem_key_collisions(spark: SparkSession, folder: str) -> DataFrame:
     df = B.table(spark, folder, "lineitem")
-    return results(uniqueness_results(df, B.LINEITEM, df.count())[1])
+    counts = uniqueness_counts(df, B.LINEITEM, df.count())[1]
+    return results(scored_rules(counts, uniqueness_rules(df, B.LINEITEM)))
 
 
 @query("expression_consistency")
 def expression_consistency(spark: SparkSession, folder: str) -> DataFrame:
     df = B.dirty_headers(spark, folder)
-    return results(tally(df, expression_rules(df, B.HEADERS)))
+    return row_results(df, expression_rules(df, B.HEADERS))
 
 
 def _consistency(kind: str) -> Query:
@@ -134,7 +140,7 @@ def _consistency(kind: str) -> Query:
         df = B.dirty_headers(spark, folder)
         profile = B.HEADERS.with_(rules=[r for r in B.HEADERS.rules if r.kind == kind])
         refs = as_references({"customer": B.table(spark, folder, "customer")})
-        return results(union(consistency_results(df, profile, refs)))
+        return results(scored_rules(union(reference_counts(df, profile, refs)), reference_rules(df, profile, refs)))
 
     return body
 
@@ -154,7 +160,8 @@ def header_totals(spark: SparkSession, folder: str) -> DataFrame:
                      column="total", local_key="order_id", ref_table="lines", ref_key="l_orderkey",
                      ref_column="l_extendedprice")
     profile = Profile("heads", columns=(ColumnSpec("order_id"), ColumnSpec("total")), rules=(rule,))
-    return results(union(consistency_results(heads, profile, as_references({"lines": lines}))))
+    refs = as_references({"lines": lines})
+    return results(scored_rules(union(reference_counts(heads, profile, refs)), reference_rules(heads, profile, refs)))
 
 
 @query("ship_before_order")
@@ -166,12 +173,13 @@ def ship_before_order(spark: SparkSession, folder: str) -> DataFrame:
         "shipping", columns=(ColumnSpec("l_shipdate", "datetime"), ColumnSpec("o_orderdate", "datetime")),
         rules=(CrossRule("shipped_after_order", "expression", "Lines ship after their order", 0.8,
                          expression="l_shipdate >= o_orderdate"),))
-    return results(tally(df, expression_rules(df, profile)))
+    return row_results(df, expression_rules(df, profile))
 
 
 def _outliers(df: DataFrame, name: str, cut: float) -> DataFrame:
     profile = Profile("values", outlier_columns=(name,), outlier_cut=cut)
-    counted = tally(df, outlier_rules(df, fit_outliers(df, profile)))
+    rules = outlier_rules(df, fit_outliers(df, profile))
+    counted = scored_rules(tally(df, rules), rules)
     return counted.select(
         "rule_id", "n_checked", "n_failed", F.round("score", 6).alias("score"),
         F.round(F.col("detail")["median"].cast("double"), 6).alias("median"),
@@ -272,7 +280,10 @@ def anomaly_summary_row(spark: SparkSession, folder: str) -> DataFrame:
     s = anomaly_summary(scores, threshold.value, threshold.rule, "price")
     names = ["model", "n_scored", "n_flagged", "flag_rate", "threshold_value", "threshold_rule", "score_median",
              "score_max"]
-    return rounded(spark.createDataFrame([tuple(s[n] for n in names)], names).coalesce(1))
+    return rounded(small_table(
+        spark, [tuple(s[n] for n in names)],
+        "model string, n_scored bigint, n_flagged bigint, flag_rate double, threshold_value double, "
+        "threshold_rule string, score_median double, score_max double"))
 
 
 # --- profiles ---------------------------------------------------------------------------
@@ -355,7 +366,7 @@ def scaler_parameters(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted on the normal rows only."""
     scaler = Scaler.fit(normals(B.card_rows(spark, folder), "Class"), card_features())
     rows = list(zip(scaler.names, scaler.means, scaler.deviations))
-    return rounded(spark.createDataFrame(rows, "feature string, mean double, deviation double").coalesce(1))
+    return rounded(small_table(spark, rows, "feature string, mean double, deviation double"))
 
 
 @query("temporal_split_counts")

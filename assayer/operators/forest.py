@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.operators.features import FEATURES
 from assayer.operators.identity import POSITION
+from assayer.session import spread
 
 _EULER = 0.5772156649015329
 _TREE = "tree int, feature binary, threshold binary, path binary"
@@ -142,12 +143,6 @@ def tree_samples(df: DataFrame, config: ForestConfig, rows: int) -> tuple[DataFr
     return drawn.filter(F.col("draw") < rate / pool).select("tree", "draw", FEATURES), sample
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for work in Python when the source has fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fit_forest(df: DataFrame, config: ForestConfig = ForestConfig(), rows: int | None = None) -> ForestModel:
     """Grow all trees; each group handed to Python holds one subsample."""
     rows = df.count() if rows is None else rows

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer.functions.coerce import column, missing
 from assayer.operators.identity import POSITION, ROW_KEY, data_columns
 from assayer.operators.rules import Rule, rule_counts
-from assayer.operators.skew import rows_of_groups
+from assayer.operators.skew import fixed_groups, rows_of_groups
 from assayer.plans.profile import ColumnSpec, Profile
 
 ROW_RULE = "expect_table_rows_to_be_unique"
@@ -36,21 +36,28 @@ def colliding_values(df: DataFrame, name: str) -> DataFrame:
     return colliding_keys(df.filter(~missing(column(name), df.schema[name].dataType)), [name])
 
 
-def _suspects(df: DataFrame, profile: Profile, total_rows: int) -> DataFrame:
+def _suspects(df: DataFrame, profile: Profile, total_rows: int, colliding: DataFrame | None) -> DataFrame:
     """Rows that may equal another row: equal rows always share their key and their hash."""
     columns = data_columns(df)
-    keys = key_columns(df, profile)
-    if keys:
-        return rows_of_groups(df, colliding_keys(df, keys), keys, COPIES, total_rows).drop(COPIES)
+    if colliding is not None:
+        return rows_of_groups(df, colliding, key_columns(df, profile), COPIES, total_rows).drop(COPIES)
     hashed = df.withColumn("__h1", F.xxhash64(*[column(c) for c in columns])).withColumn(
         "__h2", F.xxhash64(F.lit(17), *[column(c) for c in reversed(columns)]))
-    groups = colliding_keys(hashed, ["__h1", "__h2"])
+    groups = fixed_groups(colliding_keys(hashed, ["__h1", "__h2"]), total_rows)
     return rows_of_groups(hashed, groups, ["__h1", "__h2"], COPIES, total_rows).drop("__h1", "__h2", COPIES)
 
 
-def equal_rows(df: DataFrame, profile: Profile, total_rows: int, first: bool = False) -> DataFrame:
+def _colliding(df: DataFrame, profile: Profile, total_rows: int) -> DataFrame | None:
+    """Colliding primary keys, or nothing for a table without a key."""
+    keys = key_columns(df, profile)
+    return fixed_groups(colliding_keys(df, keys), total_rows) if keys else None
+
+
+def equal_rows(
+    df: DataFrame, profile: Profile, total_rows: int, colliding: DataFrame | None, first: bool = False
+) -> DataFrame:
     """Groups of fully equal rows; ``first`` adds the smallest position of each group."""
-    suspects = _suspects(df, profile, total_rows)
+    suspects = _suspects(df, profile, total_rows, colliding)
     extra = [F.min(POSITION).alias("__first")] if first else []
     grouped = suspects.groupBy(*[column(c) for c in data_columns(df)]).agg(F.count(F.lit(1)).alias(COPIES), *extra)
     return grouped.filter(F.col(COPIES) > 1)
@@ -84,7 +91,8 @@ def uniqueness_counts(df: DataFrame, profile: Profile, total_rows: int) -> list[
         return rule_counts(sums, [(r, total, f"f{i}") for i, r in enumerate(rules)])
 
     copies = F.col(COPIES)
-    parts = [counted(equal_rows(df, profile, total_rows), {ROW_RULE: copies - 1})]
+    colliding = _colliding(df, profile, total_rows)
+    parts = [counted(equal_rows(df, profile, total_rows, colliding), {ROW_RULE: copies - 1})]
     keys = key_columns(df, profile)
     alone = [c.name for c in _unique_columns(df, profile)]
     if keys:
@@ -92,7 +100,7 @@ def uniqueness_counts(df: DataFrame, profile: Profile, total_rows: int) -> list[
         if len(keys) == 1 and keys[0] in alone:
             alone.remove(keys[0])
             rules[_unique_id(keys[0])] = F.when(~missing(column(keys[0]), df.schema[keys[0]].dataType), copies)
-        parts.append(counted(colliding_keys(df, keys), rules))
+        parts.append(counted(colliding, rules))
     return parts + [counted(colliding_values(df, name), {_unique_id(name): copies}) for name in alone]
 
 
@@ -105,13 +113,18 @@ def finding_rows(rows: DataFrame, table: str, rule_id: str, dimension: str, col:
 def uniqueness_findings(df: DataFrame, profile: Profile, table: str, total_rows: int) -> list[DataFrame]:
     """Failing rows: later copies of equal rows, and every copy of a colliding key or value."""
     columns = data_columns(df)
-    later = rows_of_groups(df, equal_rows(df, profile, total_rows, first=True), columns, COPIES, total_rows)
+    colliding = _colliding(df, profile, total_rows)
+    equal = fixed_groups(equal_rows(df, profile, total_rows, colliding, first=True), total_rows)
+    later = rows_of_groups(df, equal, columns, COPIES, total_rows)
     parts = [finding_rows(later.filter(F.col(POSITION) > F.col("__first")), table, ROW_RULE, "uniqueness", None)]
     keys = key_columns(df, profile)
     if keys:
-        hit = rows_of_groups(df, colliding_keys(df, keys), keys, COPIES, total_rows)
+        hit = rows_of_groups(df, colliding, keys, COPIES, total_rows)
         parts.append(finding_rows(hit, table, KEY_RULE, "uniqueness", ",".join(keys)))
     for spec in _unique_columns(df, profile):
-        hit = rows_of_groups(df, colliding_values(df, spec.name), [spec.name], COPIES, total_rows)
+        same_key = keys == [spec.name] and df.schema[spec.name].dataType.typeName() not in ("float", "double")
+        groups = colliding.filter(column(spec.name).isNotNull()) if same_key else fixed_groups(
+            colliding_values(df, spec.name), total_rows)
+        hit = rows_of_groups(df, groups, [spec.name], COPIES, total_rows)
         parts.append(finding_rows(hit, table, _unique_id(spec.name), "uniqueness", spec.name))
     return parts

@@ -12,7 +12,7 @@ from assayer.functions.coerce import column, is_number_type, missing
 from assayer.operators.consistency import Reference, ambiguous_references
 from assayer.operators.features import CARD_COLUMNS, FEATURES, card_features
 from assayer.operators.forest import ForestConfig, fit_forest
-from assayer.operators.identity import POSITION, ROW_KEY
+from assayer.operators.identity import POSITION, ROW_KEY, with_position
 from assayer.operators.issues import (
     anomaly_issues, anomaly_summary, flagged_records, prioritized, quality_issues, sample_keys, severity_counts,
     top_features,
@@ -150,6 +150,7 @@ def audit_batch(
 ) -> Audit:
     """Check a batch against its profile, score its rows, and rank what was found."""
     profile, notes = resolve_profile(df, profile, table or "uploaded_batch")
+    df = with_position(df)  # one fixed copy for all passes, unless the source is one
     table = table or profile.name
     run = QualityRun(df, profile, references or {}, table, config.today, order)
     notes += ambiguous_references(df, profile, run.refs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.coerce import as_number, column, missing
+from assayer.operators.identity import data_columns
 from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.profile import ColumnSpec, Profile, detect_profile
@@ -44,7 +45,7 @@ def infer_profile(df: DataFrame, name: str = "uploaded_batch", in_memory_rows: i
 
     One aggregate sizes every column; exact work follows only where the sizes allow it.
     """
-    names = df.columns
+    names = data_columns(df)
     kinds = {c: df.schema[c].dataType for c in names}
     sized = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(names):
@@ -88,7 +89,7 @@ def _vocabularies(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]
 
 def _first_key(df: DataFrame, seen, rows: int) -> tuple[str, ...]:
     """The first column without gaps or repeats; the sketch rules most columns out without a shuffle."""
-    for i, c in enumerate(df.columns):
+    for i, c in enumerate(data_columns(df)):
         kind = df.schema[c].dataType
         if not _countable(kind) or seen[f"n{i}"] < rows or seen[f"d{i}"] < 0.75 * rows:
             continue

@@ -54,6 +54,12 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly row work when a small source has fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_settled(spark: SparkSession) -> None:
     """Remove this application's written tables, once nothing reads them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/settled-*")

@@ -217,3 +217,24 @@ def test_many_rules_take_several_scans(spark):
     profile = Profile("wide", columns=tuple(C(f"c{i}", "int", min=1) for i in range(120)))
     rules = by_rule(df, profile)
     assert len(rules) == 361 and rules["expect_column_values_to_be_between.c119"]["n_failed"] == 1
+
+
+def test_large_table_path_gives_the_same(tiny, tiny_profile, monkeypatch):
+    from assayer.operators import skew
+
+    df = tiny.unionByName(tiny.limit(3).withColumn("__position", F.col("__position") + 40)).withColumn(
+        "total", F.when(F.col("__position") == 41, 1.0).otherwise(F.col("total")))
+    ref = tiny.select("row_id").filter("row_id > 'R-005'")
+    profile = tiny_profile.with_(rules=[*tiny_profile.rules, R("fk", "foreign_key", column="row_id", ref_table="ref",
+                                                               ref_column="row_id")])
+
+    def found():
+        run = QualityRun(df, profile, {"ref": ref})
+        return (sorted(map(tuple, run.results.select("rule_id", "n_checked", "n_failed").collect())),
+                sorted(map(tuple, run.findings().select("row_key", "rule_id").collect())))
+
+    small = found()
+    monkeypatch.setattr(skew.fixed_groups, "__defaults__", (1,))
+    monkeypatch.setattr(skew.rows_of_groups, "__defaults__", (1,))
+    assert found() == small
+    assert dict((r[0], r[2]) for r in small[0])["expect_table_rows_to_be_unique"] == 2

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from assayer.functions.hashing import uniform
 from assayer.operators.defects import DefectSpec
 from assayer.plans.profile import ColumnSpec as C, CrossRule as R, Profile
+from assayer.session import spread
 from assayer.sources.tables import read_table
 
 TODAY = "2003-01-01"
@@ -23,7 +24,7 @@ def table(spark: SparkSession, folder: str, name: str, position: bool = False) -
 
 def order_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with a due date, a net price of half the total, and the customer's segment copied in."""
-    orders, customer = table(spark, folder, "orders"), table(spark, folder, "customer")
+    orders, customer = spread(table(spark, folder, "orders")), table(spark, folder, "customer")
     wide = orders.join(customer, orders["o_custkey"] == customer["c_custkey"], "left")
     return wide.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",

@@ -296,7 +296,7 @@ def inferred_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("inferred_profile_orders")
 def inferred_profile_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(profile_table(spark, infer_profile(B.dirty_headers(spark, folder))))
+    return rounded(profile_table(spark, infer_profile(settled(B.dirty_headers(spark, folder)))))
 
 
 @query("detected_profile")

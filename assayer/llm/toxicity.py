@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return pa.table({"place": np.append(at, -1), "weight": np.append(weights[at], bias)})
 
     # one group of at most max_rows examples
-    model = rows.groupBy(F.lit(0)).applyInArrow(learn, "place long, weight double").toArrow()
+    model = rows.groupBy(F.lit("all")).applyInArrow(learn, "place long, weight double").toArrow()
     place, weight = model.column("place").to_numpy(), model.column("weight").to_numpy()
     real = place >= 0
     return place[real], weight[real], float(weight[~real].sum())

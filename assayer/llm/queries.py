@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, near_duplicates, substrings, toxicity
+from assayer.llm import decontaminate, mixture, near_duplicates, revisits, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,36 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two captures of every page: a response, and a revisit after it (of each fourth page: before it) under another spelling of its URL.
+
+    Of each fifth page the revisit's entity tag is another one, of each seventh it has none; of each eleventh nothing to compare.
+    """
+    page, tag = F.col("page_id"), F.md5("html")
+    day = F.concat(F.lit("day "), (page % 28).cast("string"))
+    response = pages.select(
+        (page * 2).alias("record_id"), "url", (page * 10).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"),
+        day.alias("last_modified"), F.sha1("html").alias("digest"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), (page * 10).cast("string"),
+                     F.lit("Server"), F.lit("origin")).alias("headers"))
+    bare = page % 11 == 0
+    again = pages.select(
+        (page * 2 + 1).alias("record_id"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again")).alias("url"),
+        (page * 10 + F.when(page % 4 == 0, -5).otherwise(5)).alias("ts"), F.lit("revisit").alias("kind"),
+        F.when(bare | (page % 7 == 0), None).when(page % 5 == 0, F.md5("url")).otherwise(F.concat(F.lit("W/"), tag)).alias("etag"),
+        F.when(~bare, day).alias("last_modified"), F.lit(None).cast("string").alias("digest"),
+        F.create_map(F.lit("date"), (page * 10 + 5).cast("string"), F.lit("server"), F.lit("edge"), F.lit("Vary"), F.lit("accept")).alias("headers"))
+    return response.unionByName(again)
+
+
+def op9_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return revisits.resolve(captures(_table(spark, folder, "pages")))
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     documents = _table(spark, folder, "documents")
@@ -33,6 +63,47 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op7_benchmark_decontamination,
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
                                      op10_toxicity)}
-ORACLES: dict[str, str] = {}
+#: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
+_CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')
+  || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),
+  '([?&])(utm_[a-z]+|ref|sessionid)=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '[?]&+', '?', 'g'), '[?&]+$', ''), '/+$', '')"""
+_BARE = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": """
+WITH fold AS (SELECT item_id AS id, true AS item, text FROM benchmark UNION ALL SELECT doc_id, false, text FROM documents),
+split AS (SELECT id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM fold),
+word AS (SELECT id, item, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM split),
+run AS (SELECT id, item, n, i, string_agg(x, ' ') OVER ten AS g, count(*) OVER ten AS m FROM word
+  WINDOW ten AS (PARTITION BY item, id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+pattern AS (SELECT DISTINCT id AS item_id, g, m FROM run WHERE item AND (m = 10 OR i = 1)),
+size AS (SELECT DISTINCT m FROM pattern),
+part AS (SELECT r.id, r.i, s.m, array_to_string(list_slice(string_split(r.g, ' '), 1, s.m), ' ') AS g
+  FROM run r JOIN size s ON s.m <= r.m WHERE NOT item),
+hit AS (SELECT p.id, p.i, p.m, t.item_id FROM part p JOIN pattern t ON p.g = t.g AND p.m = t.m),
+covered AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(i, i + m)) AS k FROM hit) GROUP BY id),
+found AS (SELECT id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT id, item_id::VARCHAR AS item_id FROM hit) GROUP BY id)
+SELECT s.id AS doc_id, len(s.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split s LEFT JOIN covered c ON c.id = s.id LEFT JOIN found f ON f.id = s.id WHERE NOT item""",
+    "op9_warc_revisits": f"""
+WITH p AS (SELECT *, md5(html) AS tag, 'day ' || (page_id % 28)::VARCHAR AS day FROM pages),
+r AS (SELECT page_id * 2 AS record_id, page_id * 10 AS ts, tag, day, {_BARE} AS b FROM p),
+response AS (SELECT *, {_CANONICAL} AS site FROM r),
+v AS (SELECT page_id * 2 + 1 AS record_id, page_id, regexp_replace(url, '#.*$', '') || '#again' AS url,
+  page_id * 10 + CASE WHEN page_id % 4 = 0 THEN -5 ELSE 5 END AS ts,
+  CASE WHEN page_id % 11 = 0 OR page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN md5(url) ELSE tag END AS tag,
+  CASE WHEN page_id % 11 <> 0 THEN day END AS day FROM p),
+revisit AS (SELECT *, {_CANONICAL} AS site FROM (SELECT *, {_BARE} AS b FROM v)),
+joined AS (SELECT v.record_id, v.url, v.page_id, r.record_id AS rid, r.ts AS rts, r.tag AS rtag,
+  coalesce(v.tag = r.tag, v.day = r.day) AS agrees
+  FROM revisit v ASOF LEFT JOIN response r ON v.site = r.site AND v.ts > r.ts),
+told AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_earlier' WHEN agrees IS NULL THEN 'unverified' WHEN agrees THEN 'resolved' ELSE 'changed' END AS outcome FROM joined)
+SELECT record_id, url, CASE WHEN outcome = 'resolved' THEN rid END AS refers_to, CASE WHEN outcome = 'resolved' THEN rts END AS refers_ts, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' || chr(10) || 'date: ' || (page_id * 10 + 5) || chr(10) || 'etag: ' || rtag
+    || chr(10) || 'server: origin' || chr(10) || 'vary: accept'
+  ELSE 'date: ' || (page_id * 10 + 5) || chr(10) || 'server: edge' || chr(10) || 'vary: accept' END AS headers FROM told""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, mixture, near_duplicates, quality, revisits, substrings, toxicity
+from assayer.llm import decontaminate, mixture, near_duplicates, personal, quality, revisits, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"), trusted)
 
 
+def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    found = personal.find(documents, personal.learn(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")))
@@ -68,7 +74,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
                                      op10_toxicity)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')

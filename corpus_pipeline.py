@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, near_duplicates, toxicity
+from assayer.llm import decontaminate, mixture, near_duplicates, personal, toxicity
 from assayer.session import settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,7 +29,39 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return single.select("doc_id", "row.*").unionByName(stay.where("doc_id IS NULL")).select(*COLUMNS)
 
 
-STAGES = [("toxicity", clean_of_toxicity), ("near_duplicates", one_of_each_group)]
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs. Rows are told apart by id and text, so null ids are judged too."""
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__key")
+    leaked = found.where(F.size("hit_words") > 0).select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(leaked, "__key", "left_anti").select(*COLUMNS)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets, n_chars counted anew."""
+    found = personal.masked(docs.select(*COLUMNS), personal.learn(docs))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes words of, with size, source_size, target and taken.
+
+    Rows that agree in id, text and source are one row, with what all of them give.
+    """
+    keys = ["__id", "__mark", "__source"]
+    none = F.lit(-(1 << 63))
+    took = (mixture.shares(docs).select(F.coalesce("doc_id", none).alias("__id"), F.col("mark").alias("__mark"),
+                                        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"),
+                                        "size", "source_size", "target", "taken")
+            .groupBy(*keys).agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"),
+                                F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0"))
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", none).alias("__id"), F.xxhash64("text").alias("__mark"),
+                       F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"))
+    return rows.join(took, keys).dropDuplicates(keys).drop(*keys)
+
+
+STAGES = [("toxicity", clean_of_toxicity), ("near_duplicates", one_of_each_group), ("decontamination", without_benchmark),
+          ("personal_data", without_personal_data), ("mixing", mixed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

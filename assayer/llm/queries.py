@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, html_text, mixture, near_duplicates, personal, quality, revisits, substrings, toxicity
+from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(_table(spark, folder, "documents"), trusted)
 
 
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    documents = _table(spark, folder, "documents")
+    model = language_model.train(documents.where(~held_out))
+    scored = language_model.score(documents, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     found = personal.find(documents, personal.learn(documents))
@@ -79,7 +88,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
                                      op10_toxicity)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')

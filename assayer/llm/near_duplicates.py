@@ -5,9 +5,9 @@
 2. A class has ``bands * rows`` minima of multiply-add hashes. Classes that agree in all rows of a band share a bucket. At a
    similarity of 0.85 a pair misses all 32 buckets of 6 rows with a probability under 3e-7.
 3. Every member of a bucket is held against one centre, the least class in it. Pairs are confirmed on full sets.
-4. Buckets that still hold several components are gone through once more: in blocks of bounded size, members of different
-   components are compared by their signatures, and pairs that may reach the threshold are confirmed on full sets. A group of copies is
-   one component by then, so its pairs are never listed.
+4. Buckets that still hold several components are gone through once more in blocks of bounded size. Members of different components that
+   their signatures leave possible are compared on full sets inside the block, which gives out only the links that join
+   two of its components. Pairs are never listed, and a pair is compared in the first bucket that it shares only.
 5. Links join into components by large-star and small-star.
 
 Texts without words have an empty set and link with nothing. Rows with the same id are one node, each with its own set. Rows
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm.components import components
-from assayer.llm.frames import batch, lists, map_batches, texts
+from assayer.llm.frames import lists, map_batches, texts
 from assayer.llm.words import Words, grams, mix, words
 from assayer.session import settled
 
@@ -29,7 +29,7 @@ SHINGLE = 5
 THRESHOLD = (80, 100)
 BANDS, ROWS = 32, 6
 #: Members of one block of a bucket that is compared within.
-BLOCK = 512
+BLOCK = 1024
 #: Standard deviations that a signature's estimate may fall short of the threshold.
 SLACK = 5
 _U = np.uint64
@@ -89,11 +89,15 @@ def signatures(source: DataFrame, shingle: int, bands: int, rows: int) -> DataFr
     return map_batches(source, sign, "doc_id long, row long, n long, class long, bands array<long>, signature binary")
 
 
+def _texts_of(needed: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    return (classes.select("class", "doc_id", "row").join(needed, "class")
+            .join(source, ["doc_id", "row"]).dropDuplicates(["class"]).select("class", "text"))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, source: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (u, v) of classes whose full sets are similar enough. Texts come in once per class that is in a pair."""
     needed = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-    held = settled(classes.select("class", "doc_id", "row").join(needed, "class")
-                   .join(source, ["doc_id", "row"]).dropDuplicates(["class"]).select("class", "text"))
+    held = settled(_texts_of(needed, classes, source))
 
     def judge(b: pa.RecordBatch):
         sides = [[s for w in words(b.column(c), lower=True) for s in shingle_sets(w, shingle)] for c in ("text_u", "text_v")]
@@ -108,38 +112,79 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, source: DataFrame, shingle:
     return map_batches(full, judge, "u long, v long")
 
 
-def _remaining(members: DataFrame, roots: DataFrame, classes: DataFrame, num: int, den: int, minima_: int) -> DataFrame:
-    """Pairs of a bucket's members in different components that their signatures leave possible."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a block's sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[place] > 1
+    column = np.cumsum(held > 1)[place[shared]] - 1
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[shared][order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 8192
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, (low, low + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:z], column[a:z] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _remaining(members: DataFrame, roots: DataFrame, classes: DataFrame, source: DataFrame, shingle: int, num: int, den: int,
+               bands: int, rows_: int) -> DataFrame:
+    """Links (u, v) between a bucket's members in different components."""
     placed = (members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
               .withColumn("root", F.coalesce("root", "class")))
     mixed = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
              .where("lo != hi AND m > 2").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    share = num / den
+    share, minima_ = num / den, bands * rows_
     least = (share - SLACK * (share * (1 - share) / minima_) ** 0.5) * minima_
-
     own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    rows = (placed.join(mixed, "bucket").withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", "class", "n", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-            .join(classes.select("class", "signature"), "class"))
+    open_ = settled(placed.join(mixed, "bucket").withColumn("own", own)
+                    .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                    .select("bucket", "band", "class", "v", "root", "own",
+                            F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    held = settled(_texts_of(open_.select("class").distinct(), classes, source))
+    rows = open_.join(classes.select("class", "signature"), "class").join(held, "class")
 
     def compare(table: pa.Table) -> pa.Table:
-        cls, n, root, own = (table.column(c).to_numpy() for c in ("class", "n", "root", "own"))
+        cls, centre, root, own = (table.column(c).to_numpy() for c in ("class", "v", "root", "own"))
+        band, lo, hi = (table.column(c)[0].as_py() for c in ("band", "lo", "hi"))
         marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(cls), minima_)
-        same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        u, v = [], []
+        tried = []
         for i in range(len(cls)):
-            if not same and own[i] != table.column("lo")[0].as_py():
+            near = (root != root[i]) & (cls > cls[i] if lo == hi else (own != own[i]) & (own[i] == lo))
+            if cls[i] == centre[i]:
                 continue
-            open_ = (root != root[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i]))
-            open_ &= (cls > cls[i]) if same else own != own[i]
-            at = np.flatnonzero(open_)
-            at = at[(marks[at] == marks[i]).sum(axis=1) >= least]
-            u.append(np.maximum(cls[at], cls[i])), v.append(np.minimum(cls[at], cls[i]))
-        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"u": cat(u), "v": cat(v)})
+            at = np.flatnonzero(near & (cls != centre))
+            equal = marks[at] == marks[i]
+            at, equal = at[equal.sum(axis=1) >= least], equal[equal.sum(axis=1) >= least]
+            first = equal.reshape(len(at), bands, rows_).all(axis=2)[:, :band].any(axis=1)
+            tried.append(np.stack([np.full(len(at), i), at])[:, ~first])
+        pairs = np.concatenate(tried, axis=1) if tried else np.empty((2, 0), np.int64)
+        if not pairs.shape[1]:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        at = np.unique(pairs)
+        sets = [s for w in words(table.column("text").take(pa.array(at)), lower=True) for s in shingle_sets(w, shingle)]
+        both, size = _overlaps(sets), np.array([len(x) for x in sets])
+        x, y = np.searchsorted(at, pairs)
+        good = den * both[x, y] >= num * (size[x] + size[y] - both[x, y])
+        parent: dict = {}
+
+        def find(r):
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        u, v = [], []
+        for i, j in pairs[:, good].T.tolist():
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a != b:  # nothing is gained by a second link between the same two components
+                parent[max(a, b)] = min(a, b)
+                u.append(int(cls[i])), v.append(int(cls[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long").distinct()
+    return rows.groupBy("bucket", "lo", "hi").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -153,7 +198,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         F.min(F.struct("doc_id", "row")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("signature").alias("signature"))
     classes = settled(picked.select("class", "least.doc_id", "least.row", "n", "bands", "signature"))
-    buckets = classes.select("class", "n", F.explode("bands").alias("bucket"))
+    buckets = classes.select("class", "n", F.posexplode("bands").alias("band", "bucket"))
     centres = (buckets.groupBy("bucket").agg(F.min(F.struct("class", "n")).alias("centre"), F.count("*").alias("m"))
                .where("m > 1").select("bucket", "m", F.col("centre.class").alias("v"), F.col("centre.n").alias("nv")))
     members = settled(buckets.join(centres, "bucket"))
@@ -163,12 +208,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     named = usable.groupBy("doc_id").agg(F.min("class").alias("u"), F.max("class").alias("hi")).where("u != hi").select("doc_id", "u")
     bridges = usable.join(named, "doc_id").where("class != u").select("u", F.col("class").alias("v"))
     roots = components(links.unionByName(bridges))
-    more = settled(_remaining(members.where("m > 2"), roots, classes, num, den, bands * rows)
-                   .join(pairs, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        later = settled(_confirmed(more, classes, source, shingle, num, den))
-        if not later.isEmpty():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(later))
+    later = settled(_remaining(members.where("m > 2"), roots, classes, source, shingle, num, den, bands, rows))
+    if not later.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(later))
     placed = (classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left")
               .withColumn("root", F.coalesce("root", "class")))
     label = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -27,12 +27,12 @@ from assayer.llm.frames import map_batches, texts
 from assayer.llm.words import mix, words
 from assayer.session import settled, shared_folder
 
-#: Characters of training text behind one part, about a million words.
-PART_CHARS = 6_000_000
+#: Characters of training text behind one part, about two million words.
+PART_CHARS = 12_000_000
 BEGIN, END = 1, 2
 _U = np.uint64
 _PAIR = np.dtype([("c", "<u2", 3), ("w", "<u2", 3), ("n", "u1")])
-_WORD = np.dtype([("w", "<u8"), ("n", "<u8"), ("d", "<u4")])
+_WORD = np.dtype([("w", "<u8"), ("n", "<u4"), ("d", "<u4")])
 
 
 def _tokens(b: pa.RecordBatch):
@@ -78,6 +78,9 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 def _mapped(folder: str, name: str) -> np.ndarray:
     system, path = fs.FileSystem.from_uri(folder)
     full = f"{path}/{name}.npy"
+    size = system.get_file_info(full).size
+    if size is None:
+        raise FileNotFoundError(full)
     if not isinstance(system, fs.LocalFileSystem):
         import tempfile
 
@@ -89,7 +92,7 @@ def _mapped(folder: str, name: str) -> np.ndarray:
         version = np.lib.format.read_magic(held)
         shape, _, kind = np.lib.format._read_array_header(held, version)
         return np.memmap(held, kind, "r", held.tell(), shape) if shape[0] else np.empty(shape, kind)
-    if system.get_file_info(full).size <= 128:
+    if size <= 128:
         return np.load(full)
     return np.load(full, mmap_mode="r")
 
@@ -136,11 +139,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", part_chars:
         c, w, n = c[start], w[start], np.add.reduceat(n, start)
         own = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         _save(folder, f"context-{part}", c[own])
-        _save(folder, f"weight-{part}", np.stack([np.add.reduceat(x, own) for x in (n, n == 1, n == 2, n >= 3)], axis=1).astype(np.int64))
+        weight = np.stack([np.add.reduceat(x.astype(np.int64), own) for x in (n, n == 1, n == 2, n >= 3)], axis=1)
+        _save(folder, f"weight-{part}", weight.astype(np.min_scalar_type(int(weight.max()))))
         hashes = _pair(c, w)
         order = np.argsort(hashes)
         _save(folder, f"pair-{part}", hashes[order])
-        _save(folder, f"count-{part}", n[order].astype(np.uint32))
+        _save(folder, f"count-{part}", n[order].astype(np.min_scalar_type(int(n.max()))))
         order = np.argsort(w, kind="stable")
         start = np.flatnonzero(np.r_[True, w[order][1:] != w[order][:-1]])
         out = np.empty(len(start), _WORD)

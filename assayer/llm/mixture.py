@@ -41,7 +41,7 @@ def permuted(x: np.ndarray, n: int | np.ndarray, key: int | np.ndarray) -> np.nd
     def once(v, half, mask, key):
         left, right = v >> half, v & mask
         for turn in range(4):
-            left, right = right, left ^ (mix(right + key + _U(turn) * _U(0x9E3779B97F4A7C15)) & mask)
+            left, right = right, left ^ (mix(right + key + _U(turn * 0x9E3779B97F4A7C15 % (1 << 64))) & mask)
         return (left << half) | right
 
     out = once(x.astype(_U), half, mask, key)

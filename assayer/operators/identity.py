@@ -44,7 +44,7 @@ def with_identity(df: DataFrame, keys: list[str] | None, order: list[str] | None
 def _position_text(df: DataFrame) -> Column:
     kind = df.schema[POSITION].dataType
     if kind.typeName() == "struct":
-        return F.concat_ws(":", *[F.col(POSITION)[f.name].cast("string") for f in kind.fields])
+        return F.concat_ws(":", *[F.col(POSITION)[f.name].cast("string") for f in kind.fields if f.name != "path"])
     return F.col(POSITION).cast("string")
 
 

@@ -163,13 +163,9 @@ def detect_profile(df: DataFrame, profiles: list[Profile], min_overlap: float =
 
     Reads the schema only.
     """
-    present = set(df.columns)
-    best, best_share = None, 0.0
-    for profile in profiles:
-        required = [c.name for c in profile.columns if c.required]
-        if not required:
-            continue
-        share = sum(n in present for n in required) / len(required)
-        if share >= min_overlap and share > best_share:
-            best, best_share = profile, share
-    return best
+    def share(profile: Profile) -> float:
+        required = {c.name for c in profile.columns if c.required}
+        return len(required & set(df.columns)) / len(required) if required else 0.0
+
+    ranked = sorted(profiles, key=share, reverse=True)  # keeps the given order among equals
+    return next((p for p in ranked if share(p) >= max(min_overlap, 1e-9)), None)

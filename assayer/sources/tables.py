@@ -22,20 +22,24 @@ def kind_of(path: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, path: str, kind: str | None = None, position: bool = False, typed: bool = True
+    spark: SparkSession, path: str, kind: str | None = None, position: bool = False, typed: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A parquet or CSV batch; anything without a parquet suffix is read as CSV.
 
     ``position`` adds the row position that findings and sample keys are ordered
     by. ``typed`` turns CSV columns into numbers or booleans where all values fit.
+    ``multi_line`` reads quoted line breaks, at the price of one task per CSV file.
     """
     if (kind or kind_of(path)) == "parquet":
         df = spark.read.parquet(path)
         if position:
             df = df.select("*", F.struct(F.col("_metadata.file_name").alias("file"),
-                                         F.col("_metadata.row_index").alias("row")).alias(POSITION))
+                                         F.col("_metadata.row_index").alias("row"),
+                                         # names repeat across partition folders
+                                         F.col("_metadata.file_path").alias("path")).alias(POSITION))
         return df
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     raw = raw.select(*[F.when(~column(c).isin(*MISSING_TEXTS), column(c)).alias(c) for c in raw.columns])
     df = _typed(raw) if typed else raw
     return numbered_scan(df) if position else df

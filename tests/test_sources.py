@@ -74,3 +74,13 @@ def test_settled_tables_can_be_dropped(spark):
     from urllib.parse import urlparse
     drop_settled(spark)
     assert not os.path.exists(urlparse(path).path)
+
+
+def test_positions_are_unique_across_partition_folders(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    rows = spark.range(20).select((F.col("id") % 5).alias("a"), F.lit(1).alias("b"), (F.col("id") % 2).alias("half"))
+    rows.coalesce(1).write.partitionBy("half").parquet(path)
+    df = read_table(spark, path, position=True)
+    assert df.select("__position").distinct().count() == 20
+    run = QualityRun(df, Profile("t", columns=(C("a", "int"),)))
+    assert run.findings().count() == 10  # one of each two equal rows

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.functions.coerce import as_number, as_text, column, missing
 from assayer.operators.rules import Rule, rule_counts
-from assayer.operators.skew import fixed_groups, rows_of_groups
+from assayer.operators.skew import rows_of_groups
 from assayer.operators.uniqueness import finding_rows
 from assayer.plans.profile import CrossRule, Profile
+from assayer.session import settled
 
 COPIES = "__copies"
 KEY = "__key_text"
@@ -125,7 +126,7 @@ def consistency_findings(
     parts = []
     for rule in applicable(df, profile, refs):
         rows, keys, judged = _KINDS[rule.kind](df, rule, refs[rule.ref_table])
-        failed = fixed_groups(judged.filter("__failed").select(*keys, COPIES), total_rows)
+        failed = settled(judged.filter("__failed").select(*keys, COPIES))
         hit = rows_of_groups(rows, failed, keys, COPIES, total_rows)
         parts.append(finding_rows(hit, table, f"consistency.{rule.id}", "consistency", rule.column))
     return parts

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.coerce import column, missing
+from assayer.operators.order_stats import quantiles
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -15,14 +16,22 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def class_describe(df: DataFrame, label: str, measure: str) -> DataFrame:
-    """Count, mean, spread and quantiles of a measure per class; quantiles by sketch, as classes may be large."""
-    value = column(measure)
-    quarters = F.percentile_approx(value, [0.25, 0.5, 0.75], 100_000)
-    return df.groupBy(column(label).alias("class")).agg(
+    """Count, mean, spread and exact, interpolated quartiles of a measure per class; there are few classes."""
+    value, group = column(measure), column(label)
+    stats = df.groupBy(group.alias("class")).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), quarters.alias("q"), F.max(value).alias("max"),
-    ).select("class", "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
-             F.col("q")[2].alias("p75"), "max")
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    seen = stats.select("class", "n").collect()
+    parts = df.select(*[F.when(group.eqNullSafe(F.lit(r["class"])), value).alias(f"v{i}") for i, r in enumerate(seen)])
+    found = quantiles(parts, {f"v{i}": [0.25, 0.5, 0.75] for i, _ in enumerate(seen)},
+                      {f"v{i}": r["n"] for i, r in enumerate(seen)})
+
+    def quartile(at: int) -> Column:
+        return F.coalesce(F.lit(None).cast("double"), *[
+            F.when(F.col("class").eqNullSafe(F.lit(r["class"])), F.lit(found[f"v{i}"][at])) for i, r in enumerate(seen)])
+
+    return stats.select("class", "n", "mean", "std", "min", quartile(0).alias("p25"), quartile(1).alias("p50"),
+                        quartile(2).alias("p75"), "max")
 
 
 def missing_totals(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer.functions.coerce import as_number, column
 from assayer.functions.hashing import uniform
 from assayer.operators.identity import POSITION, ROW_KEY
-from assayer.operators.order_stats import IN_MEMORY_ROWS, ranked_values
+from assayer.operators.order_stats import ranked_values
 
 FEATURES = "features"
 # The anonymous components of the card schema, in model order.
@@ -63,7 +63,6 @@ class Scaler:
 
 def temporal_split(
     df: DataFrame, time: str, tie: str, shares: tuple[float, float] = (0.6, 0.2),
-    in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train, calibration and test windows in time order, cut at exact row counts.
 
@@ -73,27 +72,25 @@ def temporal_split(
     """
     rows = df.count()
     first, second = int(rows * shares[0]), int(rows * (shares[0] + shares[1]))
-    before_first, before_second = _before(df, time, tie, [first, second], rows, in_memory_rows)
+    before_first, before_second = _before(df, time, tie, [first, second], rows)
     return (df.filter(before_first), df.filter(~before_first & before_second), df.filter(~before_second))
 
 
-def _before(
-    df: DataFrame, time: str, tie: str, ranks: list[int], rows: int, in_memory_rows: int
-) -> list[Column]:
+def _before(df: DataFrame, time: str, tie: str, ranks: list[int], rows: int) -> list[Column]:
     """For each rank a condition that holds for exactly the rows ordered before it."""
     kind = df.schema[time].dataType.typeName()
     dated = kind in ("timestamp", "timestamp_ntz", "date")
     moment = F.unix_micros(column(time).cast("timestamp")) if dated else column(time)
     inner = [r for r in ranks if 0 < r < rows]
     timed = df.select(moment.alias("t"), column(tie).alias("k"))
-    cuts = dict(zip(inner, ranked_values(timed, [("t", r, rows) for r in inner], in_memory_rows)))
+    cuts = dict(zip(inner, ranked_values(timed, [("t", r, rows) for r in inner])))
     counted = timed.agg(*[
         F.count_if(test).alias(f"{label}{r}") for r, cut in cuts.items()
         for label, test in (("b", F.col("t") < cut), ("e", F.col("t") == cut))]).first() if cuts else None
     tied = timed.select(*[F.when(F.col("t") == cut, F.col("k")).alias(f"k{r}") for r, cut in cuts.items()])
     inside = [r for r in cuts if r - counted[f"b{r}"] > 0]
     ties = dict(zip(inside, ranked_values(
-        tied, [(f"k{r}", r - counted[f"b{r}"], counted[f"e{r}"]) for r in inside], in_memory_rows)))
+        tied, [(f"k{r}", r - counted[f"b{r}"], counted[f"e{r}"]) for r in inside])))
     conditions = []
     for r in ranks:
         if r not in cuts:

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from assayer.operators.features import FEATURES
 from assayer.operators.identity import POSITION
@@ -22,7 +23,6 @@ from assayer.session import spread
 
 _EULER = 0.5772156649015329
 _TREE = "tree int, feature binary, threshold binary, path binary"
-_POOL_FACTOR = 4
 
 
 @dataclass(frozen=True)
@@ -123,24 +123,39 @@ class ForestModel:
         return spread(df).withColumn("score", anomaly(F.col(FEATURES)))
 
 
-def _share(*parts: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(2**53))
+def _uniform(h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from row hashes and salts."""
+    x = h ^ (salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / 2.0**52 + 2.0**-53
 
 
 def tree_samples(df: DataFrame, config: ForestConfig, rows: int) -> tuple[DataFrame, int]:
     """(tree, draw, features) with at least the sample size per tree, and that size.
 
-    A large table is first thinned to a pool a few times the size of all samples,
-    so the per-tree draws touch a bounded number of rows.
+    Every tree draws from all rows. A row's trees are found by geometric skips
+    from one to the next, so the work is the rows plus the rows drawn.
     """
-    sample = min(config.sample, rows)
+    sample, trees = min(config.sample, rows), config.trees
     rate = min(1.0, (sample + 10 * math.sqrt(sample) + 20) / max(1, rows))
-    pool = min(1.0, max(rate, _POOL_FACTOR * config.trees * sample / max(1, rows)))
-    hashed = df.select(FEATURES, F.xxhash64(POSITION).alias("h"))
-    kept = hashed if pool >= 1.0 else hashed.filter(_share(F.col("h"), F.lit(-1), F.lit(config.seed)) < pool)
-    drawn = kept.select(FEATURES, "h", F.explode(F.sequence(F.lit(0), F.lit(config.trees - 1))).alias("tree"))
-    drawn = drawn.withColumn("draw", _share(F.col("h"), F.col("tree"), F.lit(config.seed)))
-    return drawn.filter(F.col("draw") < rate / pool).select("tree", "draw", FEATURES), sample
+    rest = math.log1p(-rate) if rate < 1.0 else -math.inf
+    seeded = df.select(FEATURES, F.xxhash64(POSITION, F.lit(config.seed)).alias("h"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column("h").to_numpy().view(np.uint64)
+            row, tree = np.arange(len(h)), np.full(len(h), -1)
+            while len(row):
+                skip = np.floor(np.log(_uniform(h[row], 2 * tree + 3)) / rest)
+                tree = tree + 1 + np.minimum(skip, trees).astype(np.int64)
+                row, tree = row[tree < trees], tree[tree < trees]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree.astype(np.int32)), pa.array(_uniform(h[row], 2 * tree + 2)),
+                     b.column(FEATURES).take(pa.array(row))], ["tree", "draw", FEATURES])
+
+    kind = df.schema[FEATURES].dataType.simpleString()
+    return seeded.mapInArrow(draw, f"tree int, draw double, {FEATURES} {kind}"), sample
 
 
 def fit_forest(df: DataFrame, config: ForestConfig = ForestConfig(), rows: int | None = None) -> ForestModel:

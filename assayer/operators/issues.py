@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayer.operators.identity import POSITION, ROW_KEY
-from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
+from assayer.operators.order_stats import quantiles
 from assayer.plans import severity as S
 from assayer.plans.profile import Profile
-from assayer.session import small_table
+from assayer.session import settled, small_table
 
 ISSUE_SCHEMA = (
     "issue_id string, severity string, severity_score double, source string, dimension string, rule_id string, "
@@ -108,14 +107,12 @@ def _choice_number(key: Column, table: dict[str, float]) -> Column:
 # --- flagged records --------------------------------------------------------------------
 
 
-def anomaly_summary(
-    scores: DataFrame, threshold: float, threshold_rule: str, model: str, in_memory_rows: int = IN_MEMORY_ROWS
-) -> dict[str, Any]:
+def anomaly_summary(scores: DataFrame, threshold: float, threshold_rule: str, model: str) -> dict[str, Any]:
     """Counts and quantiles of one scored batch; ``scores`` should be written or cached."""
     row = scores.agg(
         F.count("score").alias("n"), F.count_if(F.col("score") >= threshold).alias("flagged"),
         F.count_if(F.col("score") < threshold).alias("below"), F.max("score").alias("top")).first()
-    median = quantiles(scores, {"score": [0.5]}, {"score": row["n"]}, in_memory_rows)["score"][0]
+    median = quantiles(scores, {"score": [0.5]}, {"score": row["n"]})["score"][0]
     return {
         "model": model, "n_scored": row["n"], "n_flagged": row["flagged"],
         "flag_rate": row["flagged"] / max(1, row["n"]), "threshold_value": float(threshold),
@@ -129,69 +126,93 @@ def flagged_records(scores: DataFrame, threshold: float, limit: int) -> DataFram
     return scores.filter(F.col("score") >= threshold).orderBy(F.desc("score"), POSITION).limit(limit)
 
 
-def average_percentiles(scores: DataFrame, top: list[Row], n: int) -> list[float]:
-    """Average-rank percentile of each of the highest scores.
+def with_percentiles(top: DataFrame, scores: DataFrame, n: int) -> DataFrame:
+    """Adds the average-rank percentile among all ``n`` scores to the highest ones.
 
     Everything above a listed score is listed too, so ranks follow from the list;
     only the last score may tie with rows beyond it and is counted.
     """
-    values = [r["score"] for r in top]
-    if not values:
-        return []
-    ties = scores.filter(F.col("score") == values[-1]).count()
-    result = []
-    for v in values:
-        above = sum(x > v for x in values)
-        equal = ties if v == values[-1] else values.count(v)
-        result.append((n - above - equal + (equal + 1) / 2) / n)
-    return result
-
-
-def top_features(names: list[str], errors: list[float], observed: list[float], expected: list[float]) -> list[dict]:
-    """The three features with the largest error, with their share of it."""
-    worst = sorted(range(len(errors)), key=lambda i: (-errors[i], i))[:3]
-    total = max(sum(errors), 1e-12)
-    return [{"feature": names[i], "squared_error": errors[i], "share_of_error": errors[i] / total,
-             "observed": observed[i], "expected": expected[i]} for i in worst]
+    last = top.agg(F.min("score")).first()[0]
+    ties = scores.filter(F.col("score") == last).count()
+    above = F.rank().over(Window.orderBy(F.desc("score"))) - 1  # the list is short
+    listed = F.count(F.lit(1)).over(Window.partitionBy("score"))
+    equal = F.when(F.col("score") == F.lit(last), F.lit(ties)).otherwise(listed)
+    return top.withColumn("percentile", (n - above - equal + (equal + 1) / 2) / n)
+
+
+_TOP_FEATURES = 3
+
+
+def top_features(names: list[str]) -> Column:
+    """The features with the largest error and their share of it, from a row's errors, observed and expected values."""
+    label = F.array(*[F.lit(n) for n in names])
+    total = F.greatest(F.aggregate("errors", F.lit(0.0), lambda a, e: a + e), F.lit(1e-12))
+    ranked = F.array_sort(F.transform("errors", lambda e, i: F.struct((-e).alias("below"), i.alias("at"))))
+    return F.transform(F.slice(ranked, 1, _TOP_FEATURES), lambda r: F.struct(
+        F.get(label, r["at"]).alias("feature"), (-r["below"]).alias("squared_error"),
+        (-r["below"] / total).alias("share_of_error"), F.get("observed", r["at"]).alias("observed"),
+        F.get("expected", r["at"]).alias("expected")))
+
+
+@F.udf(T.StringType(), useArrow=False)
+def _five_digits(value: float) -> str:
+    """Five significant digits; the listed rows are few."""
+    return f"{value:.5g}"
+
+
+def _record_reason(median: float) -> Column:
+    head = F.concat(
+        F.lit("Anomaly score "), _five_digits("score"), F.format_string(" (%.4f%%", F.bround(F.col("percentile") * 100, 4)),
+        F.format_string(" percentile, %.1fx the batch median).", F.bround(F.col("score") / F.lit(median), 1)))
+    deviations = F.transform("top_features", lambda f: F.format_string(
+        "%s (observed %.2f vs expected %.2f)", f["feature"], f["observed"], f["expected"]))
+    return F.concat(head, F.when(F.size("top_features") > 0, F.concat(
+        F.lit(" Largest deviations: "), F.concat_ws(", ", deviations), F.lit("."))).otherwise(""))
+
+
+_EXPLAINED = ("array<struct<feature: string, squared_error: double, share_of_error: double, "
+              "observed: double, expected: double>>")
 
 
 def anomaly_issues(
     spark: SparkSession, scores: DataFrame, summary: dict[str, Any], table: str,
-    max_issues: int = S.MAX_RECORD_ISSUES, explained: dict[str, list[dict]] | None = None,
+    max_issues: int = S.MAX_RECORD_ISSUES, explained: DataFrame | None = None,
 ) -> DataFrame:
     """One issue per flagged record up to the register's cap, and one for the rest.
 
-    ``explained`` maps row keys to :func:`top_features`. Only the capped rows are read.
+    ``explained`` holds :func:`top_features` by position. The capped rows are
+    written once, and all else is columns over them.
     """
-    n, threshold = summary["n_scored"], summary["threshold_value"]
-    top = flagged_records(scores, threshold, max_issues).select(ROW_KEY, "score").collect()
-    below = summary["share_below"]
-    rule_id = f"anomaly.{summary['model']}"
-    rows: list[tuple] = []
-    for i, (record, percentile) in enumerate(zip(top, average_percentiles(scores, top, n)), start=1):
-        confidence = min(1.0, max(0.0, (percentile - below) / max(1e-9, 1 - below)))
-        value = 100 * (S.IMPACT_SHARE * S.ANOMALY_IMPACT + S.EXTENT_SHARE * (1 / max(1, n)) ** 0.5
-                       + S.CONFIDENCE_SHARE * confidence)
-        reason = (f"Anomaly score {record['score']:.5g} ({percentile:.4%} percentile, "
-                  f"{record['score'] / summary['score_median']:.1f}x the batch median).")
-        evidence: dict[str, Any] = {"score": record["score"], "percentile": percentile, "threshold": threshold}
-        features = (explained or {}).get(record[ROW_KEY])
-        if features:
-            evidence["top_features"] = features
-            reason += " Largest deviations: " + ", ".join(
-                f"{f['feature']} (observed {f['observed']:.2f} vs expected {f['expected']:.2f})"
-                for f in features) + "."
-        level = next((name for low, name in S.BANDS if value >= low), "low")
-        rows.append((f"ISS-A{i:04d}", level, value, "anomaly_model", "anomaly", rule_id, "record", table, None, 1,
-                     1 / max(1, n), reason, S.FAMILY_ACTIONS["anomaly"], [record[ROW_KEY]], json.dumps(evidence)))
-    rest = summary["n_flagged"] - len(top)
-    if rest > 0:
-        rows.append(("ISS-A0000", "medium", S.TRUNCATED_SCORE, "anomaly_model", "anomaly", f"{rule_id}.truncated",
-                     "dataset", table, None, rest, rest / max(1, n),
-                     f"{rest:,} further records exceeded the anomaly threshold but were not listed individually "
-                     f"(register capped at {max_issues}).", S.TRUNCATED_ACTION, [],
-                     json.dumps({"n_truncated": rest})))
-    return small_table(spark, rows, ISSUE_SCHEMA)
+    n, below = summary["n_scored"], summary["share_below"]
+    rule_id, rest = f"anomaly.{summary['model']}", summary["n_flagged"] - min(max_issues, summary["n_flagged"])
+    more = small_table(spark, [
+        ("ISS-A0000", "medium", S.TRUNCATED_SCORE, "anomaly_model", "anomaly", f"{rule_id}.truncated", "dataset", table,
+         None, rest, rest / n,
+         f"{rest:,} further records exceeded the anomaly threshold but were not listed individually "
+         f"(register capped at {max_issues}).", S.TRUNCATED_ACTION, [], f'{{"n_truncated": {rest}}}')] if rest else [],
+        ISSUE_SCHEMA)
+    if rest == summary["n_flagged"]:
+        return more
+    chosen = flagged_records(scores, summary["threshold_value"], max_issues).select(POSITION, ROW_KEY, "score")
+    top = with_percentiles(settled(chosen), scores, n)
+    if explained is None:
+        top = top.withColumn("top_features", F.lit(None).cast(_EXPLAINED))
+    else:
+        top = top.join(explained.select(POSITION, "top_features"), POSITION, "left")
+    one = F.lit(1.0)
+    sure = F.least(one, F.greatest(F.lit(0.0), (F.col("percentile") - below) / max(1e-9, 1 - below)))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), POSITION))  # the list is short
+    evidence = F.struct("score", "percentile", F.lit(summary["threshold_value"]).alias("threshold"), "top_features")
+    listed = top.withColumn("severity_score", severity_score(F.lit(S.ANOMALY_IMPACT), one, F.lit(n), one, 1.0, sure)).select(
+        F.format_string("ISS-A%04d", place).alias("issue_id"),
+        severity_band(F.col("severity_score"), F.lit(rule_id)).alias("severity"), "severity_score",
+        F.lit("anomaly_model").alias("source"), F.lit("anomaly").alias("dimension"), F.lit(rule_id).alias("rule_id"),
+        F.lit("record").alias("scope"), F.lit(table).alias("table"), F.lit(None).cast("string").alias("column"),
+        F.lit(1).cast("bigint").alias("n_records"), F.lit(1 / n).alias("pct_affected"),
+        _record_reason(summary["score_median"]).alias("reason"),
+        F.lit(S.FAMILY_ACTIONS["anomaly"]).alias("recommended_action"), F.array(ROW_KEY).alias("record_keys"),
+        F.to_json(evidence).alias("evidence"))
+    return listed.unionByName(more)
 
 
 # --- the register -----------------------------------------------------------------------

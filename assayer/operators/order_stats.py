@@ -1,11 +1,11 @@
 """Exact quantiles and ranks without sorting the table.
 
-Up to ``in_memory_rows`` values one aggregate with Spark's exact percentile is
-enough. Its buffer holds every distinct value, so beyond that size the wanted
-rank is closed in on instead: a sketch brackets it, a second aggregate counts
-what lies below and inside the bracket, and the next round looks only inside.
-Each round keeps well under a thousandth of the values, whatever the skew:
-a value repeated a billion times is one bracket end and is answered by its count.
+A sketch brackets each wanted rank, a second aggregate counts what lies below and
+inside the bracket, and the next round looks only inside. Each round keeps well
+under a thousandth of the values, whatever the skew: a value repeated a billion
+times is one bracket end and is answered by its count. Bands that are small by
+count are read together in one job. A small table begins with such bands, so it
+takes one job; answers and interpolation are the same at every size.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-IN_MEMORY_ROWS = 2_000_000
-DRIVER_VALUES = 50_000
+#: Values that one job may bring to the driver.
+DRIVER_VALUES = 200_000
 _SKETCH = 10_000
 _MARGIN = 3.0 / _SKETCH
 
@@ -35,6 +35,10 @@ class _Search:
     answer: float | None = None
     bracket: tuple[float, float] | None = field(default=None)
 
+    @property
+    def limits(self) -> tuple:
+        return self.source, self.low, self.high
+
     def band(self) -> Column:
         """The column's value where it lies strictly inside the current limits."""
         value = F.col(self.source)
@@ -46,17 +50,28 @@ class _Search:
         return F.when(keep, value)
 
 
-def _narrow(df: DataFrame, searches: list[_Search], driver_values: int) -> None:
-    """One round for all open searches: two shared scans."""
+def _by_band(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches that look at the same values of the same column."""
+    bands: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        bands.setdefault(s.limits, []).append(s)
+    return list(bands.values())
+
+
+def _narrow(df: DataFrame, searches: list[_Search]) -> None:
+    """One round for all open searches: two shared scans, one sketch per band."""
+    bands = _by_band(searches)
     sketches = []
-    for i, s in enumerate(searches):
-        middle = (s.rank - s.below + 0.5) / s.inside
-        at = [max(0.0, middle - s.margin), min(1.0, middle + s.margin)]
-        sketches.append(F.percentile_approx(s.band(), at, _SKETCH).alias(f"s{i}"))
+    for i, band in enumerate(bands):
+        middles = [((s.rank - s.below + 0.5) / s.inside, s.margin) for s in band]
+        at = [x for m, margin in middles for x in (max(0.0, m - margin), min(1.0, m + margin))]
+        sketches.append(F.percentile_approx(band[0].band(), at, _SKETCH).alias(f"s{i}"))
     row = df.agg(*sketches).first()
+    for i, band in enumerate(bands):
+        for j, s in enumerate(band):
+            s.bracket = (row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1])
     counts = []
     for i, s in enumerate(searches):
-        s.bracket = (row[f"s{i}"][0], row[f"s{i}"][1])
         low, high = s.bracket
         band = s.band()
         for name, hit in (("a", band < low), ("b", band == low), ("c", (band > low) & (band < high)),
@@ -81,42 +96,52 @@ def _narrow(df: DataFrame, searches: list[_Search], driver_values: int) -> None:
             s.below, s.inside, s.low, s.margin = s.below + passed, s.inside - passed, high, s.margin * 4
 
 
-def _finish(df: DataFrame, search: _Search) -> None:
-    """The band is small by count: read its distinct values."""
-    seen = search.below
-    values = df.select(search.band().alias("v")).filter("v IS NOT NULL").groupBy("v").count()
-    for value, copies in sorted(map(tuple, values.collect())):
-        seen += copies
-        if search.rank < seen:
-            search.answer = value
-            return
-    raise RuntimeError("the table changed while its ranks were being read")
+def _readable(searches: list[_Search], driver_values: int) -> list[_Search]:
+    """The searches whose bands together are small enough to be read."""
+    chosen, room = [], driver_values
+    for band in sorted(_by_band(searches), key=lambda b: b[0].inside):
+        room -= band[0].inside
+        if room < 0:
+            break
+        chosen += band
+    return chosen
+
+
+def _finish(df: DataFrame, searches: list[_Search]) -> None:
+    """Read the distinct values of small bands, in one job for all columns of a type."""
+    kinds: dict[str, list[list[_Search]]] = {}
+    for band in _by_band(searches):
+        kinds.setdefault(df.schema[band[0].source].dataType.simpleString(), []).append(band)
+    for bands in kinds.values():
+        cells = F.array(*[F.struct(F.lit(i).alias("band"), b[0].band().alias("v")) for i, b in enumerate(bands)])
+        counted = df.select(F.explode(cells).alias("c")).select("c.*").filter("v IS NOT NULL").groupBy("band", "v").count()
+        found: dict[int, list[tuple]] = {}
+        for at, value, copies in counted.collect():
+            found.setdefault(at, []).append((value != value, value, copies))  # NaN comes last, as in Spark
+        for i, band in enumerate(bands):
+            seen = band[0].below
+            todo = sorted(band, key=lambda s: s.rank)
+            for _, value, copies in sorted(found.get(i, [])):
+                seen += copies
+                while todo and todo[0].rank < seen:
+                    todo.pop(0).answer = value
+            if todo:
+                raise RuntimeError("the table changed while its ranks were being read")
 
 
 def ranked_values(
-    df: DataFrame,
-    wanted: list[tuple[str, int, int]],
-    in_memory_rows: int = IN_MEMORY_ROWS,
-    driver_values: int = DRIVER_VALUES,
+    df: DataFrame, wanted: list[tuple[str, int, int]], driver_values: int = DRIVER_VALUES
 ) -> list[float | int | None]:
     """Values at 0-based ascending ranks; ``wanted`` holds (column, rank, non-null count)."""
-    if not wanted:
-        return []
-    if max(count for _, _, count in wanted) <= in_memory_rows:
-        picks = [
-            F.expr(f"percentile_disc({(rank + 0.5) / count!r}D) WITHIN GROUP (ORDER BY `{name}`)").alias(f"r{i}")
-            if count > rank >= 0 else F.lit(None).alias(f"r{i}")
-            for i, (name, rank, count) in enumerate(wanted)
-        ]
-        return list(df.agg(*picks).first())
     searches = [_Search(name, rank, 0, count) for name, rank, count in wanted]
     todo = [s for s in searches if 0 <= s.rank < s.inside]
     while todo:
-        for s in [s for s in todo if s.inside <= driver_values]:
-            _finish(df, s)
-        todo = [s for s in todo if s.answer is None]
+        small = _readable(todo, driver_values)
+        if small:
+            _finish(df, small)
+            todo = [s for s in todo if s.answer is None]
         if todo:
-            _narrow(df, todo, driver_values)
+            _narrow(df, todo)
             todo = [s for s in todo if s.answer is None]
     return [s.answer for s in searches]
 
@@ -125,7 +150,6 @@ def quantiles(
     df: DataFrame,
     wanted: dict[str, list[float]],
     counts: dict[str, int] | None = None,
-    in_memory_rows: int = IN_MEMORY_ROWS,
     driver_values: int = DRIVER_VALUES,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, for several columns at once."""
@@ -135,20 +159,17 @@ def quantiles(
     if counts is None:
         row = df.agg(*[F.count(F.col(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
         counts = {n: row[i] for i, n in enumerate(names)}
-    if max(counts.values()) <= in_memory_rows:
-        row = df.agg(
-            *[F.percentile(F.col(n), F.array(*[F.lit(p) for p in wanted[n]])).alias(f"q{i}")
-              for i, n in enumerate(names)]
-        ).first()
-        return {n: list(row[i]) if row[i] is not None else [None] * len(wanted[n]) for i, n in enumerate(names)}
     requests, shape = [], []
     for n in names:
         for p in wanted[n]:
             at = p * (counts[n] - 1)
             shape.append((n, at - math.floor(at)))
             requests += [(n, math.floor(at), counts[n]), (n, math.ceil(at), counts[n])]
-    values = ranked_values(df, requests, in_memory_rows, driver_values)
+    values = ranked_values(df, requests, driver_values)
     result: dict[str, list[float | None]] = {n: [] for n in names}
     for (n, part), low, high in zip(shape, values[::2], values[1::2]):
-        result[n].append(None if low is None else low + (high - low) * part)
+        if low is None or low == high:
+            result[n].append(None if low is None else float(low))
+        else:
+            result[n].append(float(low) + (float(high) - float(low)) * part)
     return result

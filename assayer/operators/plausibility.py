@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.coerce import as_number, column
-from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
+from assayer.operators.order_stats import quantiles
 from assayer.operators.rules import RowRule
 from assayer.plans.profile import Profile
 
@@ -47,9 +47,7 @@ def sample_skewness(population: float | None, n: int) -> float:
     return population * math.sqrt(n * (n - 1)) / (n - 2)
 
 
-def fit_outliers(
-    df: DataFrame, profile: Profile, in_memory_rows: int = IN_MEMORY_ROWS, cut: float | None = None
-) -> list[OutlierFit]:
+def fit_outliers(df: DataFrame, profile: Profile, cut: float | None = None) -> list[OutlierFit]:
     names = [c for c in profile.outlier_columns if c in df.columns]
     if not names:
         return []
@@ -64,9 +62,9 @@ def fit_outliers(
     logs = {i: row[f"low{i}"] >= 0 and sample_skewness(row[f"skew{i}"], row[f"n{i}"]) > LOG_SKEW for i in kept}
     counts = {f"v{i}": row[f"n{i}"] for i in kept}
     scaled = numbers.select(*[_scaled(F.col(f"v{i}"), logs[i]).alias(f"v{i}") for i in kept])
-    centre = quantiles(scaled, {f"v{i}": [0.5, 0.25, 0.75] for i in kept}, counts, in_memory_rows)
+    centre = quantiles(scaled, {f"v{i}": [0.5, 0.25, 0.75] for i in kept}, counts)
     distance = scaled.select(*[F.abs(F.col(f"v{i}") - F.lit(centre[f"v{i}"][0])).alias(f"v{i}") for i in kept])
-    spread = quantiles(distance, {f"v{i}": [0.5] for i in kept}, counts, in_memory_rows)
+    spread = quantiles(distance, {f"v{i}": [0.5] for i in kept}, counts)
     fits = []
     for i in kept:
         median, first, third = centre[f"v{i}"]

@@ -11,7 +11,6 @@ from assayer.operators.consistency import (
     Reference, as_references, consistency_findings, reference_counts, reference_rules,
 )
 from assayer.operators.identity import data_columns, with_identity
-from assayer.operators.order_stats import IN_MEMORY_ROWS
 from assayer.operators.plausibility import OutlierFit, fit_outliers, outlier_rules
 from assayer.operators.rules import (
     FINDING_COLUMNS, RESULT_SCHEMA, Rule, RowRule, completeness_rules, expression_rules, row_findings, rule_results,
@@ -36,7 +35,6 @@ class QualityRun:
     table: str = ""
     today: str | None = None
     order: list[str] | None = None
-    in_memory_rows: int = IN_MEMORY_ROWS
 
     def __post_init__(self) -> None:
         self.table = self.table or self.profile.name
@@ -56,7 +54,7 @@ class QualityRun:
 
     @cached_property
     def outlier_fits(self) -> list[OutlierFit]:
-        return fit_outliers(self.batch, self.profile, self.in_memory_rows)
+        return fit_outliers(self.batch, self.profile)
 
     @cached_property
     def row_rules(self) -> list[RowRule]:

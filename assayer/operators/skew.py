@@ -7,31 +7,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.functions.coerce import column
-from assayer.session import settled
 
-HOT_SHARE = 1_000
-PLAIN_ROWS = 1_000_000
-
-
-def fixed_groups(groups: DataFrame, total_rows: int, plain_rows: int = PLAIN_ROWS) -> DataFrame:
-    """Groups of a large table, written once before the table joins them.
-
-    Their true size is then known when the join is planned. Most tables have few
-    offending groups or none, and those must not shuffle the whole table.
-    """
-    return groups if total_rows <= plain_rows else settled(groups)
+#: Groups that are broadcast at most: those with more than their even share of the rows by this count.
+HOT_GROUPS = 50_000
 
 
 def rows_of_groups(
     rows: DataFrame, groups: DataFrame, keys: list[str], copies: str, total_rows: int,
-    plain_rows: int = PLAIN_ROWS,
+    hot_groups: int = HOT_GROUPS,
 ) -> DataFrame:
     """Rows of the listed groups, with the groups' other columns.
 
-    ``groups`` has one row per group with its size in ``copies``, and comes from
-    :func:`fixed_groups`. Groups above a thousandth of the table number at most a
-    thousand, so they are broadcast and their rows never move; all others are
-    small enough for whichever join their total size suggests.
+    ``groups`` has one row per group with its size in ``copies``, and should be
+    written first, so that its true size is known when the join is planned: most
+    tables have few offending groups or none, and those must not shuffle the
+    table. Groups with at least ``total_rows / hot_groups`` rows number at most
+    ``hot_groups``, so they are broadcast and their rows never move; all others
+    are small enough for whichever join their total size suggests.
     """
     marked = groups.select(*[column(k).alias(f"__g{i}") for i, k in enumerate(keys)],
                            *[column(c) for c in groups.columns if c not in keys])
@@ -40,8 +32,6 @@ def rows_of_groups(
         same = reduce(lambda a, b: a & b, [column(k).eqNullSafe(F.col(f"__g{i}")) for i, k in enumerate(keys)])
         return rows.join(part, same, "inner").drop(*[f"__g{i}" for i in range(len(keys))])
 
-    if total_rows <= plain_rows:
-        return joined(marked)
-    limit = max(plain_rows // 10, total_rows // HOT_SHARE)
+    limit = total_rows / hot_groups
     hot = F.broadcast(marked.filter(F.col(copies) >= limit))
     return joined(hot).unionByName(joined(marked.filter(F.col(copies) < limit)))

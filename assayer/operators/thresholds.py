@@ -6,7 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
+from assayer.operators.order_stats import quantiles
 from assayer.session import small_table
 
 REVIEW_BUDGET = 0.005
@@ -26,25 +26,22 @@ class Threshold:
                            "name string, value double, rule string, expected_flag_rate double, is_oracle boolean")
 
 
-def review_budgets(
-    calibration: DataFrame, budgets: tuple[float, ...] = (REVIEW_BUDGET,), in_memory_rows: int = IN_MEMORY_ROWS
-) -> list[Threshold]:
+def review_budgets(calibration: DataFrame, budgets: tuple[float, ...] = (REVIEW_BUDGET,)) -> list[Threshold]:
     """Cut-offs that flag the given shares of unlabelled calibration scores."""
-    values = quantiles(calibration, {"score": [1.0 - b for b in budgets]}, None, in_memory_rows)["score"]
+    values = quantiles(calibration, {"score": [1.0 - b for b in budgets]})["score"]
     return [
         Threshold(f"budget@{b:.2%}", v, f"{(1 - b) * 100:.2f}th percentile of unlabelled calibration scores", b)
         for b, v in zip(budgets, values)
     ]
 
 
-def review_budget(calibration: DataFrame, budget: float = REVIEW_BUDGET,
-                  in_memory_rows: int = IN_MEMORY_ROWS) -> Threshold:
-    return review_budgets(calibration, (budget,), in_memory_rows)[0]
+def review_budget(calibration: DataFrame, budget: float = REVIEW_BUDGET) -> Threshold:
+    return review_budgets(calibration, (budget,))[0]
 
 
-def train_percentile(train: DataFrame, percentile: float = 99.0, in_memory_rows: int = IN_MEMORY_ROWS) -> Threshold:
+def train_percentile(train: DataFrame, percentile: float = 99.0) -> Threshold:
     """A percentile of the training scores; shown for contrast, as it flags too much on new data."""
-    value = quantiles(train, {"score": [percentile / 100]}, None, in_memory_rows)["score"][0]
+    value = quantiles(train, {"score": [percentile / 100]})["score"][0]
     return Threshold(f"train_p{percentile:g}", value, f"{percentile:g}th percentile of training reconstruction error",
                      1.0 - percentile / 100.0)
 

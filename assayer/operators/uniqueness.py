@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer.functions.coerce import column, missing
 from assayer.operators.identity import POSITION, ROW_KEY, data_columns
 from assayer.operators.rules import Rule, rule_counts
-from assayer.operators.skew import fixed_groups, rows_of_groups
+from assayer.operators.skew import rows_of_groups
 from assayer.plans.profile import ColumnSpec, Profile
+from assayer.session import settled
 
 ROW_RULE = "expect_table_rows_to_be_unique"
 KEY_RULE = "expect_primary_key_to_be_unique"
@@ -43,14 +44,14 @@ def _suspects(df: DataFrame, profile: Profile, total_rows: int, colliding: DataF
         return rows_of_groups(df, colliding, key_columns(df, profile), COPIES, total_rows).drop(COPIES)
     hashed = df.withColumn("__h1", F.xxhash64(*[column(c) for c in columns])).withColumn(
         "__h2", F.xxhash64(F.lit(17), *[column(c) for c in reversed(columns)]))
-    groups = fixed_groups(colliding_keys(hashed, ["__h1", "__h2"]), total_rows)
+    groups = settled(colliding_keys(hashed, ["__h1", "__h2"]))
     return rows_of_groups(hashed, groups, ["__h1", "__h2"], COPIES, total_rows).drop("__h1", "__h2", COPIES)
 
 
-def _colliding(df: DataFrame, profile: Profile, total_rows: int) -> DataFrame | None:
+def _colliding(df: DataFrame, profile: Profile) -> DataFrame | None:
     """Colliding primary keys, or nothing for a table without a key."""
     keys = key_columns(df, profile)
-    return fixed_groups(colliding_keys(df, keys), total_rows) if keys else None
+    return settled(colliding_keys(df, keys)) if keys else None
 
 
 def equal_rows(
@@ -91,7 +92,7 @@ def uniqueness_counts(df: DataFrame, profile: Profile, total_rows: int) -> list[
         return rule_counts(sums, [(r, total, f"f{i}") for i, r in enumerate(rules)])
 
     copies = F.col(COPIES)
-    colliding = _colliding(df, profile, total_rows)
+    colliding = _colliding(df, profile)
     parts = [counted(equal_rows(df, profile, total_rows, colliding), {ROW_RULE: copies - 1})]
     keys = key_columns(df, profile)
     alone = [c.name for c in _unique_columns(df, profile)]
@@ -113,8 +114,8 @@ def finding_rows(rows: DataFrame, table: str, rule_id: str, dimension: str, col:
 def uniqueness_findings(df: DataFrame, profile: Profile, table: str, total_rows: int) -> list[DataFrame]:
     """Failing rows: later copies of equal rows, and every copy of a colliding key or value."""
     columns = data_columns(df)
-    colliding = _colliding(df, profile, total_rows)
-    equal = fixed_groups(equal_rows(df, profile, total_rows, colliding, first=True), total_rows)
+    colliding = _colliding(df, profile)
+    equal = settled(equal_rows(df, profile, total_rows, colliding, first=True))
     later = rows_of_groups(df, equal, columns, COPIES, total_rows)
     parts = [finding_rows(later.filter(F.col(POSITION) > F.col("__first")), table, ROW_RULE, "uniqueness", None)]
     keys = key_columns(df, profile)
@@ -123,8 +124,8 @@ def uniqueness_findings(df: DataFrame, profile: Profile, table: str, total_rows:
         parts.append(finding_rows(hit, table, KEY_RULE, "uniqueness", ",".join(keys)))
     for spec in _unique_columns(df, profile):
         same_key = keys == [spec.name] and df.schema[spec.name].dataType.typeName() not in ("float", "double")
-        groups = colliding.filter(column(spec.name).isNotNull()) if same_key else fixed_groups(
-            colliding_values(df, spec.name), total_rows)
+        groups = colliding.filter(column(spec.name).isNotNull()) if same_key else settled(
+            colliding_values(df, spec.name))
         hit = rows_of_groups(df, groups, [spec.name], COPIES, total_rows)
         parts.append(finding_rows(hit, table, _unique_id(spec.name), "uniqueness", spec.name))
     return parts

@@ -126,15 +126,13 @@ def score_with_fallback(
     return _Scored("isolation_forest_fitted_on_batch", scores, review_budget(scores, budget), names=tuple(names))
 
 
-def _explanations(scored: _Scored, limit: int) -> dict[str, list[dict]]:
+def _explanations(scored: _Scored, limit: int) -> DataFrame | None:
+    """Features that stand out in the rows which the register lists, by position."""
     if scored.model is None or scored.features is None:
-        return {}
+        return None
     top = flagged_records(scored.scores, scored.threshold.value, limit).select(POSITION)
     rows = scored.features.join(F.broadcast(top), POSITION, "left_semi")  # at most ``limit`` rows
-    return {
-        r[ROW_KEY]: top_features(list(scored.names), r["errors"], r["observed"], r["expected"])
-        for r in scored.model.explain(rows).select(ROW_KEY, "errors", "observed", "expected").collect()
-    }
+    return scored.model.explain(rows).select(POSITION, top_features(list(scored.names)).alias("top_features"))
 
 
 def audit_batch(

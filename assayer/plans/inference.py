@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer.functions.coerce import as_number, column, missing
 from assayer.operators.identity import data_columns
-from assayer.operators.order_stats import IN_MEMORY_ROWS, quantiles
+from assayer.operators.order_stats import quantiles
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.profile import ColumnSpec, Profile, detect_profile
 from assayer.session import small_table
@@ -40,7 +40,7 @@ def _countable(kind: T.DataType) -> bool:
     return not isinstance(kind, (T.MapType, T.VariantType))
 
 
-def infer_profile(df: DataFrame, name: str = "uploaded_batch", in_memory_rows: int = IN_MEMORY_ROWS) -> Profile:
+def infer_profile(df: DataFrame, name: str = "uploaded_batch") -> Profile:
     """Bounds, vocabularies and a key as the batch shows them.
 
     One aggregate sizes every column; exact work follows only where the sizes allow it.
@@ -58,8 +58,7 @@ def infer_profile(df: DataFrame, name: str = "uploaded_batch", in_memory_rows: i
     numeric = [i for i, c in enumerate(names)
                if inferred_dtype(kinds[c]) in ("int", "float") and seen[f"n{i}"] > MIN_NUMBERS]
     numbers = df.select(*[as_number(column(names[i]), kinds[names[i]]).alias(f"v{i}") for i in numeric])
-    tails = quantiles(numbers, {f"v{i}": list(TAIL) for i in numeric}, {f"v{i}": seen[f"n{i}"] for i in numeric},
-                      in_memory_rows) if numeric else {}
+    tails = quantiles(numbers, {f"v{i}": list(TAIL) for i in numeric}, {f"v{i}": seen[f"n{i}"] for i in numeric}) if numeric else {}
     words = _vocabularies(df, [c for i, c in enumerate(names)
                                if isinstance(kinds[c], T.StringType) and 0 < seen[f"d{i}"] <= MAX_VOCABULARY * 1.5])
     specs = []

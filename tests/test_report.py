@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators.issues import (
-    ISSUE_SCHEMA, anomaly_issues, anomaly_summary, average_percentiles, by_severity, flagged_records, prioritized,
-    quality_issues, severity_band, severity_counts, severity_score, top_features,
+    ISSUE_SCHEMA, anomaly_issues, anomaly_summary, by_severity, flagged_records, prioritized, quality_issues,
+    severity_band, severity_counts, severity_score, top_features, with_percentiles,
 )
 from assayer.operators.features import COMPONENTS, Scaler, card_features
 from assayer.operators.forest import ForestConfig
@@ -71,21 +71,38 @@ def test_register_cap(spark):
     issues = anomaly_issues(spark, df, summary, "t", 5).collect()
     assert len(issues) == 6 and issues[-1]["n_records"] == 35 and issues[-1]["severity"] == "medium"
     assert [i["record_keys"] for i in issues[:5]] == [["0"], ["1"], ["2"], ["3"], ["4"]]
-    top = flagged_records(df, 2.0, 5).collect()
-    assert average_percentiles(df, top, 1000) == pytest.approx([(960 + 20.5) / 1000] * 5)
+    top = with_percentiles(flagged_records(df, 2.0, 5), df, 1000).collect()
+    assert [r["percentile"] for r in top] == pytest.approx([(960 + 20.5) / 1000] * 5)
+    assert issues[0]["reason"] == "Anomaly score 5 (98.0500% percentile, 9.3x the batch median)."
+    assert json.loads(issues[0]["evidence"])["threshold"] == 2.0
+    none = anomaly_issues(spark, df, anomaly_summary(df, 99.0, "rule", "m"), "t", 5)
+    assert none.count() == 0 and none.columns == df.sparkSession.createDataFrame([], ISSUE_SCHEMA).columns
+
+
+def test_rows_that_share_a_key_keep_their_own_explanation(spark):
+    df = spark.createDataFrame([(i, "same", float(i)) for i in range(4)], "__position bigint, __row_key string, score double")
+    why = spark.range(4).select(F.col("id").alias("__position"), F.array(F.lit(4.0), F.col("id").cast("double")).alias("errors"),
+                                F.array(F.lit(0.0), F.lit(1.0)).alias("observed"), F.array(F.lit(2.0), F.lit(3.0)).alias("expected"))
+    issues = anomaly_issues(spark, df, anomaly_summary(df, 2.0, "rule", "m"), "t", 9,
+                            why.select("__position", top_features(["a", "b"]).alias("top_features"))).collect()
+    shares = [json.loads(i["evidence"])["top_features"][0]["share_of_error"] for i in issues]
+    assert shares == pytest.approx([4 / 7, 4 / 6]) and all(i["record_keys"] == ["same"] for i in issues)
+    assert issues[0]["reason"].endswith("Largest deviations: a (observed 0.00 vs expected 2.00), b (observed 1.00 vs expected 3.00).")
 
 
 def test_percentiles_match_average_ranks(spark):
     import pandas as pd
     values = [1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 9.0]
     df = spark.createDataFrame(list(enumerate(values)), "__position bigint, score double")
-    top = flagged_records(df, 0.0, 5).collect()
+    top = flagged_records(df, 0.0, 5)
     expected = sorted(pd.Series(values).rank(pct=True), reverse=True)[:5]
-    assert average_percentiles(df, top, 7) == pytest.approx(expected)
+    assert sorted((r["percentile"] for r in with_percentiles(top, df, 7).collect()), reverse=True) == pytest.approx(expected)
 
 
-def test_top_features():
-    got = top_features(["a", "b", "c", "d"], [1.0, 4.0, 0.0, 5.0], [0.0] * 4, [1.0] * 4)
+def test_top_features(spark):
+    row = spark.createDataFrame([([1.0, 4.0, 0.0, 5.0], [0.0] * 4, [1.0] * 4)],
+                                "errors array<double>, observed array<double>, expected array<double>")
+    got = row.select(top_features(["a", "b", "c", "d"])).first()[0]
     assert [f["feature"] for f in got] == ["d", "b", "a"] and got[0]["share_of_error"] == 0.5
 
 

@@ -803,7 +803,7 @@ ORACLES["deviation_spread"] = (f"SELECT round(least({_DEVIATIONS}), 4) AS min_st
                                f"round(greatest({_DEVIATIONS}), 4) AS max_std FROM lineitem")
 ORACLES["class_describe"] = f"""
 SELECT label AS class, count(score) AS n, round(avg(score), 4) AS mean, round(stddev_samp(score), 4) AS std, min(score) AS min,
-       quantile_disc(score, 0.25) AS p25, quantile_disc(score, 0.5) AS p50, quantile_disc(score, 0.75) AS p75, max(score) AS max
+       round(quantile_cont(score, 0.25), 4) AS p25, round(quantile_cont(score, 0.5), 4) AS p50, round(quantile_cont(score, 0.75), 4) AS p75, max(score) AS max
 FROM ({DOCS}) GROUP BY 1"""
 ORACLES["hour_density"] = """
 WITH placed AS (SELECT CAST(least(47, floor((hour(ts) + minute(ts) / 60) / 0.5)) AS INTEGER) AS bin,

@@ -41,8 +41,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RESULT = ["rule_id", "dimension", "column", "description", "n_checked", "n_failed", "score", "impact", "weight"]
-FOREST = ForestConfig(trees=100, sample=4096)
-AUTOENCODER = AutoencoderConfig(max_epochs=25)
+FOREST = ForestConfig()
+AUTOENCODER = AutoencoderConfig()
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -501,7 +501,7 @@ QUERIES["deviation_spread"] = lambda s, d: rounded(explore.deviation_spread(B.ta
 
 @query("class_describe")
 def class_describe(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents by length; the sketch is exact at this many values per class."""
+    """Labelled documents by length."""
     df = B.scored_documents(spark, folder)
     return rounded(explore.class_describe(df, "label", "score"), 4)
 

@@ -139,7 +139,8 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
              .withColumn("low", F.greatest(start, F.col("index") * block))
              .select("number", "index", "doc_id", "mark", "until", (F.col("low") - start).alias("first"),
                      (F.least("until", (F.col("index") + 1) * block) - F.col("low")).alias("words")))
-    pieces = _slots(plan, seed, block, shard_slots).join(parts, ["number", "index"])
+    # the blocks grow with the corpus, and the size of their compressed files would pass for a small side
+    pieces = _slots(plan, seed, block, shard_slots).join(parts.hint("merge"), ["number", "index"])
     return pieces.select("shard", "place", "number", "doc_id", "mark", "until", "first", "words"), placed
 
 

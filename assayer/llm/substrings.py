@@ -321,7 +321,8 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     A span is a first word and a mask of the windows that begin there and at the words after it.
     """
     row = F.xxhash64("text")
-    rank = F.coalesce("doc_id", F.lit(_NULLS) + F.pmod(row, F.lit(1 << 20)))
+    # never null by its type: a null check pushed below the shuffle of texts would make it another one, and run it twice
+    rank = F.coalesce("doc_id", F.lit(_NULLS) + row.bitwiseAND(F.lit((1 << 20) - 1)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = texts(docs, key, text).select(rank.alias("rank"), row.alias("row"), "text")
     copies = settled(_copies(source, length))

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
@@ -29,12 +30,24 @@ from assayer.session import settled, shared_folder
 
 #: Characters of training text behind one part, about two million words.
 PART_CHARS = 12_000_000
+#: Text bytes that are counted, or scored, at a time; a longer text is one piece. Counting gains by larger ones.
+COUNT_BYTES, SCORE_BYTES = 24 << 20, 4 << 20
 BEGIN, END = 1, 2
 _U = np.uint64
 _PAIR = np.dtype([("c", "<u2", 3), ("w", "<u2", 3), ("n", "u1")])
 _WORD = np.dtype([("w", "<u8"), ("n", "<u4"), ("d", "<u4")])
 
 
+def _pieces(b: pa.RecordBatch, size: int):
+    """Runs of rows with about ``size`` bytes of text each, so that what is held for them does not follow the batch."""
+    ends = np.cumsum(pc.binary_length(b.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def _tokens(b: pa.RecordBatch):
     """(token keys, contexts, bounds of texts) of a batch: words and an end for each text."""
     keys, bounds = [], [np.zeros(1, np.int64)]
@@ -167,8 +180,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", part_chars:
         stats = [len(n), int(n.sum()), int(d.sum()), *_counts(d), int((d >= 3).sum())]
         return pa.table({"part": [part], "stats": pa.array([stats], pa.list_(pa.int64()))})
 
-    built = settled(map_batches(source, pairs, "part long, rows binary").groupBy("part").applyInArrow(
-        build, "part long, rows binary, stats array<long>"))
+    counted = map_batches(source, lambda b: (out for piece in _pieces(b, COUNT_BYTES) for out in pairs(piece)), "part long, rows binary")
+    built = settled(counted.groupBy("part").applyInArrow(build, "part long, rows binary, stats array<long>"))
     united = settled(built.select("part", "rows").groupBy("part").applyInArrow(unite, "part long, stats array<long>"))
 
     def added(rows: DataFrame, size: int) -> list[int]:
@@ -235,4 +248,5 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
             [b.column("doc_id"), pa.array(np.diff(bounds)), pa.array(add((seen > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(full))],
             ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return map_batches(texts(docs, key, text), judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return map_batches(texts(docs, key, text), lambda b: (out for piece in _pieces(b, SCORE_BYTES) for out in judge(piece)),
+                       "doc_id long, n_tokens long, n_known long, base_score double, score double")

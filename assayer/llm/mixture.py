@@ -7,6 +7,8 @@
 4. Slot ``j`` of a source takes the block at the image of ``j mod blocks`` under a pseudorandom permutation of the source's block
    indices, another one in each round through the blocks, so no block is taken more than ``cap`` times.
 5. Blocks are joined to slots by (source, index), and documents to blocks by the words that they share.
+6. For the mixed text each document is cut at the bounds of blocks, the cuts of a block are put together in the order of the source's
+   words, and every slot gets the text of its block: once for each time it is drawn, and only the words that the block has of a document.
 
 Permutations are four-round Feistel networks with cycle walking, seeded by a parameter: reruns agree, on any layout. A null
 source is a source of its own, after all others. Documents without words take part with size 0. A null id comes first
@@ -112,14 +114,8 @@ def _slots(plan: DataFrame, seed: int, block: int, shard_slots: int) -> DataFram
     return map_batches(runs.repartition("number", "low"), deal, "number long, index long, shard long, place long")
 
 
-def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
-            share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
-            seed: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(pieces, documents).
-
-    pieces: shard, place, number, doc_id, mark, first, words - what a slot holds, as runs of words of documents. documents: doc_id, mark, number,
-    size, source, source_size, target, until - until is the end of the document in its source's words.
-    """
+def _laid(docs: DataFrame, key: str, text: str, source: str, weights: tuple, share: float, cap: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(plan, documents): a row per source with its blocks and quota of slots, and the documents as ``mixture`` returns them."""
     sizes = settled(sized(docs, key, text, source))
     plan = targets(sizes, weights, share, cap)
     blocks = F.ceil(F.col("source_size") / block)
@@ -132,7 +128,18 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
                                "number", "source_size", "target"), ["none", "name"]).drop("none", "name"))
     named = settled(named.withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)))))
     placed = running_totals(named, [F.col("order"), F.col("mark")], ["size"], ["number"])
-    placed = settled(placed.drop("order").withColumnRenamed("cum_size", "until"))
+    return plan, settled(placed.drop("order").withColumnRenamed("cum_size", "until"))
+
+
+def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
+            share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS,
+            seed: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pieces, documents).
+
+    pieces: shard, place, number, doc_id, mark, first, words - what a slot holds, as runs of words of documents. documents: doc_id, mark, number,
+    size, source, source_size, target, until - until is the end of the document in its source's words.
+    """
+    plan, placed = _laid(docs, key, text, source, weights, share, cap, block)
     start = F.col("until") - F.col("size")
     parts = (placed.where("size > 0")
              .withColumn("index", F.explode(F.sequence(F.floor(start / block), F.floor((F.col("until") - 1) / block))))
@@ -144,6 +151,56 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     return pieces.select("shard", "place", "number", "doc_id", "mark", "until", "first", "words"), placed
 
 
+def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS,
+           share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 8) -> DataFrame:
+    """(shard, place, source, source_size, target, size, taken, pieces, text), one row per slot: the mix itself.
+
+    pieces: doc_id, first, words, in the order of the text; a line break stands between the pieces. size is what the pieces add up to, taken the
+    words found in the text. Inside a piece the text is as it was. A block that is drawn twice comes out twice.
+    """
+    plan, placed = _laid(docs, key, text, source, weights, share, cap, block)
+    keys = ["__id", "mark", "__source"]
+    own = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("mark"),
+           F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source")]
+    # rows with equal id, text and source are interchangeable: one text serves all of them
+    held = (docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("mark"),
+                        F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+            .select(*own, "text").dropDuplicates(keys))
+
+    def cut(b: pa.RecordBatch):
+        number, until, size = (b.column(c).to_numpy() for c in ("number", "until", "size"))
+        for w in words(b.column("text")):
+            row = w.row + np.arange(w.texts)
+            start = until[row] - size[row]
+            many = (until[row] - 1) // block - start // block + 1
+            at = np.repeat(np.arange(w.texts), many)  # the text of each piece
+            index = start[at] // block + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            low = np.maximum(start[at], index * block)
+            first = low - start[at]
+            count = np.minimum(until[row][at], (index + 1) * block) - low
+            a, z = w.first[:-1][at] + first, np.minimum(w.first[:-1][at] + first + count, w.first[1:][at])
+            texts = [w.data[i:j].tobytes() for i, j in zip(w.start[a], w.end[z - 1])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(number[row][at]), pa.array(index), pa.array(low), b.column("doc_id").take(pa.array(row[at])), pa.array(first),
+                 pa.array(count), pa.array(z - a), pa.array(texts, pa.binary()).cast(pa.string())],
+                ["number", "index", "low", "doc_id", "first", "words", "found", "text"])
+
+    rows = placed.where("size > 0").select(*own, "doc_id", "number", "until", "size").join(held.hint("merge"), keys)
+    parts = map_batches(rows.select("doc_id", "number", "until", "size", "text"), cut,
+                        "number long, index long, low long, doc_id long, first long, words long, found long, text string")
+    # a piece has a word at least, so a block has at most ``block`` of them
+    blocks = (parts.groupBy("number", "index")
+              .agg(F.sum("words").alias("size"), F.sum("found").alias("taken"),
+                   F.sort_array(F.collect_list(F.struct("low", "doc_id", "first", "words", "text"))).alias("__parts")))
+    blocks = blocks.select("number", "index", "size", "taken",
+                           F.transform("__parts", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["first"].alias("first"),
+                                                                     x["words"].alias("words"))).alias("pieces"),
+                           F.array_join(F.transform("__parts", lambda x: x["text"]), "\n").alias("text"))
+    mixed = _slots(plan, seed, block, shard_slots).join(blocks.hint("merge"), ["number", "index"])
+    return (mixed.join(F.broadcast(plan.select("number", "source", "source_size", "target")), "number")
+            .select("shard", "place", "source", "source_size", "target", "size", "taken", "pieces", "text"))
+
+
 def shares(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, mark, size, source, source_size, target, taken), one row per row of ``docs``."""
     pieces, placed = mixture(docs, **settings)

@@ -54,6 +54,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_mixed_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself, of which op8_mixing has the shares of documents."""
+    return mixture.packed(_table(spark, folder, "documents"))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Two captures of every page: a response, and a revisit after it (of each fourth page: before it) under another spelling of its URL.
 
@@ -88,7 +93,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op9_warc_revisits,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op8_mixed_blocks, op9_warc_revisits,
                                      op10_toxicity)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')

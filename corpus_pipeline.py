@@ -44,20 +44,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with size, source_size, target and taken.
-
-    Rows that agree in id, text and source are one row, with what all of them give.
-    """
-    keys = ["__id", "__mark", "__source"]
-    none = F.lit(-(1 << 63))
-    took = (mixture.shares(docs).select(F.coalesce("doc_id", none).alias("__id"), F.col("mark").alias("__mark"),
-                                        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"),
-                                        "size", "source_size", "target", "taken")
-            .groupBy(*keys).agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"),
-                                F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0"))
-    rows = docs.select(*COLUMNS, F.coalesce("doc_id", none).alias("__id"), F.xxhash64("text").alias("__mark"),
-                       F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"))
-    return rows.join(took, keys).dropDuplicates(keys).drop(*keys)
+    """The mix: a row per slot of a shard with the text of its block, the pieces of documents in it, and its source's size and target."""
+    return mixture.packed(docs)
 
 
 STAGES = [("toxicity", clean_of_toxicity), ("near_duplicates", one_of_each_group), ("decontamination", without_benchmark),

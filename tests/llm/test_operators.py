@@ -177,6 +177,38 @@ def test_mixing(spark, odd):
         assert sorted(mixture.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
 
 
+def test_mixed_text_meets_targets(spark, odd):
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text, r.source) for r in documents(spark).limit(300).collect()] + odd
+    docs = frame(spark, rows)
+    got = corpus_pipeline.mixed(spark, docs, SF).collect()
+    placed = {(r.shard, r.place) for r in got}
+    assert len(placed) == len(got)
+    texts = {(d, s): set() for d, _, s in rows}
+    for d, t, s in rows:
+        texts[d, s].add(tuple(brute.WORD.findall(t or "")))
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        assert abs(sum(len(brute.WORD.findall(r.text)) for r in own) - own[0].target) <= mixture.BLOCK
+    for r in got:
+        found = brute.WORD.findall(r.text)
+        assert len(found) == r["size"] == r.taken == sum(p.words for p in r.pieces) <= mixture.BLOCK
+        at = 0
+        for p in r.pieces:
+            assert any(list(t[p.first:p.first + p.words]) == found[at:at + p.words] for t in texts[p.doc_id, r.source])
+            at += p.words
+    taken = Counter()
+    for r in got:
+        for p in r.pieces:
+            taken[r.source, p.doc_id] += p.words
+    shares = Counter()
+    for r in mixture.shares(docs).collect():
+        shares[r.source, r.doc_id] += r.taken
+    assert +shares == taken
+    assert mixture.packed(docs.limit(0)).count() == 0
+
+
 def test_revisits(spark):
     def row(i, url, ts, kind, etag=None, modified=None, digest=None, headers=None):
         return i, url, ts, kind, etag, modified, digest, headers

@@ -2,9 +2,11 @@
 
 1. A page is cut into blocks in page order. A block knows whether it lies in an article or main element, and whether it lies in menus, headers,
    footers, sidebars, notices, adverts, forms or reader comments, by element, role, or a word of its class or id.
-2. The pages of a host are dealt into groups of about ``GROUP_CHARS``, so a host of any size is many tasks. In a group the
-   token streams of distinct pages are laid end to end and a suffix array is built over them (ranks by doubling). Where neighbouring suffixes
+2. The pages of a host are dealt by their token streams into groups of about ``GROUP_CHARS``, so a host of any size is many tasks. In a group
+   the streams of distinct pages are laid end to end and a suffix array is built over them (ranks by doubling). Where neighbouring suffixes
    of different pages agree in ``RUN`` tokens or more, both are covered by a repeated run. Pages with equal streams are one page.
+   Groups of one host also pass on the hashes of their runs of ``RUN`` tokens, by ranges of the hash; what two groups have is repeated in both,
+   as no stream is in two groups. So the size of a group decides nothing but the size of a task.
 3. Marked blocks go. Of the others, a block outside articles is boilerplate if repeated runs cover all its tokens; blocks with unique runs stay.
    If a page has an article or main element, the text is what is in it: passages that articles share are theirs and stay. Without such an
    element and with nothing unique, all unmarked blocks stay.
@@ -15,6 +17,7 @@ is a host of its own. Markup that can't be parsed counts as text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm.frames import map_batches
-from assayer.llm.words import words
+from assayer.llm.words import grams, words
+from assayer.session import settled
 
 #: Tokens of a repeated run.
 RUN = 4
@@ -161,57 +165,117 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
 
 
 def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """Pages cut into blocks. stream is a hash of all tokens, digest one of the tokens and of where the blocks end."""
     def cut(b: pa.RecordBatch):
         found = [blocks(h) for h in b.column("html").to_pylist()]
+        bodies = [" ".join(x[0] for x in f).encode("utf-8", "replace").lower() for f in found]  # as words() folds and splits them
+        ends = [np.array([len(x[0].encode("utf-8", "replace")) for x in f], np.int64).tobytes() for f in found]
+        hashed = [hashlib.blake2b(t, digest_size=16).digest() for t in bodies]
         return pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), b.column("host"),
-             *[pa.array([[x[i] for x in f] for f in found], pa.list_(t)) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))]],
-            ["page_id", "url", "host", "blocks", "main", "marked"])
+             *[pa.array([[x[i] for x in f] for f in found], pa.list_(t)) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))],
+             pa.array([int.from_bytes(h[:8], "little", signed=True) for h in hashed], pa.int64()),
+             pa.array([hashlib.blake2b(h + e, digest_size=16).digest() for h, e in zip(hashed, ends)], pa.binary()),
+             pa.array([len(t) for t in bodies], pa.int64())],
+            ["page_id", "url", "host", "blocks", "main", "marked", "stream", "digest", "size"])
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"),
                         F.col(html).cast("string").alias("html"))
-    return map_batches(rows, cut, "page_id long, url string, host string, blocks array<string>, main array<boolean>, marked array<boolean>")
+    return map_batches(rows, cut, "page_id long, url string, host string, blocks array<string>, main array<boolean>, marked array<boolean>, "
+                                  "stream long, digest binary, size long")
+
+
+def _streams(table: pa.Table):
+    """Of a group: rows that stand for their digest, tokens of their blocks laid end to end, bounds of blocks in them and of rows in those,
+    the row that each shares its stream with, rows of distinct streams, and the places of their tokens with their pages."""
+    first_row: dict = {}
+    for i, d in enumerate(table.column("digest").to_pylist()):
+        first_row.setdefault(d, i)
+    rows = list(first_row.values())
+    texts = [t or [] for t in table.column("blocks").take(pa.array(rows, pa.int64())).to_pylist()]
+    edge = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    count, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for w in words(pa.array([x for t in texts for x in t], pa.string()), lower=True):
+        count.append(w.counts), tokens.append(w.hash)
+    tokens = np.concatenate(tokens)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int64)
+    seen: dict = {}
+    page = [seen.setdefault(tokens[first[edge[i]]:first[edge[i + 1]]].tobytes(), i) for i in range(len(texts))]
+    single = [i for i in range(len(texts)) if page[i] == i]
+    spans = [np.arange(first[edge[i]], first[edge[i + 1]]) for i in single]
+    at = np.concatenate(spans) if spans else np.empty(0, np.int64)
+    return rows, tokens, first, edge, page, at, np.array([len(s) for s in spans], np.int64)
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", run: int = RUN,
               group_chars: int = GROUP_CHARS) -> DataFrame:
     """(page_id, url, text, n_repeated): n_repeated counts the tokens in runs that other pages of the host have too."""
-    def judge(table: pa.Table) -> pa.Table:
-        texts = [t or [] for t in table.column("blocks").to_pylist()]
-        main, marked = (table.column(c).to_pylist() for c in ("main", "marked"))
-        sizes = np.array([len(t) for t in texts])
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        flat = [x for t in texts for x in t]
-        count, tokens = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for w in words(pa.array(flat, pa.string()), lower=True):
-            count.append(w.counts), tokens.append(w.hash)
-        count, tokens = np.concatenate(count), np.concatenate(tokens)
-        first = np.concatenate([[0], np.cumsum(count)])
-        # pages with the same stream are one page
-        seen: dict = {}
-        page = [seen.setdefault(tokens[first[edge[i]]:first[edge[i + 1]]].tobytes(), i) for i in range(len(texts))]
-        single = [i for i in range(len(texts)) if page[i] == i]
-        spans = [np.arange(first[edge[i]], first[edge[i + 1]]) for i in single]
-        at = np.concatenate(spans) if spans else np.empty(0, np.int64)
+    parsed = settled(_parsed(pages, key, url, html))
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        """The distinct runs of a group, by ranges of their hashes; none where the host is one group."""
+        groups = table.column("groups")[0].as_py()
+        host, group = table.column("host")[0].as_py(), table.column("group")[0].as_py()
+        bits = int(groups - 1).bit_length()
+        found = np.empty(0, np.uint64)
+        if bits:
+            _, tokens, _, _, _, at, sizes = _streams(table)
+            hashes, inside = grams(tokens[at], np.concatenate([[0], np.cumsum(sizes)]), run)
+            found = np.unique(hashes[inside])
+        part = (found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(0, np.int64)
+        edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else np.zeros(1, np.int64)
+        return pa.table({"host": pa.array([host] * (len(edge) - 1), pa.string()), "range": part[edge[:-1]] if len(part) else pa.array([], pa.int64()),
+                         "group": pa.array([group] * (len(edge) - 1), pa.int64()),
+                         "runs": pa.array([found[a:z].tobytes() for a, z in zip(edge, edge[1:])], pa.binary())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        """For each group the runs of this range that another group of the host has too."""
+        held = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
+        every, times = np.unique(np.concatenate(held), return_counts=True)
+        shared = every[times > 1]  # a group has a run once
+        own = [x[np.isin(x, shared, assume_unique=True)].tobytes() for x in held]
+        return pa.table({"host": table.column("host"), "group": table.column("group"), "runs": pa.array(own, pa.binary())})
+
+    def judge(table: pa.Table, others: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"host": pa.array([], pa.string()), "digest": pa.array([], pa.binary()),
+                             "unique": pa.array([], pa.list_(pa.bool_())), "n_repeated": pa.array([], pa.int64())})
+        rows, tokens, first, edge, page, at, sizes = _streams(table)
+        here = repeated(tokens[at], np.repeat(np.arange(len(sizes)), sizes), run)
+        elsewhere = np.frombuffer(b"".join(others.column("runs").to_pylist()), np.uint64) if others.num_rows else np.empty(0, np.uint64)
+        if len(elsewhere):
+            hashes, inside = grams(tokens[at], np.concatenate([[0], np.cumsum(sizes)]), run)
+            hits = np.flatnonzero(inside & np.isin(hashes, elsewhere))
+            change = np.zeros(len(at) + 1, np.int64)
+            change[hits] += 1
+            np.subtract.at(change, hits + run, 1)
+            here |= np.cumsum(change[:-1]) > 0
         covered = np.zeros(len(tokens), bool)
-        covered[at] = repeated(tokens[at], np.repeat(np.arange(len(single)), [len(s) for s in spans]), run)
-        out, n = [], []
-        for i, t in enumerate(texts):
+        covered[at] = here
+        unique, n = [], []
+        for i in range(len(rows)):
             own = covered[first[edge[page[i]]]:first[edge[page[i] + 1]]]  # a copy is covered where its first is
             inner = first[edge[i]:edge[i + 1] + 1] - first[edge[i]]
-            unique = [not own[a:z].all() for a, z in zip(inner, inner[1:])]
-            open_ = [k for k in range(len(t)) if not marked[i][k]]
-            inside = [k for k in open_ if main[i][k]]
-            kept = inside or [k for k in open_ if unique[k]] or open_
-            out.append(" ".join(t[k] for k in kept))
+            unique.append([bool(not own[a:z].all()) for a, z in zip(inner, inner[1:])])
             n.append(int(own.sum()))
-        return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(out, pa.string()),
-                         "n_repeated": pa.array(n, pa.int64())})
-
-    # how many groups a host's pages need, from one row per host
-    hosted = pages.withColumn("__host", F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
-    groups = hosted.groupBy("__host").agg(F.ceil(F.sum(F.length(html)) / group_chars).alias("groups")).select(F.col("__host").alias("host"), "groups")
-    dealt = (_parsed(pages, key, url, html).join(groups, "host", "left")
-             .withColumn("group", F.pmod(F.xxhash64("blocks"), F.greatest(F.coalesce("groups", F.lit(1)), F.lit(1)))).drop("groups"))
-    return dealt.groupBy("host", "group").applyInArrow(judge, "page_id long, url string, text string, n_repeated long")
+        taken = pa.array(rows, pa.int64())
+        return pa.table({"host": table.column("host").take(taken), "digest": table.column("digest").take(taken),
+                         "unique": pa.array(unique, pa.list_(pa.bool_())), "n_repeated": pa.array(n, pa.int64())})
+
+    # a host of several groups has more than ``group_chars``, so this is a row for each of those characters at most
+    groups = (parsed.groupBy("host").agg(F.ceil(F.sum("size") / group_chars).alias("groups")).where("groups > 1"))
+    dealt = (parsed.select("host", "stream", "digest", "blocks").join(F.broadcast(groups), "host", "left")
+             .withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+             .withColumn("group", F.pmod(F.xxhash64("stream"), F.col("groups")))
+             .select("host", "group", "groups", "digest", "blocks"))
+    runs = dealt.groupBy("host", "group").applyInArrow(pass_on, "host string, range long, group long, runs binary")
+    shared = runs.groupBy("host", "range").applyInArrow(compare, "host string, group long, runs binary")
+    verdict = (dealt.groupBy("host", "group").cogroup(shared.groupBy("host", "group"))
+               .applyInArrow(judge, "host string, digest binary, unique array<boolean>, n_repeated long"))
+    block = F.arrays_zip("blocks", "main", "marked", "unique")
+    open_ = F.filter(block, lambda x: ~x["marked"])
+    inside, own = F.filter(open_, lambda x: x["main"]), F.filter(open_, lambda x: x["unique"])
+    kept = F.when(F.size(inside) > 0, inside).when(F.size(own) > 0, own).otherwise(open_)
+    return (parsed.join(verdict.hint("merge"), ["host", "digest"])
+            .select("page_id", "url", F.array_join(F.transform(kept, lambda x: x["blocks"]), " ").alias("text"), "n_repeated"))

@@ -239,6 +239,18 @@ def test_html(spark):
     assert same.tolist() == [True] * 4 + [False] + [True] * 4 + [False]
 
 
+def test_html_repeats_across_groups(spark):
+    notice = "<div>Please note our rare notice number {} today</div>"
+    own = "<div>" + " ".join("w{}x%d" % i for i in range(40)) + "</div>"
+    rows = [(i, f"http://big/{i}", notice.format(i // 2) + own.replace("{}", str(i))) for i in range(60)]
+    rows += [(100, "http://big/0c", rows[0][2]), (None, "http://big/e", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {r.page_id: (r.text, r.n_repeated) for r in html_text.main_text(pages).collect()}
+    for chars in (4000, 600):  # several groups, and about one for two pages
+        assert {r.page_id: (r.text, r.n_repeated) for r in html_text.main_text(pages, group_chars=chars).collect()} == whole
+    assert all(whole[i][1] == 8 and whole[i][0].startswith(f"w{i}x0 ") for i in range(60)) and whole[100] == whole[0] and whole[None] == ("", 0)
+
+
 def test_queries_match_sql(spark):
     import sys
     from pathlib import Path

@@ -165,25 +165,35 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
 
 
 def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """Pages cut into blocks. stream is a hash of all tokens, digest one of the tokens and of where the blocks end."""
+    """Pages cut into blocks. stream is a hash of all tokens, digest one of the tokens and of where the blocks end.
+
+    fresh: the first page of its host with its digest in a task. Only these are compared, so of a page with many copies a task gets one for
+    each split of the input; the verdict is joined back to all of them.
+    """
+    seen: set = set()  # each task has its own
+
     def cut(b: pa.RecordBatch):
         found = [blocks(h) for h in b.column("html").to_pylist()]
         bodies = [" ".join(x[0] for x in f).encode("utf-8", "replace").lower() for f in found]  # as words() folds and splits them
         ends = [np.array([len(x[0].encode("utf-8", "replace")) for x in f], np.int64).tobytes() for f in found]
         hashed = [hashlib.blake2b(t, digest_size=16).digest() for t in bodies]
+        digests = [hashlib.blake2b(h + e, digest_size=16).digest() for h, e in zip(hashed, ends)]
+        fresh = []
+        for at in zip(digests, b.column("host").to_pylist()):
+            fresh.append(at not in seen)
+            seen.add(at)
         return pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), b.column("host"),
              *[pa.array([[x[i] for x in f] for f in found], pa.list_(t)) for i, t in enumerate((pa.string(), pa.bool_(), pa.bool_()))],
              pa.array([int.from_bytes(h[:8], "little", signed=True) for h in hashed], pa.int64()),
-             pa.array([hashlib.blake2b(h + e, digest_size=16).digest() for h, e in zip(hashed, ends)], pa.binary()),
-             pa.array([len(t) for t in bodies], pa.int64())],
-            ["page_id", "url", "host", "blocks", "main", "marked", "stream", "digest", "size"])
+             pa.array(digests, pa.binary()), pa.array([len(t) for t in bodies], pa.int64()), pa.array(fresh)],
+            ["page_id", "url", "host", "blocks", "main", "marked", "stream", "digest", "size", "fresh"])
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"),
                         F.col(html).cast("string").alias("html"))
     return map_batches(rows, cut, "page_id long, url string, host string, blocks array<string>, main array<boolean>, marked array<boolean>, "
-                                  "stream long, digest binary, size long")
+                                  "stream long, digest binary, size long, fresh boolean")
 
 
 def _streams(table: pa.Table):
@@ -264,8 +274,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                          "unique": pa.array(unique, pa.list_(pa.bool_())), "n_repeated": pa.array(n, pa.int64())})
 
     # a host of several groups has more than ``group_chars``, so this is a row for each of those characters at most
-    groups = (parsed.groupBy("host").agg(F.ceil(F.sum("size") / group_chars).alias("groups")).where("groups > 1"))
-    dealt = (parsed.select("host", "stream", "digest", "blocks").join(F.broadcast(groups), "host", "left")
+    groups = (parsed.where("fresh").groupBy("host").agg(F.ceil(F.sum("size") / group_chars).alias("groups")).where("groups > 1"))
+    dealt = (parsed.where("fresh").select("host", "stream", "digest", "blocks").join(F.broadcast(groups), "host", "left")
              .withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
              .withColumn("group", F.pmod(F.xxhash64("stream"), F.col("groups")))
              .select("host", "group", "groups", "digest", "blocks"))

@@ -251,6 +251,15 @@ def test_html_repeats_across_groups(spark):
     assert all(whole[i][1] == 8 and whole[i][0].startswith(f"w{i}x0 ") for i in range(60)) and whole[100] == whole[0] and whole[None] == ("", 0)
 
 
+def test_html_copies_are_compared_once(spark):
+    rows = [(i, "http://h/", "<div>the same words on all pages</div>" if i % 2 else None) for i in range(400)] + [(400, "http://h/", "<p>Other text")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert html_text._parsed(pages, "page_id", "url", "html").where("fresh").count() <= 3 * 4
+    got = html_text.main_text(pages).collect()
+    assert sorted(r.page_id for r in got) == list(range(401))
+    assert all(r.text == ("Other text" if r.page_id == 400 else "the same words on all pages" if r.page_id % 2 else "") and r.n_repeated == 0 for r in got)
+
+
 def test_queries_match_sql(spark):
     import sys
     from pathlib import Path

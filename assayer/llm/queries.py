@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, substrings, toxicity
+from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, sharding, substrings, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,15 +93,40 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Equal weights, so that shards hold near equal numbers of keys.
+SHARD_WEIGHTS = (1.0,) * 24
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assignment(_table(spark, folder, "documents"), SHARD_WEIGHTS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op8_mixed_blocks, op9_warc_revisits,
-                                     op10_toxicity)}
+                                     op10_toxicity, op13_sharding)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')
   || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),
   '([?&])(utm_[a-z]+|ref|sessionid)=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '[?]&+', '?', 'g'), '[?&]+$', ''), '/+$', '')"""
 _BARE = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
 
+#: CRC-32 of a text's UTF-8 bytes, folded over a table of 256 remainders: {crc} stands where ``tab`` is joined and ``h`` is the text in hex.
+_CRC_TABLE = """tab AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8),
+  lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS c FROM range(256) r(b)))"""
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::BIGINT),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
 ORACLES: dict[str, str] = {
+    "op13_sharding": f"""
+WITH {_CRC_TABLE},
+record AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+summed AS (SELECT r, doc_id, size, {_CRC} AS text_crc32 FROM record, tab),
+bid AS (SELECT r, s AS shard, -ln((('0x' || substr(md5(s::VARCHAR || coalesce(':' || doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) AS bid
+  FROM record, range(25) x(s)),
+won AS (SELECT r, arg_min(shard, (bid, shard)) FILTER (shard < 24) AS shard, arg_min(shard, (bid, shard)) AS grown_shard FROM bid GROUP BY r)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM summed JOIN won USING (r)""",
     "op7_benchmark_decontamination": """
 WITH fold AS (SELECT item_id AS id, true AS item, text FROM benchmark UNION ALL SELECT doc_id, false, text FROM documents),
 split AS (SELECT id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, sharding, substrings, toxicity
+from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, sharding, substrings, toxicity, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +93,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.by_component(whitening.whiten(_table(spark, folder, "embeddings")))
+
+
 #: Equal weights, so that shards hold near equal numbers of keys.
 SHARD_WEIGHTS = (1.0,) * 24
 
@@ -103,7 +107,7 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op8_mixed_blocks, op9_warc_revisits,
-                                     op10_toxicity, op13_sharding)}
+                                     op10_toxicity, op12_embedding_whitening, op13_sharding)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')
   || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),

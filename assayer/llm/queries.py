@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, sharding, substrings, toxicity, whitening
+from assayer.llm import decontaminate, html_text, language_model, mixture, near_duplicates, personal, quality, revisits, sharding, substrings, toxicity, turns, whitening
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows, edits = turns.repair(turns.damaged(turns.turns(_table(spark, folder, "conversations"))))
+    return turns.report(rows, edits)
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(_table(spark, folder, "embeddings")))
 
@@ -107,7 +112,7 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op8_mixed_blocks, op9_warc_revisits,
-                                     op10_toxicity, op12_embedding_whitening, op13_sharding)}
+                                     op10_toxicity, op11_conversation_repair, op12_embedding_whitening, op13_sharding)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')
   || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),
@@ -121,6 +126,47 @@ _CRC = """xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda p:
   lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
 
 ORACLES: dict[str, str] = {
+    # edits by a table over the turns from the last to the first: for each state ('', s, u, a) the least (cost, audit) of what follows.
+    # An insertion leads to the state after it; a second one in a row, from s or '', to the one after that
+    "op11_conversation_repair": f"""
+WITH RECURSIVE {_CRC_TABLE},
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS d FROM named, tab),
+harmed AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS c FROM drawn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), c) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS seen, count(*) OVER (PARTITION BY conv_id) AS n,
+  rtrim(text, E' \t\n\x0b\x0c\r') AS body, left(role, 1) AS initial FROM harmed),
+told AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+step(conv_id, i, z, s, u, a) AS (
+  SELECT DISTINCT conv_id, n, (0, ''), (10, 'II'), (5, 'I'), (0, '') FROM told
+  UNION ALL
+  SELECT conv_id, i - 1, least((uu[1] + 5, 'I' || uu[2]), z), least((uu[1] + 5, 'I' || uu[2]), s), uu, aa FROM (
+    SELECT conv_id, i, z, s, least((aa[1] + 5, 'I' || aa[2]), u) AS uu, least((u[1] + 5, 'I' || u[2]), aa) AS aa FROM (
+      SELECT p.conv_id, p.i, least(drop_z, CASE WHEN initial = 's' THEN keep_s ELSE to_u END, to_u) AS z, least(drop_s, to_u) AS s, least(drop_u, to_a) AS u, least(drop_a, to_u) AS aa FROM (
+        SELECT t.conv_id, t.i, t.initial, (x.z[1] + 2, 'D' || x.z[2]) AS drop_z, (x.s[1] + 2, 'D' || x.s[2]) AS drop_s, (x.u[1] + 2, 'D' || x.u[2]) AS drop_u,
+          (x.a[1] + 2, 'D' || x.a[2]) AS drop_a, (x.s[1] + stay, 'K' || x.s[2]) AS keep_s,
+          CASE WHEN initial = 'u' THEN (x.u[1] + stay, 'K' || x.u[2]) ELSE (x.u[1] + stay + 1, 'R' || x.u[2]) END AS to_u,
+          CASE WHEN initial = 'a' THEN (x.a[1] + stay, 'K' || x.a[2]) ELSE (x.a[1] + stay + 1, 'R' || x.a[2]) END AS to_a
+        FROM step x JOIN (SELECT *, CASE fault WHEN '.' THEN 0 WHEN 't' THEN 5 ELSE 1000000000 END AS stay FROM told) t
+          ON t.conv_id IS NOT DISTINCT FROM x.conv_id AND t.i = x.i) p))),
+solved AS (SELECT conv_id, z[1] AS cost, z[2] AS audit FROM step WHERE i = 0),
+-- the role that each edit leaves: kept ones alternate from the first, a system turn apart
+edit AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM solved),
+named_edit AS (SELECT conv_id, k, audit[k] AS e, (SELECT count(*) FROM range(1, k + 1) x(j) WHERE audit[j] <> 'I')::BIGINT AS i FROM edit),
+kept AS (SELECT e.conv_id, e.k, e.e, t.role, t.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.k) AS o,
+  max(CASE WHEN e.e = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS led
+  FROM named_edit e LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.i = e.i AND e.e <> 'I' WHERE e.e <> 'D'),
+written AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+  chr(10) ORDER BY k) AS body FROM kept GROUP BY conv_id),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN solved v ON v.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN written w ON w.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op13_sharding": f"""
 WITH {_CRC_TABLE},
 record AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),

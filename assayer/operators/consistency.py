@@ -1,26 +1,19 @@
 """Rules against other tables: Q-FK, Q-LOOKUP and Q-HEADERSUM.
 
-The batch is counted per key before it meets the reference table, so the join
-sees distinct keys only and a frequent key is one row in it. Spark picks the
-join by the measured size of either side.
+The batch is counted per key before it meets the reference table, so a frequent
+key is one row in any join. The counting itself is that of ``groups``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.functions.coerce import as_number, as_text, column, missing
-from assayer.operators.rules import Rule, rule_counts
-from assayer.operators.skew import rows_of_groups
-from assayer.operators.uniqueness import finding_rows
+from assayer.operators.groups import KNOWN, MATCH, Entry, Member
+from assayer.operators.rules import Rule
 from assayer.plans.profile import CrossRule, Profile
-from assayer.session import settled
-
-COPIES = "__copies"
-KEY = "__key_text"
-VALUE = "__value_text"
 
 
 @dataclass(frozen=True)
@@ -48,88 +41,50 @@ def applicable(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> l
     return found
 
 
-def _present_text(df: DataFrame, name: str, alias: str) -> DataFrame:
-    kind = df.schema[name].dataType
-    return df.filter(~missing(column(name), kind)).withColumn(alias, as_text(column(name)))
-
+def _present(df: DataFrame, name: str) -> Column:
+    """The column as text, null where it is missing."""
+    return F.when(~missing(column(name), df.schema[name].dataType), as_text(column(name)))
 
-def _known_keys(ref: Reference, name: str) -> DataFrame:
-    kept = ref.table.filter(~missing(column(name), ref.table.schema[name].dataType))
-    return kept.select(as_text(column(name)).alias("__ref_key")).distinct()
 
-
-def _foreign_key_groups(df: DataFrame, rule: CrossRule, ref: Reference) -> tuple[DataFrame, list[str], DataFrame]:
-    rows = _present_text(df, rule.column, KEY)
-    counted = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias(COPIES))
-    known = _known_keys(ref, rule.ref_column).withColumn("__known", F.lit(True))
-    judged = counted.join(known, counted[KEY] == known["__ref_key"], "left").select(
-        KEY, COPIES, F.lit(True).alias("__checked"), F.col("__known").isNull().alias("__failed"))
-    return rows, [KEY], judged
+def _cents(value: Column) -> Column:
+    """An amount of money as text; both zeros are one."""
+    rounded = F.round(value, 2)
+    return F.when(rounded == 0, "0").otherwise(rounded.cast("string"))
 
 
 def _first_values(ref: Reference, key: str, value: str) -> DataFrame:
     """One value per key: that of its first row, or the smallest one when no order is known."""
-    kept = ref.table.filter(~missing(column(key), ref.table.schema[key].dataType))
-    kind = ref.table.schema[value].dataType
-    text = F.when(~missing(column(value), kind), as_text(column(value)))
+    text = _present(ref.table, value)
     chosen = F.min_by(text, F.struct(*[column(o) for o in ref.order])) if ref.order else F.min(text)
-    return kept.groupBy(as_text(column(key)).alias("__ref_key")).agg(chosen.alias("__expected"))
-
+    return ref.table.groupBy(_present(ref.table, key).alias("key")).agg(chosen.alias("expected")).filter("key IS NOT NULL")
 
-def _lookup_groups(df: DataFrame, rule: CrossRule, ref: Reference) -> tuple[DataFrame, list[str], DataFrame]:
-    rows = _present_text(_present_text(df, rule.column, VALUE), rule.local_key, KEY)
-    counted = rows.groupBy(KEY, VALUE).agg(F.count(F.lit(1)).alias(COPIES))
-    expected = _first_values(ref, rule.ref_key, rule.ref_column)
-    judged = counted.join(expected, counted[KEY] == expected["__ref_key"], "left").select(
-        KEY, VALUE, COPIES, F.col("__expected").isNotNull().alias("__checked"),
-        F.coalesce(F.col("__expected") != F.col(VALUE), F.lit(False)).alias("__failed"))
-    return rows, [KEY, VALUE], judged
 
+def _sums(ref: Reference, key: str, value: str) -> DataFrame:
+    amount = as_number(column(value), ref.table.schema[value].dataType)
+    grouped = ref.table.groupBy(_present(ref.table, key).alias("key")).agg(F.sum(amount).alias("sum"))
+    return grouped.filter("key IS NOT NULL").select("key", _cents(F.col("sum")).alias("expected"))
 
-def _total_groups(df: DataFrame, rule: CrossRule, ref: Reference) -> tuple[DataFrame, list[str], DataFrame]:
-    total = as_number(column(rule.column), df.schema[rule.column].dataType)
-    rows = _present_text(df, rule.local_key, KEY).withColumn(VALUE, total).filter(F.col(VALUE).isNotNull())
-    counted = rows.groupBy(KEY, VALUE).agg(F.count(F.lit(1)).alias(COPIES))
-    lines = _present_text(ref.table, rule.ref_key, "__ref_key")
-    amount = as_number(column(rule.ref_column), ref.table.schema[rule.ref_column].dataType)
-    sums = lines.groupBy("__ref_key").agg(F.round(F.sum(amount), 2).alias("__sum"))
-    judged = counted.join(sums, counted[KEY] == sums["__ref_key"], "left").select(
-        KEY, VALUE, COPIES, F.col("__sum").isNotNull().alias("__checked"),
-        F.coalesce(F.round(F.col(VALUE), 2) != F.col("__sum"), F.lit(False)).alias("__failed"))
-    return rows, [KEY, VALUE], judged
 
+def _rule(rule: CrossRule) -> Rule:
+    return Rule(f"consistency.{rule.id}", "consistency", rule.column, rule.description, rule.impact,
+                detail={"ref_table": rule.ref_table, "ref_column": rule.ref_column})
 
-_KINDS = {"foreign_key": _foreign_key_groups, "lookup_match": _lookup_groups, "group_total": _total_groups}
 
-
-def reference_rules(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[Rule]:
-    return [Rule(f"consistency.{r.id}", "consistency", r.column, r.description, r.impact,
-                 detail={"ref_table": r.ref_table, "ref_column": r.ref_column})
-            for r in applicable(df, profile, refs)]
-
-
-def reference_counts(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[DataFrame]:
-    """Counts of :func:`reference_rules`."""
-    parts = []
-    for rule in applicable(df, profile, refs):
-        _, _, judged = _KINDS[rule.kind](df, rule, refs[rule.ref_table])
-        counted = judged.agg(
-            F.coalesce(F.sum(F.when(F.col("__checked"), F.col(COPIES))), F.lit(0)).alias("c"),
-            F.coalesce(F.sum(F.when(F.col("__failed"), F.col(COPIES))), F.lit(0)).alias("f"))
-        parts.append(rule_counts(counted, [(f"consistency.{rule.id}", "c", "f")]))
-    return parts
-
-
-def consistency_findings(
-    df: DataFrame, profile: Profile, refs: dict[str, Reference], table: str, total_rows: int
-) -> list[DataFrame]:
-    parts = []
+def reference_entries(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[Entry]:
+    """What the rows put into groups for the rules against other tables, with what the reference tables say of the keys."""
+    entries = []
     for rule in applicable(df, profile, refs):
-        rows, keys, judged = _KINDS[rule.kind](df, rule, refs[rule.ref_table])
-        failed = settled(judged.filter("__failed").select(*keys, COPIES))
-        hit = rows_of_groups(rows, failed, keys, COPIES, total_rows)
-        parts.append(finding_rows(hit, table, f"consistency.{rule.id}", "consistency", rule.column))
-    return parts
+        ref, members = refs[rule.ref_table], (Member(_rule(rule)),)
+        if rule.kind == "foreign_key":
+            known = ref.table.select(_present(ref.table, rule.ref_column).alias("key"), F.lit(None).cast("string").alias("expected"))
+            entries.append(Entry(KNOWN, _present(df, rule.column), members, facts=known.filter("key IS NOT NULL")))
+        elif rule.kind == "lookup_match":
+            entries.append(Entry(MATCH, _present(df, rule.local_key), members, _present(df, rule.column),
+                                 _first_values(ref, rule.ref_key, rule.ref_column)))
+        else:
+            total = as_number(column(rule.column), df.schema[rule.column].dataType)
+            entries.append(Entry(MATCH, _present(df, rule.local_key), members, _cents(total), _sums(ref, rule.ref_key, rule.ref_column)))
+    return entries
 
 
 def ambiguous_references(df: DataFrame, profile: Profile, refs: dict[str, Reference]) -> list[str]:

@@ -7,16 +7,14 @@ from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayer.operators.consistency import (
-    Reference, as_references, consistency_findings, reference_counts, reference_rules,
-)
-from assayer.operators.identity import data_columns, with_identity
+from assayer.operators.consistency import Reference, as_references, reference_entries
+from assayer.operators.groups import Entry, findings, group_counts, verdicts
+from assayer.operators.identity import POSITION, data_columns, with_identity
 from assayer.operators.plausibility import OutlierFit, fit_outliers, outlier_rules
 from assayer.operators.rules import (
-    FINDING_COLUMNS, RESULT_SCHEMA, Rule, RowRule, completeness_rules, expression_rules, row_findings, rule_results,
-    tally, validity_rules,
+    FINDING_COLUMNS, RESULT_SCHEMA, Rule, RowRule, completeness_rules, expression_rules, rule_results, tally, validity_rules,
 )
-from assayer.operators.uniqueness import uniqueness_counts, uniqueness_findings, uniqueness_rules
+from assayer.operators.uniqueness import equal_rows, row_duplicate_counts, row_duplicate_findings, row_rule, uniqueness_entries
 from assayer.plans.profile import Profile
 from assayer.session import small_table
 
@@ -67,17 +65,31 @@ class QualityRun:
         ]
 
     @cached_property
-    def rules(self) -> list[Rule]:
+    def entries(self) -> list[Entry]:
+        """What rows put into groups; the first entry is the one that whole-row duplicates share."""
         df = self.batch
-        return [*self.row_rules, *uniqueness_rules(df, self.profile), *reference_rules(df, self.profile, self.refs)]
+        return [*uniqueness_entries(df, self.profile), *reference_entries(df, self.profile, self.refs)]
+
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        return verdicts(self.batch, self.entries)
+
+    @cached_property
+    def equal_rows(self) -> DataFrame:
+        rows = self.rows if POSITION in self.batch.columns else self.batch  # counts alone need no positions
+        return equal_rows(rows, self.entries[0], self.verdicts, self.total_rows)
+
+    @cached_property
+    def rules(self) -> list[Rule]:
+        return [*self.row_rules, row_rule(), *[m.rule for e in self.entries for m in e.members]]
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Rows checked and failed per rule: one scan for row rules, one grouping per key or reference."""
+        """Rows checked and failed per rule: one scan for row rules, one for keys, one for lookups, whatever their number."""
         parts = [tally(self.batch, self.row_rules)] if self.row_rules else []
-        parts += uniqueness_counts(self.batch, self.profile, self.total_rows)
-        parts += reference_counts(self.batch, self.profile, self.refs)
-        return reduce(DataFrame.unionByName, parts)
+        parts.append(row_duplicate_counts(self.equal_rows, self.total_rows))
+        grouped = group_counts(self.verdicts, self.entries, self.total_rows)
+        return reduce(DataFrame.unionByName, parts + ([grouped] if grouped is not None else []))
 
     @cached_property
     def results(self) -> DataFrame:
@@ -87,11 +99,11 @@ class QualityRun:
 
     @cached_property
     def positioned_findings(self) -> DataFrame:
-        df = self.rows
-        parts = [row_findings(df, self.row_rules, self.table)] if self.row_rules else []
-        parts += uniqueness_findings(df, self.profile, self.table, self.total_rows)
-        parts += consistency_findings(df, self.profile, self.refs, self.table, self.total_rows)
-        return reduce(DataFrame.unionByName, parts)
+        """Two passes over the rows, one of them only where rows are equal; a profile's size does not change that."""
+        rows = self.rows
+        equal = self.equal_rows if POSITION in self.batch.columns else equal_rows(rows, self.entries[0], self.verdicts, self.total_rows)
+        found = findings(rows, self.row_rules, self.entries, self.verdicts, self.table, self.total_rows)
+        return found.unionByName(row_duplicate_findings(rows, equal, self.table, self.total_rows))
 
     def findings(self) -> DataFrame:
         """One row per failing row and rule; never collected, only joined or written."""

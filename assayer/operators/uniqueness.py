@@ -8,124 +8,69 @@ is one, else a 128-bit row hash), so the wide comparison sees few rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from assayer.functions.coerce import column, missing
+from assayer.functions.coerce import column
+from assayer.operators.groups import ABSENT, COLLIDE, COPIES, Entry, Member, exact_key, failing_groups, present_key
 from assayer.operators.identity import POSITION, ROW_KEY, data_columns
 from assayer.operators.rules import Rule, rule_counts
 from assayer.operators.skew import rows_of_groups
-from assayer.plans.profile import ColumnSpec, Profile
+from assayer.plans.profile import Profile
 from assayer.session import settled
 
+# Rule ids of the register.
 ROW_RULE = "expect_table_rows_to_be_unique"
 KEY_RULE = "expect_primary_key_to_be_unique"
-COPIES = "__copies"
+UNIQUE_RULE = "expect_column_values_to_be_unique"
 
 
 def key_columns(df: DataFrame, profile: Profile) -> list[str]:
     return [k for k in profile.primary_key if k in df.columns]
 
 
-def colliding_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys held by more than one row, with their row count. NULL parts equal each other."""
-    counted = df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias(COPIES))
-    return counted.filter(F.col(COPIES) > 1)
+def row_rule() -> Rule:
+    return Rule(ROW_RULE, "uniqueness", None, "Rows must not be exact duplicates of one another", 0.7)
 
 
-def colliding_values(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`colliding_keys` for one column, where missing values never collide."""
-    return colliding_keys(df.filter(~missing(column(name), df.schema[name].dataType)), [name])
-
-
-def _suspects(df: DataFrame, profile: Profile, total_rows: int, colliding: DataFrame | None) -> DataFrame:
-    """Rows that may equal another row: equal rows always share their key and their hash."""
-    columns = data_columns(df)
-    if colliding is not None:
-        return rows_of_groups(df, colliding, key_columns(df, profile), COPIES, total_rows).drop(COPIES)
-    hashed = df.withColumn("__h1", F.xxhash64(*[column(c) for c in columns])).withColumn(
-        "__h2", F.xxhash64(F.lit(17), *[column(c) for c in reversed(columns)]))
-    groups = settled(colliding_keys(hashed, ["__h1", "__h2"]))
-    return rows_of_groups(hashed, groups, ["__h1", "__h2"], COPIES, total_rows).drop("__h1", "__h2", COPIES)
-
-
-def _colliding(df: DataFrame, profile: Profile) -> DataFrame | None:
-    """Colliding primary keys, or nothing for a table without a key."""
-    keys = key_columns(df, profile)
-    return settled(colliding_keys(df, keys)) if keys else None
-
-
-def equal_rows(
-    df: DataFrame, profile: Profile, total_rows: int, colliding: DataFrame | None, first: bool = False
-) -> DataFrame:
-    """Groups of fully equal rows; ``first`` adds the smallest position of each group."""
-    suspects = _suspects(df, profile, total_rows, colliding)
-    extra = [F.min(POSITION).alias("__first")] if first else []
-    grouped = suspects.groupBy(*[column(c) for c in data_columns(df)]).agg(F.count(F.lit(1)).alias(COPIES), *extra)
-    return grouped.filter(F.col(COPIES) > 1)
-
-
-def _unique_columns(df: DataFrame, profile: Profile) -> list[ColumnSpec]:
-    return [c for c in profile.columns if c.unique and c.name in df.columns]
-
-
-def _unique_id(name: str) -> str:
-    return f"expect_column_values_to_be_unique.{name}"
-
-
-def uniqueness_rules(df: DataFrame, profile: Profile) -> list[Rule]:
-    rules = [Rule(ROW_RULE, "uniqueness", None, "Rows must not be exact duplicates of one another", 0.7)]
-    keys = key_columns(df, profile)
-    if keys:
-        rules.append(Rule(KEY_RULE, "uniqueness", ",".join(keys),
-                          f"Primary key {keys} must identify at most one row", 1.0, 2.0,
-                          detail={"primary_key": keys}))
-    return rules + [Rule(_unique_id(c.name), "uniqueness", c.name, f"'{c.name}' must be unique", 0.8, c.weight)
-                    for c in _unique_columns(df, profile)]
-
-
-def uniqueness_counts(df: DataFrame, profile: Profile, total_rows: int) -> list[DataFrame]:
-    """Counts of :func:`uniqueness_rules`; a unique column that is also the key shares the key's grouping."""
-    total = str(total_rows)
-
-    def counted(groups: DataFrame, rules: dict[str, Column]) -> DataFrame:
-        sums = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"f{i}") for i, c in enumerate(rules.values())])
-        return rule_counts(sums, [(r, total, f"f{i}") for i, r in enumerate(rules)])
-
-    copies = F.col(COPIES)
-    colliding = _colliding(df, profile)
-    parts = [counted(equal_rows(df, profile, total_rows, colliding), {ROW_RULE: copies - 1})]
-    keys = key_columns(df, profile)
-    alone = [c.name for c in _unique_columns(df, profile)]
-    if keys:
-        rules = {KEY_RULE: copies}
-        if len(keys) == 1 and keys[0] in alone:
-            alone.remove(keys[0])
-            rules[_unique_id(keys[0])] = F.when(~missing(column(keys[0]), df.schema[keys[0]].dataType), copies)
-        parts.append(counted(colliding, rules))
-    return parts + [counted(colliding_values(df, name), {_unique_id(name): copies}) for name in alone]
-
-
-def finding_rows(rows: DataFrame, table: str, rule_id: str, dimension: str, col: str | None) -> DataFrame:
-    return rows.select(F.lit(table).alias("table"), F.col(ROW_KEY).alias("row_key"),
-                       F.lit(col).cast("string").alias("column"), F.lit(rule_id).alias("rule_id"),
-                       F.lit(dimension).alias("dimension"), F.col(POSITION))
-
-
-def uniqueness_findings(df: DataFrame, profile: Profile, table: str, total_rows: int) -> list[DataFrame]:
-    """Failing rows: later copies of equal rows, and every copy of a colliding key or value."""
-    columns = data_columns(df)
-    colliding = _colliding(df, profile)
-    equal = settled(equal_rows(df, profile, total_rows, colliding, first=True))
-    later = rows_of_groups(df, equal, columns, COPIES, total_rows)
-    parts = [finding_rows(later.filter(F.col(POSITION) > F.col("__first")), table, ROW_RULE, "uniqueness", None)]
+def uniqueness_entries(df: DataFrame, profile: Profile) -> list[Entry]:
+    """The key (or row hash) that whole-row duplicates share comes first; a unique column that is the key reads its groups."""
     keys = key_columns(df, profile)
-    if keys:
-        hit = rows_of_groups(df, colliding, keys, COPIES, total_rows)
-        parts.append(finding_rows(hit, table, KEY_RULE, "uniqueness", ",".join(keys)))
-    for spec in _unique_columns(df, profile):
-        same_key = keys == [spec.name] and df.schema[spec.name].dataType.typeName() not in ("float", "double")
-        groups = colliding.filter(column(spec.name).isNotNull()) if same_key else settled(
-            colliding_values(df, spec.name))
-        hit = rows_of_groups(df, groups, [spec.name], COPIES, total_rows)
-        parts.append(finding_rows(hit, table, _unique_id(spec.name), "uniqueness", spec.name))
-    return parts
+    unique = {c.name: Member(Rule(f"{UNIQUE_RULE}.{c.name}", "uniqueness", c.name, f"'{c.name}' must be unique", 0.8, c.weight))
+              for c in profile.columns if c.unique and c.name in df.columns}
+    if not keys:
+        columns = data_columns(df)
+        hashes = F.concat_ws(":", *[h.cast("string") for h in (F.xxhash64(*[column(c) for c in columns]),
+                                                               F.xxhash64(F.lit(17), *[column(c) for c in reversed(columns)]))])
+        entries = [Entry(COLLIDE, hashes)]
+    else:
+        members = [Member(Rule(KEY_RULE, "uniqueness", ",".join(keys), f"Primary key {keys} must identify at most one row", 1.0, 2.0,
+                               detail={"primary_key": keys}))]
+        if len(keys) == 1 and keys[0] in unique:
+            floating = isinstance(df.schema[keys[0]].dataType, (T.FloatType, T.DoubleType))
+            members.append(Member(unique.pop(keys[0]).rule, ~F.col("key").isin(ABSENT, *(["=NaN"] if floating else []))))
+        entries = [Entry(COLLIDE, exact_key(df, keys), tuple(members))]
+    return entries + [Entry(COLLIDE, present_key(df, name), (member,)) for name, member in unique.items()]
+
+
+def equal_rows(df: DataFrame, entry: Entry, found: DataFrame, total_rows: int) -> DataFrame:
+    """Groups of fully equal rows with their number and, where rows have one, their smallest position; written once.
+
+    ``entry`` is the first of :func:`uniqueness_entries`, ``found`` its verdicts.
+    """
+    suspects = rows_of_groups(df.withColumn("__key", entry.key), failing_groups(found, 0).select(F.col("key").alias("__key"), COPIES),
+                              ["__key"], COPIES, total_rows).drop("__key", COPIES)
+    first = [F.min(POSITION).alias("__first")] if POSITION in df.columns else []
+    grouped = suspects.groupBy(*[column(c) for c in data_columns(df)]).agg(F.count(F.lit(1)).alias("__copies"), *first)
+    return settled(grouped.filter(F.col("__copies") > 1))
+
+
+def row_duplicate_counts(equal: DataFrame, total_rows: int) -> DataFrame:
+    later = equal.agg(F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("f"))
+    return rule_counts(later, [(ROW_RULE, str(total_rows), "f")])
+
+
+def row_duplicate_findings(df: DataFrame, equal: DataFrame, table: str, total_rows: int) -> DataFrame:
+    """Later copies of equal rows."""
+    later = rows_of_groups(df, equal, data_columns(df), "__copies", total_rows).filter(F.col(POSITION) > F.col("__first"))
+    return later.select(F.lit(table).alias("table"), F.col(ROW_KEY).alias("row_key"), F.lit(None).cast("string").alias("column"),
+                        F.lit(ROW_RULE).alias("rule_id"), F.lit("uniqueness").alias("dimension"), F.col(POSITION))

@@ -234,6 +234,6 @@ def test_large_table_path_gives_the_same(tiny, tiny_profile, monkeypatch):
                 sorted(map(tuple, run.findings().select("row_key", "rule_id").collect())))
 
     small = found()
-    monkeypatch.setattr(skew.rows_of_groups, "__defaults__", (1,))
+    monkeypatch.setattr(skew.rows_of_groups, "__defaults__", (1, None))
     assert found() == small
     assert dict((r[0], r[2]) for r in small[0])["expect_table_rows_to_be_unique"] == 2

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.hashing import uniform
 from assayer.operators import explore, metrics
-from assayer.operators.consistency import as_references, reference_counts, reference_rules
+from assayer.operators.consistency import as_references, reference_entries
 from assayer.operators.defects import changed_cells, inject_defects
 from assayer.operators.features import Scaler, card_features, normals, plain_features, temporal_split
 from assayer.operators.forest import ForestConfig, fit_forest
+from assayer.operators.groups import Entry, group_counts, verdicts
 from assayer.operators.identity import ROW_KEY, numbered_scan, with_identity
 from assayer.operators.issues import (
     anomaly_issues, anomaly_summary, by_severity, prioritized, quality_issues, sample_keys, severity_counts,
@@ -27,7 +28,7 @@ from assayer.operators.supervised import fit_logistic
 from assayer.operators.thresholds import (
     BUDGET_SWEEP, best_f1, caught, flagged, review_budget, review_budgets, train_percentile,
 )
-from assayer.operators.uniqueness import KEY_RULE, ROW_RULE, uniqueness_counts, uniqueness_rules
+from assayer.operators.uniqueness import KEY_RULE, UNIQUE_RULE, equal_rows, row_duplicate_counts, row_rule, uniqueness_entries
 from assayer.plans.audit import AuditConfig, audit_batch, score_with_fallback
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.inference import infer_profile, profile_table
@@ -107,26 +108,35 @@ for _name, _family in (
     QUERIES[_name] = _validity(_family)
 
 
+def grouped_results(df: DataFrame, entries: list[Entry]) -> DataFrame:
+    counts = group_counts(verdicts(df, entries), entries, df.count())
+    return results(scored_rules(counts, [m.rule for e in entries for m in e.members]))
+
+
+@query("row_duplicates")
+def row_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    df = B.dirty_headers(spark, folder)
+    total, first = df.count(), uniqueness_entries(df, B.HEADERS)[:1]
+    equal = equal_rows(df, first[0], verdicts(df, first), total)
+    return results(scored_rules(row_duplicate_counts(equal, total), [row_rule()]))
+
+
 def _uniqueness(rule: str) -> Query:
     def body(spark: SparkSession, folder: str) -> DataFrame:
         df = B.dirty_headers(spark, folder)
-        rows, keyed = uniqueness_counts(df, B.HEADERS, df.count())
-        scored = scored_rules(rows if rule == ROW_RULE else keyed, uniqueness_rules(df, B.HEADERS))
-        return results(scored.filter(F.col("rule_id").startswith(rule)))
+        return grouped_results(df, uniqueness_entries(df, B.HEADERS)).filter(F.col("rule_id").startswith(rule))
 
     return body
 
 
-QUERIES["row_duplicates"] = _uniqueness(ROW_RULE)
 QUERIES["primary_key_collisions"] = _uniqueness(KEY_RULE)
-QUERIES["column_uniqueness"] = _uniqueness("expect_column_values_to_be_unique")
+QUERIES["column_uniqueness"] = _uniqueness(UNIQUE_RULE)
 
 
 @query("lineitem_key_collisions")
 def lineitem_key_collisions(spark: SparkSession, folder: str) -> DataFrame:
     df = B.table(spark, folder, "lineitem")
-    counts = uniqueness_counts(df, B.LINEITEM, df.count())[1]
-    return results(scored_rules(counts, uniqueness_rules(df, B.LINEITEM)))
+    return grouped_results(df, uniqueness_entries(df, B.LINEITEM))
 
 
 @query("expression_consistency")
@@ -140,7 +150,7 @@ def _consistency(kind: str) -> Query:
         df = B.dirty_headers(spark, folder)
         profile = B.HEADERS.with_(rules=[r for r in B.HEADERS.rules if r.kind == kind])
         refs = as_references({"customer": B.table(spark, folder, "customer")})
-        return results(scored_rules(union(reference_counts(df, profile, refs)), reference_rules(df, profile, refs)))
+        return grouped_results(df, reference_entries(df, profile, refs))
 
     return body
 
@@ -161,7 +171,7 @@ def header_totals(spark: SparkSession, folder: str) -> DataFrame:
                      ref_column="l_extendedprice")
     profile = Profile("heads", columns=(ColumnSpec("order_id"), ColumnSpec("total")), rules=(rule,))
     refs = as_references({"lines": lines})
-    return results(scored_rules(union(reference_counts(heads, profile, refs)), reference_rules(heads, profile, refs)))
+    return grouped_results(heads, reference_entries(heads, profile, refs))
 
 
 @query("ship_before_order")

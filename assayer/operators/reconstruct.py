@@ -11,6 +11,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
@@ -95,6 +96,11 @@ class AutoencoderConfig:
     lr_patience: int = 5
     min_lr: float = 1e-5
     seed: int = 42
+    dropout: float = 0.0
+    #: Logical workers whose weights are averaged, and passes over a chunk of their rows in between. The model depends
+    #: on these numbers, on the rows and on the seed, not on partitions, cores or the order in which rows arrive.
+    workers: int = 8
+    passes: int = 5
 
     def sizes(self, width: int) -> list[int]:
         return [width, *self.hidden, self.latent, *reversed(self.hidden), width]
@@ -117,22 +123,35 @@ def _linear_at(i: int, sizes: list[int]) -> bool:
     return i == len(sizes) - 2
 
 
-def _forward(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    outputs = [x]
+def _forward(
+    x: np.ndarray, flat: np.ndarray, sizes: list[int], drop: np.random.Generator | None = None, rate: float = 0.0
+) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    """Outputs of all layers, and the mask each was multiplied with; encoder layers drop outputs while training."""
+    outputs, masks = [x], []
     for i, (w, b) in enumerate(_layers(flat, sizes)):
         z = outputs[-1] @ w + b
-        outputs.append(z if _linear_at(i, sizes) else np.maximum(z, 0.0))
-    return outputs
-
-
-def _gradient(x: np.ndarray, flat: np.ndarray, sizes: list[int]) -> tuple[float, np.ndarray]:
-    outputs = _forward(x, flat, sizes)
+        z = z if _linear_at(i, sizes) else np.maximum(z, 0.0)
+        mask = None
+        if drop is not None and rate > 0.0 and i < (len(sizes) - 1) // 2:
+            mask = (drop.random(z.shape) >= rate).astype(z.dtype) / z.dtype.type(1.0 - rate)
+            z = z * mask
+        outputs.append(z)
+        masks.append(mask)
+    return outputs, masks
+
+
+def _gradient(
+    x: np.ndarray, flat: np.ndarray, sizes: list[int], drop: np.random.Generator | None = None, rate: float = 0.0
+) -> tuple[float, np.ndarray]:
+    outputs, masks = _forward(x, flat, sizes, drop, rate)
     delta = outputs[-1] - x
     loss = float((delta**2).mean())
     delta = 2.0 * delta / delta.size
     pieces = []
     layers = _layers(flat, sizes)
     for i in reversed(range(len(layers))):
+        if masks[i] is not None:
+            delta = delta * masks[i]
         if not _linear_at(i, sizes):
             delta = delta * (outputs[i + 1] > 0)
         pieces.append(np.concatenate([(outputs[i].T @ delta).ravel(), delta.sum(axis=0)]))
@@ -149,9 +168,9 @@ class _State:
     second: np.ndarray
     step: int = 0
 
-    def train(self, x: np.ndarray, lr: float, decay: float, sizes: list[int]) -> float:
-        loss, grad = _gradient(x, self.flat, sizes)
-        grad = grad + decay * self.flat
+    def train(self, x: np.ndarray, lr: float, config: "AutoencoderConfig", sizes: list[int], drop: np.random.Generator) -> float:
+        loss, grad = _gradient(x, self.flat, sizes, drop, config.dropout)
+        grad = grad + config.weight_decay * self.flat
         self.step += 1
         self.first = 0.9 * self.first + 0.1 * grad
         self.second = 0.999 * self.second + 0.001 * grad**2
@@ -181,118 +200,162 @@ class AutoencoderModel(Reconstruction):
     name = "autoencoder"
 
     def rebuild(self, x: np.ndarray) -> np.ndarray:
-        return _forward(x, self.flat, self.config.sizes(self.width))[-1]
+        return _forward(x, self.flat, self.config.sizes(self.width))[0][-1]
 
     def settings(self) -> dict:
         return asdict(self.config) | {"width": self.width, "best_epoch": self.best_epoch}
 
 
-_ROUND = "rows bigint, loss double, val_rows bigint, val_loss double, steps bigint, state binary"
-_SUMS_PER_TASK = 64
-_BATCHES_PER_ROUND = 8
+_ROUND = "worker int, rows bigint, loss double, val_rows bigint, val_loss double, steps bigint, state binary"
+_ROUND_ARROW = pa.schema([("worker", pa.int32()), ("rows", pa.int64()), ("loss", pa.float64()), ("val_rows", pa.int64()),
+                          ("val_loss", pa.float64()), ("steps", pa.int64()), ("state", pa.binary())])
+#: Rows a worker holds at a time, and worker results that one task adds up.
+CHUNK_ROWS, SUMS_PER_TASK = 1 << 16, 16
+
+
+class _Worker:
+    """One logical worker's part of a round: judge the incoming weights on its held-out rows, train on the rest."""
+
+    def __init__(self, worker: int, state: _State, lr: float, config: AutoencoderConfig, sizes: list[int], turn: int):
+        self.worker, self.sent, self.lr, self.config, self.sizes = worker, state, lr, config, sizes
+        single = np.float32
+        self.mine = replace(state, flat=state.flat.astype(single), first=state.first.astype(single), second=state.second.astype(single))
+        self.rng = np.random.default_rng([config.seed, turn, worker])
+        self.waiting: list[np.ndarray] = []
+        self.held, self.rows, self.val_rows, self.loss, self.val_loss = 0, 0, 0, 0.0, 0.0
+
+    def take(self, x: np.ndarray, held: np.ndarray) -> None:
+        if held.any():
+            v = x[held].astype(np.float64)
+            self.val_rows += len(v)
+            self.val_loss += float(((_forward(v, self.sent.flat, self.sizes)[0][-1] - v) ** 2).mean(axis=1).sum())
+        x = x[~held]
+        while len(x):  # chunks are cut by row count, wherever the batches end
+            part, x = x[:CHUNK_ROWS - self.held], x[CHUNK_ROWS - self.held:]
+            self.waiting.append(part)
+            self.held += len(part)
+            if self.held == CHUNK_ROWS:
+                self._chunk()
+
+    def _chunk(self) -> None:
+        chunk = np.concatenate(self.waiting)
+        self.waiting, self.held, size = [], 0, self.config.batch_size
+        for turn in range(self.config.passes):
+            x = chunk[self.rng.permutation(len(chunk))]
+            for start in range(0, len(x), size):
+                part = x[start:start + size]
+                loss = self.mine.train(part, self.lr, self.config, self.sizes, self.rng)
+                if turn == self.config.passes - 1:
+                    self.loss += loss * len(part)
+        self.rows += len(chunk)
+
+    def result(self) -> pa.RecordBatch:
+        if self.held:
+            self._chunk()
+        weighted = self.mine.packed().astype(np.float64) * self.rows
+        return _sums_batch([(self.worker, self.rows, self.loss, self.val_rows, self.val_loss,
+                             (self.mine.step - self.sent.step) * self.rows, weighted.tobytes())])
+
+
+def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _ROUND_ARROW)], schema=_ROUND_ARROW)
+
+
+def _round(state: _State, lr: float, config: AutoencoderConfig, sizes: list[int], turn: int):
+    """A round's work on sorted rows; a partition holds whole workers, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Worker | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            workers = batch.column("worker").to_numpy()
+            values = batch.column(FEATURES)
+            x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(batch.num_rows, -1)
+            held = batch.column("val").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(workers)) + 1), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                if now is None or now.worker != workers[a]:
+                    if now is not None:
+                        yield now.result()
+                    now = _Worker(int(workers[a]), state, lr, config, sizes, turn)
+                now.take(x[a:b], held[a:b])
+        if now is not None:
+            yield now.result()
 
+    return run
 
-def _round(state: _State, lr: float, config: AutoencoderConfig, sizes: list[int], epoch: int):
-    """One pass over a partition: judge the incoming weights on its held-out rows, train on the rest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mine = replace(state)
-        rng = np.random.default_rng([config.seed, epoch])
-        rows = val_rows = 0
-        loss = val_loss = 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, held = _matrix(pdf[FEATURES]), pdf["val"].to_numpy(dtype=bool)
-            if held.any():
-                v = x[held]
-                val_rows += len(v)
-                val_loss += float(((_forward(v, state.flat, sizes)[-1] - v) ** 2).mean(axis=1).sum())
-            x = x[~held]
-            x = x[rng.permutation(len(x))]
-            for start in range(0, len(x), config.batch_size):
-                part = x[start:start + config.batch_size]
-                loss += mine.train(part, lr, config.weight_decay, sizes) * len(part)
-            rows += len(x)
-        if rows or val_rows:
-            weighted = mine.packed() * rows
-            yield pd.DataFrame({"rows": [rows], "loss": [loss], "val_rows": [val_rows], "val_loss": [val_loss],
-                                "steps": [(mine.step - state.step) * rows], "state": [weighted.tobytes()]})
+def _summed(table: pa.Table) -> pa.Table:
+    """Add up the results of several workers, in their order, so that the sum does not depend on who came first."""
+    records = sorted(table.to_pylist(), key=lambda r: r["worker"])
+    state = np.sum([np.frombuffer(r["state"]) for r in records], axis=0)
+    sums = [sum(r[c] for r in records) for c in ("rows", "loss", "val_rows", "val_loss", "steps")]
+    return pa.Table.from_batches([_sums_batch([(records[0]["worker"] // SUMS_PER_TASK, *sums, state.tobytes())])])
 
-    return run
 
+def _one_row(parts: DataFrame, workers: int) -> dict | None:
+    """The sum over all workers, level by level; the driver reads one row."""
+    while workers > 1:
+        parts = parts.groupBy(F.floor(F.col("worker") / SUMS_PER_TASK)).applyInArrow(_summed, _ROUND)
+        workers = -(-workers // SUMS_PER_TASK)
+    rows = parts.collect()
+    return rows[0].asDict() if rows else None
 
-def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Add up the contributions of several partitions."""
-    total, state = None, None
-    for pdf in batches:
-        for record in pdf.itertuples(index=False):
-            values = np.array(record[:5], dtype=np.float64)
-            total = values if total is None else total + values
-            added = np.frombuffer(record.state, dtype=np.float64)
-            state = added.copy() if state is None else state + added
-    if total is not None:
-        yield pd.DataFrame({"rows": [int(total[0])], "loss": [total[1]], "val_rows": [int(total[2])],
-                            "val_loss": [total[3]], "steps": [int(total[4])], "state": [state.tobytes()]})
-
-
-def _spread(data: DataFrame, config: AutoencoderConfig, workers: int | None) -> tuple[DataFrame, int]:
-    """Fewer partitions than cores are spread out, but none so thin that averaging slows learning down."""
-    now, cores = data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism
-    if workers is None and now < cores:
-        workers = max(1, min(cores, data.count() // (config.batch_size * _BATCHES_PER_ROUND)))
-    return (data.repartition(workers), workers) if workers else (data, now)
-
-
-def fit_autoencoder(
-    df: DataFrame, width: int, config: AutoencoderConfig = AutoencoderConfig(), workers: int | None = None
-) -> AutoencoderModel:
-    """Train by averaging: each round every partition trains on its own rows, then weights are averaged.
-
-    A round is one job over the cached features. Partition results are added up
-    in groups before they reach the driver, which sees a few dozen short vectors.
-    The held-out loss of a round is measured by the next one, on the averaged
-    weights; it drives the learning rate and early stopping.
+
+def dealt_to_workers(df: DataFrame, config: AutoencoderConfig) -> DataFrame:
+    """(worker, features, val): each worker's rows in one partition, in an order of their own."""
+    place = F.xxhash64(F.col(POSITION).cast("string"), F.lit(config.seed))
+    held = uniform(F.col(POSITION).cast("string"), "held-out", config.seed) < config.val_fraction
+    rows = df.select(FEATURES, held.alias("val"), place.alias("place"), F.col(POSITION).alias("at"))
+    rows = rows.withColumn("worker", F.pmod("place", F.lit(config.workers)).cast("int"))
+    return rows.repartitionById(config.workers, F.col("worker")).sortWithinPartitions("worker", "place", "at").select("worker", FEATURES, "val")
+
+
+def fit_autoencoder(df: DataFrame, width: int, config: AutoencoderConfig = AutoencoderConfig()) -> AutoencoderModel:
+    """Train by averaging: in a round every logical worker trains on its own rows, then weights are averaged.
+
+    Rows belong to one of ``config.workers`` workers by a hash of their position. A
+    round is one job over the cached features: a worker streams its rows in chunks
+    and makes ``config.passes`` passes over each, so a round counts as that many
+    epochs. Results are added up in levels until one row is left, which is all the
+    driver reads. The held-out loss of a round is measured by the next one, on the
+    averaged weights; it drives the learning rate and early stopping.
     """
     sizes = config.sizes(width)
     state = _initial(sizes, config.seed)
-    held = (uniform(F.col(POSITION).cast("string"), "held-out", config.seed) < config.val_fraction).alias("val")
-    data = df.select(FEATURES, held)
-    data, partitions = _spread(data, config, workers)
-    data = data.persist()
+    data = dealt_to_workers(df, config).persist()
     lr, best_loss, best, best_epoch, waited, plateau, plateau_best = config.lr, float("inf"), state, 0, 0, 0, float("inf")
     history: list[tuple[int, float, float, float]] = []
+    rounds = -(-config.max_epochs // config.passes)
     try:
-        for epoch in range(1, config.max_epochs + 2):
-            last = epoch == config.max_epochs + 1
-            sent = state
-            parts = data.mapInPandas(_round(sent, lr, config, sizes, epoch), _ROUND)
-            if partitions > _SUMS_PER_TASK:
-                parts = parts.repartition(-(-partitions // _SUMS_PER_TASK)).mapInPandas(_summed, _ROUND)
-            got = next(_summed(iter([pd.DataFrame([r.asDict() for r in parts.collect()])])))
-            n, val_n = int(got["rows"][0]), int(got["val_rows"][0])
-            if epoch > 1:  # what came back judges the weights of the round before
-                val = got["val_loss"][0] / val_n if val_n else got["loss"][0] / max(1, n)
+        for turn in range(1, rounds + 2):
+            last, sent, epoch = turn == rounds + 1, state, min(config.max_epochs, turn * config.passes)
+            got = _one_row(data.mapInArrow(_round(sent, lr, config, sizes, turn), _ROUND), config.workers)
+            if got is None:
+                break
+            n, val_n = got["rows"], got["val_rows"]
+            if turn > 1:  # what came back judges the weights of the round before
+                val = got["val_loss"] / val_n if val_n else got["loss"] / max(1, n)
                 if history:
                     history[-1] = (*history[-1][:2], float(val), lr)
                 if val < best_loss - config.min_delta:
-                    best_loss, best, best_epoch, waited = val, sent, epoch - 1, 0
+                    best_loss, best, best_epoch, waited = val, sent, history[-1][0] if history else 0, 0
                 else:
-                    waited += 1
+                    waited += config.passes
                 if val < plateau_best * (1 - 1e-4):
                     plateau_best, plateau = val, 0
                 else:
-                    plateau += 1
+                    plateau += config.passes
                 if plateau > config.lr_patience:
                     lr, plateau = max(config.min_lr, lr * config.lr_factor), 0
                 if waited >= config.patience or last:
                     break
             if n == 0:
                 break
-            mean = np.frombuffer(got["state"][0], dtype=np.float64) / n
-            flat, first, second = np.split(mean, 3)
-            state = _State(flat, first, second, sent.step + max(1, round(got["steps"][0] / n)))
-            history.append((epoch, float(got["loss"][0] / n), float("nan"), lr))
+            flat, first, second = np.split(np.frombuffer(got["state"]) / n, 3)
+            state = _State(flat, first, second, sent.step + max(1, round(got["steps"] / n)))
+            history.append((epoch, float(got["loss"] / n), float("nan"), lr))
     finally:
         data.unpersist()
     return AutoencoderModel(best.flat, width, config, best_epoch, history)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -19,9 +20,13 @@ from assayer.session import settled
 class Measurement:
     dirty: dict[str, DataFrame]
     ledger: DataFrame
-    findings: DataFrame
     runs: dict[str, QualityRun]
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        """Written once: recall, precision and summary all read them."""
+        return settled(all_findings([r.findings() for r in self.runs.values()]))
+
     def recall(self) -> DataFrame:
         return defect_recall(self.ledger, self.findings)
 
@@ -46,5 +51,4 @@ def measure_rules(
     changed = {s.table for s in specs}
     dirty = {n: numbered_scan(settled(df)) if n in changed else df for n, df in dirty.items()}
     runs = {t: QualityRun(dirty[t], p, dirty, t, today) for t, p in profiles.items()}
-    findings = all_findings([r.findings() for r in runs.values()])
-    return Measurement(dirty, ledger, findings, runs)
+    return Measurement(dirty, settled(ledger), runs)

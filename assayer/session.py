@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes up to which a source is dealt out anew for costly row work: a task's usual share.
+SMALL_SOURCE = 128 << 20
+
+
 def local_session(cores: int | str = "*", app: str = "assayer", **conf: str) -> SparkSession:
     """A session for tests and the local bench; clusters bring their own."""
     builder = (
@@ -55,9 +59,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly row work when a small source has fewer splits than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal a small source out before costly row work, which its few splits would do on few cores.
+
+    The plan's own size estimate decides, so nothing runs for it; how far the rows
+    are dealt out is left to adaptive execution. Larger sources have splits enough.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.hint("rebalance") if int(str(size)) < SMALL_SOURCE else df
 
 
 def drop_settled(spark: SparkSession) -> None:

@@ -70,8 +70,8 @@ def trained(spark):
     """Rows on a three-dimensional plane in eight dimensions."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 3)) @ rng.normal(size=(3, 8)) * 0.6
-    config = AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=40, lr=3e-3)
-    return x, config, fit_autoencoder(vectors(spark, x), 8, config, workers=2)
+    config = AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=40, lr=3e-3, workers=2, passes=1)
+    return x, config, fit_autoencoder(vectors(spark, x), 8, config)
 
 
 def test_autoencoder_learns_and_explains(spark, trained):
@@ -88,12 +88,45 @@ def test_autoencoder_learns_and_explains(spark, trained):
     assert explained[0]["score"] == pytest.approx(np.mean(explained[0]["errors"]))
 
 
-def test_autoencoder_repeats(spark, trained):
-    x, config, _ = trained
-    short = AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=3)
+def test_autoencoder_does_not_depend_on_the_layout(spark, trained, monkeypatch):
+    from assayer.operators import reconstruct
+    x, _, _ = trained
     df = vectors(spark, x)
-    a, b = (fit_autoencoder(df, 8, short, workers=2) for _ in range(2))
-    assert np.allclose(a.flat, b.flat)
+    for short in (AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=4, workers=5, passes=2),
+                  AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=2, workers=18, passes=1, dropout=0.2)):
+        models = [fit_autoencoder(df.repartition(n), 8, short) for n in (1, 4, 7)]
+        assert all(np.array_equal(models[0].flat, m.flat) for m in models[1:])
+        assert [h[0] for h in models[0].history] == list(range(short.passes, short.max_epochs + 1, short.passes))
+
+
+def test_worker_chunks_do_not_follow_batches(trained, monkeypatch):
+    from assayer.operators import reconstruct
+    x, held = trained[0].astype(np.float32), np.arange(3000) % 10 == 0
+    config, sizes = AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, passes=2), [8, 16, 4, 16, 8]
+    monkeypatch.setattr(reconstruct, "CHUNK_ROWS", 700)
+    results = []
+    for size in (3000, 1, 641):
+        worker = reconstruct._Worker(3, _initial(sizes, 1), 1e-3, config, sizes, 1)
+        for i in range(0, 3000, size):
+            worker.take(x[i:i + size], held[i:i + size])
+        results.append(worker.result().to_pylist()[0])
+    assert results[0]["rows"] == 2700 and results[0]["val_rows"] == 300
+    assert all(r["state"] == results[0]["state"] for r in results)
+
+
+def test_dropout_gradient():
+    sizes, x = [3, 6, 2, 6, 3], np.random.default_rng(1).normal(size=(50, 3))
+    flat = _initial(sizes, 1).flat
+
+    def loss(at):
+        return _gradient(x, at, sizes, np.random.default_rng(5), 0.4)
+
+    grad = loss(flat)[1]
+    assert loss(flat)[0] != _gradient(x, flat, sizes)[0]
+    for i in range(0, len(flat), 5):
+        step = np.zeros_like(flat)
+        step[i] = 1e-6
+        assert grad[i] == pytest.approx((loss(flat + step)[0] - loss(flat - step)[0]) / 2e-6, abs=1e-5)
 
 
 def test_pca(spark, trained):

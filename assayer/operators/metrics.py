@@ -7,16 +7,21 @@ ordered.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.functions.hashing import draw
 from assayer.operators.identity import POSITION
 from assayer.operators.running import running_totals
 from assayer.operators.thresholds import Threshold
+from assayer.session import settled
 
 # Review effort per alert, list lengths, resamples.
 SECONDS_PER_REVIEW = 90
@@ -183,6 +188,86 @@ def score_histogram(scored: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
 # distribution function of Poisson(1), as far as 32-bit draws reach
 POISSON_STEPS = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(10)))
 DRAWS_PER_HASH = 3
+#: Distinct scores whose weights a task adds up before it passes them on.
+_HELD_SCORES = 4096
+
+
+def poisson_weights(keys: Iterable[str | None], resamples: int, seed: int) -> np.ndarray:
+    """A row of Poisson(1) weights per key, one for each resample: 32 bits of md5("key:block:seed") give each."""
+    blocks, out = -(-resamples // DRAWS_PER_HASH), []
+    ends = [f":{block}:{seed}" for block in range(blocks)]
+    for key in keys:
+        starts = ["" if key is None else key] * blocks
+        names = [s + e if key is not None else e[1:] for s, e in zip(starts, ends)]
+        out.append(b"".join(hashlib.md5(n.encode()).digest()[:4 * DRAWS_PER_HASH] for n in names))
+    draws = np.frombuffer(b"".join(out), dtype=">u4").reshape(len(out), -1)[:, :resamples]
+    return np.searchsorted(POISSON_STEPS, draws / 2.0**32, side="right")
+
+
+def _vectors(**columns) -> pa.RecordBatch:
+    """Integer matrices travel as bytes, a row each."""
+    made = {n: pa.array([r.tobytes() for r in np.ascontiguousarray(c, np.int64)] if isinstance(c, np.ndarray) and c.ndim == 2 else c)
+            for n, c in columns.items()}
+    return pa.RecordBatch.from_pydict(made)
+
+
+def _matrix(column: pa.Array, resamples: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(-1, resamples)
+
+
+def _added(scores: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of equal scores added up."""
+    kinds, at = np.unique(scores, return_inverse=True)
+    sums = []
+    for part in parts:
+        total = np.zeros((len(kinds), part.shape[1]), np.int64)
+        np.add.at(total, at, part)
+        sums.append(total)
+    return kinds, *sums
+
+
+def _score_weights(scored: DataFrame, key: Column, resamples: int, seed: int) -> DataFrame:
+    """(score, n, pos): weights per resample of a task's rows with that score, and of the positive ones among them."""
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, _HELD_SCORES):
+                part = batch.slice(at, _HELD_SCORES)
+                weights = poisson_weights(part.column("k").to_pylist(), resamples, seed)
+                mine = _added(part.column("score").to_numpy(), weights, weights * part.column("label").to_numpy()[:, None])
+                held = mine if held is None else _added(*(np.concatenate(two) for two in zip(held, mine)))
+                if len(held[0]) > _HELD_SCORES:
+                    yield _vectors(score=held[0], n=held[1], pos=held[2])
+                    held = None
+        if held is not None:
+            yield _vectors(score=held[0], n=held[1], pos=held[2])
+
+    rows = scored.select(F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"),
+                         F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), key.cast("string").alias("k"))
+    return rows.mapInArrow(body, "score double, n binary, pos binary")
+
+
+def _slice_offsets(sliced: DataFrame, resamples: int) -> DataFrame:
+    """(slice, n, pos): weights per resample in all earlier slices; one row per slice goes through one task."""
+    def add(batches):
+        for batch in batches:
+            kinds, n, pos = _added(batch.column("slice").to_numpy(), _matrix(batch.column("n"), resamples), _matrix(batch.column("pos"), resamples))
+            yield _vectors(slice=kinds, n=n, pos=pos)
+
+    def together(table):
+        return pa.Table.from_batches(add(table.combine_chunks().to_batches()))
+
+    def earlier(batches):
+        n, pos = np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
+        for batch in batches:
+            more = [_matrix(batch.column(c), resamples) for c in ("n", "pos")]
+            before = [t + np.cumsum(m, axis=0) - m for t, m in zip((n, pos), more)]
+            yield _vectors(slice=batch.column("slice"), n=before[0], pos=before[1])
+            n, pos = n + more[0].sum(axis=0), pos + more[1].sum(axis=0)
+
+    schema = "slice int, n binary, pos binary"
+    totals = sliced.select("slice", "n", "pos").mapInArrow(add, schema).groupBy("slice").applyInArrow(together, schema)
+    return totals.coalesce(1).sortWithinPartitions("slice").mapInArrow(earlier, schema)
 
 
 def bootstrap_replicates(
@@ -191,29 +276,55 @@ def bootstrap_replicates(
     """Average precision and recall of each resample that holds a positive.
 
     Each row enters a resample with a Poisson(1) weight drawn from its key, the
-    distributed form of drawing with replacement. Weights add up per score before
-    the order is built, and the order is sliced across tasks.
+    distributed form of drawing with replacement. A score carries its weights of
+    all resamples as one vector: vectors of equal scores are added up where the rows
+    are, the scores are sliced by range once, and each slice runs its cumulative
+    sums for all resamples at once, from the totals of the slices before it. Rows
+    without a score come last.
     """
-    blocks = -(-resamples // DRAWS_PER_HASH)
-    spread = scored.select("score", F.col("label").cast("int").alias("label"), key.cast("string").alias("k"),
-                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    hashed = spread.withColumn("h", F.md5(F.concat_ws(":", "k", "block", F.lit(str(seed)))))
-
-    def weight(i: int) -> Column:
-        u = F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
-        return reduce(lambda a, b: a + b, [(u >= s).cast("int") for s in POISSON_STEPS])
-
-    drawn = hashed.select("score", "label", F.explode(F.array(*[
-        F.struct((F.col("block") * DRAWS_PER_HASH + i).alias("replicate"), weight(i).alias("w"))
-        for i in range(DRAWS_PER_HASH)])).alias("d")).select("score", "label", "d.*")
-    drawn = drawn.filter((F.col("w") > 0) & (F.col("replicate") < resamples))
-    weighted = drawn.groupBy("replicate", "score").agg(
-        F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("pos"))
-    steps = running_totals(weighted, [F.col("score").desc()], ["n", "pos"], ["replicate"])
-    return steps.groupBy("replicate").agg(
-        (F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.sum("pos")).alias("pr_auc"),
-        (F.sum(F.when(F.col("score") >= threshold, F.col("pos")).otherwise(0)) / F.sum("pos")).alias("recall"),
-        F.sum("pos").alias("positives")).filter("positives > 0")
+    parts = _score_weights(scored, key, resamples, seed)
+    sliced = settled(parts.repartitionByRange(F.col("score").desc()).withColumn("slice", F.spark_partition_id()))
+    marks = _slice_offsets(sliced, resamples).select("slice", F.lit(0).alias("kind"), F.lit(0.0).alias("score"), "n", "pos")
+    stream = marks.unionByName(sliced.select("slice", F.lit(1).alias("kind"), "score", "n", "pos"))
+    stream = stream.repartition("slice").sortWithinPartitions("slice", "kind", F.col("score").desc())
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = pos = None
+        score, group_n, group_pos = None, 0, 0
+        area, above, total = np.zeros(resamples), np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)
+
+        def close():
+            """Count the group of one score, now that it is whole."""
+            nonlocal n, pos, area, above, total, score, group_n, group_pos
+            if score is not None:
+                n, pos = n + group_n, pos + group_pos
+                area = area + group_pos * (pos / np.maximum(n, 1))
+                total = total + group_pos
+                if score >= threshold:
+                    above = above + group_pos
+            score, group_n, group_pos = None, 0, 0
+
+        for batch in batches:
+            kinds, scores = batch.column("kind").to_numpy(), batch.column("score").to_numpy()
+            ns, poss = _matrix(batch.column("n"), resamples), _matrix(batch.column("pos"), resamples)
+            for k in range(batch.num_rows):
+                if kinds[k] == 0:
+                    close()
+                    n, pos = ns[k], poss[k]
+                    continue
+                if score is None or not (scores[k] == score or (scores[k] != scores[k] and score != score)):
+                    close()
+                    score = scores[k]
+                group_n, group_pos = group_n + ns[k], group_pos + poss[k]
+        close()
+        if n is not None:
+            yield pa.RecordBatch.from_pydict({"area": [area], "above": [above], "positives": [total]})
+
+    sums = stream.mapInArrow(body, "area array<double>, above array<bigint>, positives array<bigint>")
+    each = sums.select(F.posexplode(F.arrays_zip("area", "above", "positives")).alias("replicate", "one"))
+    return each.groupBy("replicate").agg(
+        (F.sum("one.area") / F.sum("one.positives")).alias("pr_auc"), (F.sum("one.above") / F.sum("one.positives")).alias("recall"),
+        F.sum("one.positives").alias("positives")).filter("positives > 0")
 
 
 def bootstrap_interval(

@@ -206,6 +206,30 @@ def test_random_scores_have_base_rate_precision(spark):
     assert abs(row["pr_auc"] - row["prevalence"]) < 0.006
 
 
+def test_bootstrap_replicates_against_a_plain_version(spark):
+    rows = [(i, 0.5 if i % 3 == 0 else float(i % 37), int(i % 5 == 0)) for i in range(400)] + [(900, None, 1)]
+    df = spark.createDataFrame(rows, "k long, score double, label int")
+    want, keys = {}, [str(k) for k, _, _ in rows]
+    weights = metrics.poisson_weights(keys, 25, 7)
+    for r in range(25):
+        w = weights[:, r]
+        area = pos = n = 0.0
+        for s in sorted({float("-inf") if s is None else s for _, s, _ in rows}, reverse=True):
+            at = [i for i, row in enumerate(rows) if (float("-inf") if row[1] is None else row[1]) == s]
+            n, mine = n + w[at].sum(), sum(int(w[i]) * rows[i][2] for i in at)
+            pos += mine
+            area += mine * pos / max(n, 1)
+        above = sum(int(w[i]) for i, (_, s, y) in enumerate(rows) if y and s is not None and s >= 20.0)
+        want[r] = (area / pos, above / pos, int(pos))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for parts in (1, 6):
+            got = metrics.bootstrap_replicates(df.repartition(parts), 20.0, F.col("k"), 25, 7).collect()
+            assert {r.replicate: (pytest.approx(r.pr_auc), pytest.approx(r.recall), r.positives) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_bootstrap_brackets_the_estimate(spark):
     rng = np.random.default_rng(6)
     y = (rng.random(600) < 0.2).astype(int)

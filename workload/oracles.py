@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from itertools import accumulate
 
-from assayer.operators.metrics import POISSON_STEPS
 from assayer.plans.severity import FAMILY_ACTIONS, RULE_ACTIONS, TRUNCATED_ACTION
 from workload import bindings as B
 
@@ -767,7 +768,9 @@ SELECT CAST(least(69, greatest(0, floor((x - low) / width))) AS INTEGER) AS bin,
 def replicates(scored: str, key: str, cut: str, resamples: int = 200, seed: int = 42) -> str:
     u = "('0x' || substr(md5(concat_ws(':', CAST({k} AS VARCHAR), r // 3, {s})), CAST(8 * (r % 3) + 1 AS INTEGER), 8))::BIGINT / 4294967296.0"
     u = u.format(k=key, s=seed)
-    weight = " + ".join(f"CAST(u >= {s!r}::DOUBLE AS INTEGER)" for s in POISSON_STEPS)
+    # distribution function of Poisson(1)
+    steps = accumulate(math.exp(-1) / math.factorial(k) for k in range(10))
+    weight = " + ".join(f"CAST(u >= {s!r}::DOUBLE AS INTEGER)" for s in steps)
     return f"""
 WITH drawn AS (SELECT score, label, r, {u} AS u FROM ({scored}), range({resamples}) t(r)),
 weighted AS (SELECT r AS replicate, score, sum({weight}) AS n, sum(({weight}) * label) AS pos FROM drawn GROUP BY 1, 2),

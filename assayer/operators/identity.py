@@ -12,18 +12,23 @@ ROW_KEY = "__row_key"
 INTERNAL = (POSITION, ROW_KEY)
 
 
-def numbered_scan(df: DataFrame) -> DataFrame:
-    """Number the rows of a fixed source: a text file scan or a table already written.
+#: Room for the rows of one file in a position.
+FILE_ROWS = 1 << 33
 
-    Splits of a fixed source are planned the same way every time, so a lost task
-    numbers its rows as before. Not for the output of a join or a grouping.
+
+def numbered_table(written: DataFrame) -> DataFrame:
+    """Number the rows of a table that :func:`settled` wrote, by part number and row within the file.
+
+    Both are properties of the files, so the numbers stay the same however a
+    reader cuts them: with other split sizes, more executors, or in a repeated task.
     """
-    return df.withColumn(POSITION, F.monotonically_increasing_id())
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+    return written.select("*", (part * FILE_ROWS + F.col("_metadata.row_index")).alias(POSITION))
 
 
 def with_position(df: DataFrame) -> DataFrame:
     """Keep the position the source gave; without one, write the rows once and number them."""
-    return df if POSITION in df.columns else numbered_scan(settled(df))
+    return df if POSITION in df.columns else numbered_table(settled(df))
 
 
 def with_identity(df: DataFrame, keys: list[str] | None, order: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from assayer.operators.defects import DEFAULT_SPECS, DefectSpec, PRIMARY_KEYS, inject_defects
 from assayer.operators.evaluation import all_findings, defect_recall, engine_summary, rule_precision
-from assayer.operators.identity import numbered_scan
+from assayer.operators.identity import with_position
 from assayer.operators.quality import QualityRun
 from assayer.operators.scoring import quality_summary
 from assayer.plans.profile import Profile
@@ -49,6 +49,6 @@ def measure_rules(
     """The dirty tables also serve as reference tables, and are written once for all rules."""
     dirty, ledger = inject_defects(tables, specs, seed, keys or PRIMARY_KEYS, today)
     changed = {s.table for s in specs}
-    dirty = {n: numbered_scan(settled(df)) if n in changed else df for n, df in dirty.items()}
+    dirty = {n: with_position(df) if n in changed else df for n, df in dirty.items()}
     runs = {t: QualityRun(dirty[t], p, dirty, t, today) for t, p in profiles.items()}
     return Measurement(dirty, settled(ledger), runs)

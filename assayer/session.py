@@ -46,6 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, removed by :func:`drop_settled`."""
+    return f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and read it from there.
 
@@ -53,8 +58,8 @@ def settled(df: DataFrame) -> DataFrame:
     only the columns it needs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark)
+    df.write.option("maxRecordsPerFile", 0).parquet(path)  # a file per task, so the part number names a file
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayer.functions.coerce import FALSE_TEXT, NUMBER_TEXT, TRUE_TEXT, as_flag, as_number, column
-from assayer.operators.identity import POSITION, numbered_scan
+from assayer.operators.identity import FILE_ROWS, POSITION
+from assayer.session import settled
 
 # Texts that count as missing in a CSV file.
 MISSING_TEXTS = (
@@ -40,16 +41,35 @@ def read_table(
                                          F.col("_metadata.file_path").alias("path")).alias(POSITION))
         return df
     raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    raw = raw.select(*[F.when(~column(c).isin(*MISSING_TEXTS), column(c)).alias(c) for c in raw.columns])
-    df = _typed(raw) if typed else raw
-    return numbered_scan(df) if position else df
+    named = [F.when(~column(c).isin(*MISSING_TEXTS), column(c)).alias(c) for c in raw.columns]
+    df = _lines_numbered(raw, named) if position else raw.select(*named)
+    return _typed(df) if typed else df
+
+
+def _lines_numbered(raw: DataFrame, named: list[Column]) -> DataFrame:
+    """Rows of text files with their number: the file's place among the paths, then the row within the file.
+
+    Text has no row index, only the offset of the block that a row was read from. Rows are written once
+    with that offset and a number that rises within the block; a block's rows follow those of
+    the blocks before it in its file. So the numbers do not depend on how the files were cut.
+    """
+    kept = settled(raw.select(*named, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                              F.monotonically_increasing_id().alias("__read")))
+    blocks = kept.groupBy("__file", "__block").agg(F.min("__read").alias("__first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    files = blocks.select("__file").distinct().withColumn("__place", F.row_number().over(Window.orderBy("__file")) - 1)  # a row per file
+    starts = settled(blocks.join(files, "__file").select(
+        "__file", "__block", (F.col("__place") * FILE_ROWS + F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")))
+    return kept.join(starts, ["__file", "__block"]).select(
+        *[column(c) for c in raw.columns], (F.col("__read") + F.col("__shift")).cast("bigint").alias(POSITION))
 
 
 def _typed(raw: DataFrame) -> DataFrame:
     """One scan decides the type of every text column."""
     whole = r"^\s*[+-]?\d{1,18}\s*$"
     tests = []
-    for i, c in enumerate(raw.columns):
+    names = [c for c in raw.columns if c != POSITION]
+    for i, c in enumerate(names):
         value = column(c)
         tests += [
             F.count(value).alias(f"n{i}"),
@@ -60,7 +80,7 @@ def _typed(raw: DataFrame) -> DataFrame:
     seen = raw.agg(*tests).first()
     text = T.StringType()
     out = []
-    for i, c in enumerate(raw.columns):
+    for i, c in enumerate(names):
         n, value = seen[f"n{i}"], column(c)
         if n and seen[f"i{i}"] == n:
             value = F.trim(value).cast("bigint")
@@ -69,7 +89,7 @@ def _typed(raw: DataFrame) -> DataFrame:
         elif n and seen[f"b{i}"] == n:
             value = as_flag(value, text)
         out.append(value.alias(c))
-    return raw.select(*out)
+    return raw.select(*out, *[c for c in raw.columns if c == POSITION])
 
 
 def read_reference_dir(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

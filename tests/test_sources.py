@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.operators.identity import FILE_ROWS, numbered_table
 from assayer.operators.quality import QualityRun
 from assayer.plans.profile import ColumnSpec as C, Profile
 from assayer.session import drop_settled, settled
@@ -36,6 +37,47 @@ def test_positions_survive_repartitioning_and_pruning(spark, tmp_path):
     assert run.findings().filter(F.col("row_key").rlike("^part.*:[0-9]+$")).count() == 5
 
 
+LAYOUTS = ((128 << 20, 1), (6_000, 1), (6_000, 23), (1_000, 5))  # split size, least number of splits (by default the parallelism)
+
+
+@pytest.fixture
+def layouts(spark):
+    def each():
+        for size, least in LAYOUTS:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(least))
+            yield size, least
+    yield each
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_csv_numbers_do_not_follow_the_splits(spark, tmp_path, layouts):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    for name, first, n in (("b.csv", 1000, 700), ("a.csv", 0, 1000), ("c.csv", 1700, 0), ("d.csv", 1700, 300)):
+        (folder / name).write_text("i,text\n" + "".join(f"{i},row {i} {'x' * (i % 40)}\n" for i in range(first, first + n)))
+    want = {**{i: i for i in range(1000)}, **{1000 + i: FILE_ROWS + i for i in range(700)}}
+    splits = set()
+    for _ in layouts():
+        df = read_table(spark, str(folder), "csv", position=True)
+        got = {r["i"]: r["__position"] for r in df.select("i", "__position").collect()}
+        assert {i: p for i, p in got.items() if i < 1700} == want
+        assert [got[i] - got[1700] for i in range(1700, 2000)] == list(range(300))
+        splits.add(spark.read.csv(str(folder)).rdd.getNumPartitions())
+    assert len(splits) > 1
+
+
+def test_written_numbers_do_not_follow_the_splits(spark, layouts):
+    written = settled(spark.range(20_000).selectExpr("id", "repeat(string(id), 20) AS text").repartition(3))
+    seen, splits = [], set()
+    for _ in layouts():
+        again = spark.read.parquet(*written.inputFiles())
+        splits.add(again.rdd.getNumPartitions())
+        seen.append({r["id"]: r["__position"] for r in numbered_table(again).select("id", "__position").collect()})
+    assert len(splits) > 1 and all(s == seen[0] for s in seen) and len(set(seen[0].values())) == 20_000
+
+
 def test_reference_dir_and_tables(spark, tmp_path):
     (tmp_path / "refs").mkdir()
     (tmp_path / "refs" / "vendors.csv").write_text("vendor_id\nV1\nV2\n")

@@ -815,3 +815,12 @@ SELECT bin, class, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION
 FROM placed GROUP BY 1, 2"""
 ORACLES["most_recent_rows"] = "SELECT event_id, user_id, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500"
 ORACLES["source_contract"] = "SELECT toxic, count(*) AS n FROM labels GROUP BY 1"
+_STRICT = {
+    "expect_column_values_to_be_between.l_quantity": "l_quantity > 45", "expect_column_values_to_be_between.l_discount": "l_discount > 0.08",
+    "expect_column_values_to_be_in_set.l_returnflag": "l_returnflag NOT IN ('A', 'N')", "expect_column_to_exist.l_shipmode": "true",
+}
+ORACLES["findings_partitioned"] = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule_id, count(*) AS n_findings, count(*) AS n_positions FROM lineitem WHERE {failed} HAVING count(*) > 0"
+    for rule, failed in _STRICT.items()) + """ UNION ALL SELECT 'expect_table_rows_to_be_unique', sum(n - 1)::BIGINT, sum(n - 1)::BIGINT
+FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag) HAVING sum(n - 1) > 0"""
+ORACLES["csv_round_trip"] = "SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, round(p_retailprice, 6) AS p_retailprice, true AS gapless FROM part"

@@ -14,7 +14,7 @@ from assayer.operators.defects import changed_cells, inject_defects
 from assayer.operators.features import Scaler, card_features, normals, plain_features, temporal_split
 from assayer.operators.forest import ForestConfig, fit_forest
 from assayer.operators.groups import Entry, group_counts, verdicts
-from assayer.operators.identity import ROW_KEY, numbered_scan, with_identity
+from assayer.operators.identity import FILE_ROWS, POSITION, ROW_KEY, with_identity, with_position
 from assayer.operators.issues import (
     anomaly_issues, anomaly_summary, by_severity, prioritized, quality_issues, sample_keys, severity_counts,
     top_issues,
@@ -34,8 +34,8 @@ from assayer.plans.bundled import bundled_profiles
 from assayer.plans.inference import infer_profile, profile_table
 from assayer.plans.measure import Measurement, measure_rules
 from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile
-from assayer.session import settled, small_table
-from assayer.sources.tables import Contract, checked_contract, most_recent
+from assayer.session import scratch_path, settled, small_table
+from assayer.sources.tables import Contract, checked_contract, most_recent, read_reference_dir, read_table, write_tables
 from workload import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,7 +79,7 @@ def today() -> Column:
 
 def header_run(spark: SparkSession, folder: str) -> QualityRun:
     refs = {"customer": B.table(spark, folder, "customer")}
-    batch = numbered_scan(settled(B.dirty_headers(spark, folder)))  # read by many rules, joined once
+    batch = with_position(B.dirty_headers(spark, folder))  # read by many rules, joined once
     return QualityRun(batch, B.HEADERS, refs, "orders", B.TODAY, ["o_orderkey"])
 
 
@@ -296,6 +296,37 @@ def anomaly_summary_row(spark: SparkSession, folder: str) -> DataFrame:
         "threshold_rule string, score_median double, score_max double"))
 
 
+STRICT_LINES = Profile(
+    "lineitem",
+    columns=(ColumnSpec("l_orderkey", "int"), ColumnSpec("l_quantity", "float", max=45), ColumnSpec("l_discount", "float", max=0.08),
+             ColumnSpec("l_returnflag", allowed_values=("A", "N")), ColumnSpec("l_shipmode", required=False)),
+)
+
+
+@query("findings_partitioned")
+def findings_partitioned(spark: SparkSession, folder: str) -> DataFrame:
+    """A table in partition folders without a key: every failing row keeps a position of its own."""
+    path = scratch_path(spark)
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
+    B.table(spark, folder, "lineitem").select(*columns).write.partitionBy("l_returnflag").parquet(path)
+    run = QualityRun(read_table(spark, path, "parquet", position=True), STRICT_LINES, today=B.TODAY)
+    return run.positioned_findings.groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("n_findings"), F.countDistinct(POSITION).alias("n_positions"))
+
+
+@query("csv_round_trip")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts written as CSV files and read back as a reference table: types found again, rows numbered without gaps per file."""
+    path = scratch_path(spark)
+    parts = B.table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    write_tables({"part": parts.repartition(3)}, path)
+    back = read_reference_dir(spark, path)["part"]
+    file, row = F.floor(F.col(POSITION) / FILE_ROWS), F.col(POSITION) % FILE_ROWS
+    numbered = back.withColumn("__file", file).withColumn("__row", row)
+    gapless = numbered.groupBy("__file").agg((F.max("__row") + 1 == F.countDistinct("__row")).alias("gapless"))
+    return numbered.join(gapless, "__file").select("p_partkey", "p_name", "p_brand", "p_size", F.round("p_retailprice", 6).alias("p_retailprice"), "gapless")
+
+
 # --- profiles ---------------------------------------------------------------------------
 
 

@@ -1,22 +1,21 @@
-"""Row predicates written in a profile, turned into Spark columns.
+"""Row predicates written in a profile as Spark SQL text (P-EXPRCHECK).
 
-The text is arithmetic over the profile's own columns with ``abs`` and ``round``.
-Whatever has no case in :func:`_column_of` is refused, so a profile can never
-reach another function, a subquery or a column it does not declare.
+Spark's own parser reads the text. What it found must be in the tables below, node
+by node, so a profile reaches arithmetic and comparisons over the columns it
+declares, ``abs``, ``round`` and ``power``, and nothing else: no other function,
+subquery, window, field access or column. Operands come from the caller, already
+coerced, so texts that hold numbers compare as numbers.
 """
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, functions as F
+from pyspark.errors import ParseException
+from pyspark.sql import Column, SparkSession, functions as F
 
 from assayer.functions.coerce import column
 
-_WORDS = re.compile(r"\b(AND|OR|NOT)\b")
-
 
 class PredicateError(ValueError):
     """The predicate uses something a profile may not use."""
@@ -31,98 +30,106 @@ def _floor_mod(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.pmod(a, b)).when(b < 0, -F.pmod(-a, -b))
 
 
-_ARITHMETIC: dict[type, Callable[[Column, Column], Column]] = {
-    ast.Add: lambda a, b: a + b,
-    ast.Sub: lambda a, b: a - b,
-    ast.Mult: lambda a, b: a * b,
-    ast.Div: _divide,
-    ast.Mod: _floor_mod,
-    ast.Pow: F.pow,
+#: Nodes of Spark's expression tree that a predicate may hold, by class, with what they mean here.
+ALLOWED_NODES: dict[str, Callable[..., Column]] = {
+    "Add": lambda a, b: a + b, "Subtract": lambda a, b: a - b, "Multiply": lambda a, b: a * b,
+    "Divide": _divide, "Remainder": _floor_mod, "UnaryMinus": lambda a: -a, "UnaryPositive": lambda a: a,
+    "And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Not": lambda a: ~a,
+    "LessThan": lambda a, b: a < b, "LessThanOrEqual": lambda a, b: a <= b, "GreaterThan": lambda a, b: a > b,
+    "GreaterThanOrEqual": lambda a, b: a >= b, "EqualTo": lambda a, b: a == b,
 }
-_COMPARISON: dict[type, Callable[[Column, Column], Column]] = {
-    ast.Lt: lambda a, b: a < b,
-    ast.LtE: lambda a, b: a <= b,
-    ast.Gt: lambda a, b: a > b,
-    ast.GtE: lambda a, b: a >= b,
-    ast.Eq: lambda a, b: a == b,
-    ast.NotEq: lambda a, b: a != b,
+COMPARISONS = {"LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "EqualTo"}
+#: Functions by name and number of arguments.
+ALLOWED_FUNCTIONS: dict[tuple[str, int], Callable[..., Column]] = {
+    ("abs", 1): F.abs, ("round", 1): lambda a: F.bround(a, 0), ("power", 2): F.pow, ("pow", 2): F.pow,
 }
 
 
-def _rounded(args: list[Column], digits: list[ast.expr]) -> Column:
-    if digits and not (isinstance(digits[0], ast.Constant) and isinstance(digits[0].value, int)):
-        raise PredicateError("round takes a whole number of digits")
-    return F.bround(args[0], digits[0].value if digits else 0)
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
 
 
-def _call(node: ast.Call, resolve: Callable[[str], Column]) -> Column:
-    name = node.func.id if isinstance(node.func, ast.Name) else None
-    if node.keywords or not node.args:
-        raise PredicateError("functions take plain arguments")
-    args = [_column_of(a, resolve) for a in node.args[:1]]
-    if name == "abs" and len(node.args) == 1:
-        return F.abs(args[0])
-    if name == "round" and len(node.args) <= 2:
-        return _rounded(args, node.args[1:])
-    raise PredicateError("only abs and round may be called")
-
-
-def _column_of(node: ast.AST, resolve: Callable[[str], Column]) -> Column:
-    match node:
-        case ast.Name(id=name):
-            return resolve(name)
-        case ast.Constant(value=bool() | str() as value):
-            return F.lit(value)
-        case ast.Constant(value=int() | float() as value):
-            return F.lit(float(value))
-        case ast.Call():
-            return _call(node, resolve)
-        case ast.UnaryOp(op=ast.USub(), operand=inner):
-            return -_column_of(inner, resolve)
-        case ast.UnaryOp(op=ast.UAdd(), operand=inner):
-            return _column_of(inner, resolve)
-        case ast.UnaryOp(op=ast.Not(), operand=inner):
-            return ~_column_of(inner, resolve)
-        case ast.BinOp(left=left, op=op, right=right) if type(op) in _ARITHMETIC:
-            return _ARITHMETIC[type(op)](_column_of(left, resolve), _column_of(right, resolve))
-        case ast.BoolOp(op=op, values=values):
-            parts = [_column_of(v, resolve) for v in values]
-            joined = parts[0]
-            for part in parts[1:]:
-                joined = joined & part if isinstance(op, ast.And) else joined | part
-            return joined
-        case ast.Compare(left=left, ops=ops, comparators=rights) if all(type(o) in _COMPARISON for o in ops):
-            sides = [_column_of(n, resolve) for n in [left, *rights]]
-            joined = None
-            for op, a, b in zip(ops, sides, sides[1:]):
-                step = _COMPARISON[type(op)](a, b)
-                joined = step if joined is None else joined & step
-            return joined
-    raise PredicateError(f"{type(node).__name__} is not allowed in a predicate")
-
-
-def _tree(text: str) -> ast.expr:
+def _children(node) -> list:
+    children = node.children()
+    return [children.apply(i) for i in range(children.size())]
+
+
+def _parsed(text: str):
+    session = SparkSession.getActiveSession()
+    if session is None:
+        raise RuntimeError("predicates are read by Spark and need an active session")
+    try:
+        return session._jsparkSession.sessionState().sqlParser().parseExpression(text.strip())
+    except ParseException as error:
+        raise PredicateError(f"cannot read predicate {text!r}: {error}") from error
+
+
+def _name(node) -> str:
+    if node.nameParts().size() != 1:
+        raise PredicateError(f"{node.nameParts().mkString('.')} is not a plain column")
+    return node.nameParts().apply(0)
+
+
+def _literal(node) -> Column:
+    text, kind = node.toString(), node.dataType().typeName()
+    if kind in ("string", "boolean"):
+        return F.lit(text if kind == "string" else text == "true")
     try:
-        return ast.parse(_WORDS.sub(lambda m: m.group().lower(), text.strip()), mode="eval").body
-    except SyntaxError as error:
-        raise PredicateError(f"cannot read predicate {text!r}: {error.msg}") from error
+        return F.lit(float(text))
+    except ValueError as error:
+        raise PredicateError(f"{text} is not allowed in a predicate") from error
+
+
+def _call(node, resolve: Callable[[str], Column]) -> Column:
+    args = _children(node)
+    name = _name(node).lower()
+    if node.isDistinct() or node.filter().isDefined() or node.ignoreNulls():
+        raise PredicateError("functions take plain arguments")
+    if (name, len(args)) == ("round", 2):
+        if _kind(args[1]) != "Literal" or not args[1].toString().lstrip("-").isdigit():
+            raise PredicateError("round takes a whole number of digits")
+        return F.bround(_column_of(args[0], resolve), int(args[1].toString()))
+    if (name, len(args)) not in ALLOWED_FUNCTIONS:
+        raise PredicateError(f"only {sorted({n for n, _ in ALLOWED_FUNCTIONS})} may be called")
+    return ALLOWED_FUNCTIONS[name, len(args)](*[_column_of(a, resolve) for a in args])
+
+
+def _column_of(node, resolve: Callable[[str], Column]) -> Column:
+    kind = _kind(node)
+    if kind == "UnresolvedAttribute":
+        return resolve(_name(node))
+    if kind == "Literal":
+        return _literal(node)
+    if kind == "UnresolvedFunction":
+        return _call(node, resolve)
+    if kind not in ALLOWED_NODES:
+        raise PredicateError(f"{kind} is not allowed in a predicate")
+    children = _children(node)
+    if kind in COMPARISONS and _kind(children[0]) in COMPARISONS:  # 0 <= a < b
+        middle = _column_of(_children(children[0])[1], resolve)
+        return _column_of(children[0], resolve) & ALLOWED_NODES[kind](middle, _column_of(children[1], resolve))
+    return ALLOWED_NODES[kind](*[_column_of(c, resolve) for c in children])
+
+
+def _names(node) -> Iterator[str]:
+    if _kind(node) == "UnresolvedAttribute":
+        yield _name(node)
+    for child in _children(node):
+        yield from _names(child)
 
 
 def operands(text: str) -> list[str]:
     """Column names the predicate reads, each once, in order of appearance."""
-    tree = _tree(text)
-    calls = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
-    names = [n for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in calls]
-    return list(dict.fromkeys(n.id for n in sorted(names, key=lambda n: (n.lineno, n.col_offset))))
+    return list(dict.fromkeys(_names(_parsed(text))))
 
 
 def predicate(text: str, resolve: Callable[[str], Column]) -> Column:
     """The predicate as a boolean column; ``resolve`` supplies each operand."""
-    return _column_of(_tree(text), resolve)
+    return _column_of(_parsed(text), resolve)
 
 
 def check_predicate(text: str, names: set[str], rule_id: str = "") -> None:
-    """Build the predicate once over declared names only, before any job starts."""
+    """Walk the predicate once over declared names only, before any job starts."""
 
     def declared(name: str) -> Column:
         if name not in names:

@@ -9,7 +9,7 @@ from assayer.operators.identity import data_columns
 from assayer.operators.order_stats import quantiles
 from assayer.plans.bundled import bundled_profiles
 from assayer.plans.profile import ColumnSpec, Profile, detect_profile
-from assayer.session import small_table
+from assayer.session import settled, small_table
 
 # Fixed values of the inference.
 NULL_SLACK = 0.02
@@ -43,24 +43,23 @@ def _countable(kind: T.DataType) -> bool:
 def infer_profile(df: DataFrame, name: str = "uploaded_batch") -> Profile:
     """Bounds, vocabularies and a key as the batch shows them.
 
-    One aggregate sizes every column; exact work follows only where the sizes allow it.
+    A look at a few rows rules out most keys and vocabularies for certain: a value
+    seen twice is never a key, a twenty-first text never a vocabulary. Exact work on
+    all rows is left for the columns that pass.
     """
     names = data_columns(df)
     kinds = {c: df.schema[c].dataType for c in names}
-    sized = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        sized.append(F.count_if(~missing(column(c), kinds[c])).alias(f"n{i}"))
-        if _countable(kinds[c]):
-            sized.append(F.approx_count_distinct(column(c)).alias(f"d{i}"))
-    seen = df.agg(*sized).first()
+    present = [F.count_if(~missing(column(c), kinds[c])).alias(f"n{i}") for i, c in enumerate(names)]
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *present).first()
     rows = seen["rows"]
+    looked = _look(df, [c for c in names if _countable(kinds[c])])
 
     numeric = [i for i, c in enumerate(names)
                if inferred_dtype(kinds[c]) in ("int", "float") and seen[f"n{i}"] > MIN_NUMBERS]
     numbers = df.select(*[as_number(column(names[i]), kinds[names[i]]).alias(f"v{i}") for i in numeric])
     tails = quantiles(numbers, {f"v{i}": list(TAIL) for i in numeric}, {f"v{i}": seen[f"n{i}"] for i in numeric}) if numeric else {}
     words = _vocabularies(df, [c for i, c in enumerate(names)
-                               if isinstance(kinds[c], T.StringType) and 0 < seen[f"d{i}"] <= MAX_VOCABULARY * 1.5])
+                               if isinstance(kinds[c], T.StringType) and seen[f"n{i}"] and looked[c][1] <= MAX_VOCABULARY])
     specs = []
     for i, c in enumerate(names):
         null_rate = 1 - seen[f"n{i}"] / rows if rows else 0.0
@@ -72,27 +71,47 @@ def infer_profile(df: DataFrame, name: str = "uploaded_batch") -> Profile:
         specs.append(ColumnSpec(
             c, inferred_dtype(kinds[c]), null_rate < 0.5, min(1.0, round(null_rate + NULL_SLACK, 4)),
             min=low, max=high, allowed_values=words.get(c), description="Inferred from the uploaded batch"))
+    whole = [c for i, c in enumerate(names) if c in looked and seen[f"n{i}"] == rows and looked[c][0] == looked[c][1]]
     return Profile(
-        name=name, primary_key=_first_key(df, seen, rows), columns=tuple(specs),
+        name=name, primary_key=_first_key(df, whole), columns=tuple(specs),
         outlier_columns=tuple(names[i] for i in numeric), description="Profile inferred from the uploaded batch",
         inferred=True)
 
 
-def _vocabularies(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]:
-    """Sorted distinct texts of columns already known to hold few."""
+#: Rows looked at before the exact work; they only rule columns out.
+LOOK_ROWS = 10_000
+
+
+def _look(df: DataFrame, names: list[str]) -> dict[str, tuple[int, int]]:
+    """Present and distinct values per column among some rows."""
     if not names:
         return {}
-    row = df.agg(*[F.collect_set(column(c)).alias(f"w{i}") for i, c in enumerate(names)]).first()
-    return {c: tuple(sorted(row[i])) for i, c in enumerate(names) if 0 < len(row[i]) <= MAX_VOCABULARY}
+    row = df.limit(LOOK_ROWS).agg(*[m.alias(f"{label}{i}") for i, c in enumerate(names) for label, m in (
+        ("n", F.count(column(c))), ("d", F.size(F.collect_set(column(c)))))]).first()
+    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(names)}
 
 
-def _first_key(df: DataFrame, seen, rows: int) -> tuple[str, ...]:
-    """The first column without gaps or repeats; the sketch rules most columns out without a shuffle."""
-    for i, c in enumerate(data_columns(df)):
-        kind = df.schema[c].dataType
-        if not _countable(kind) or seen[f"n{i}"] < rows or seen[f"d{i}"] < 0.75 * rows:
-            continue
-        if rows == 0 or df.groupBy(column(c)).count().filter("count > 1").isEmpty():
+def _vocabularies(df: DataFrame, names: list[str]) -> dict[str, tuple[str, ...]]:
+    """Sorted distinct texts of the columns that hold few.
+
+    The texts of all columns become distinct in one grouping, are counted per
+    column, and only those of small vocabularies are read.
+    """
+    if not names:
+        return {}
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), column(c).cast("string").alias("word")) for i, c in enumerate(names)])
+    distinct = settled(df.select(F.explode(cells).alias("c")).select("c.*").filter("word IS NOT NULL").distinct())
+    small = [r["at"] for r in distinct.groupBy("at").count().filter(F.col("count") <= MAX_VOCABULARY).collect()]
+    found: dict[str, list[str]] = {}
+    for at, word in distinct.filter(F.col("at").isin(*small)).collect() if small else ():
+        found.setdefault(names[at], []).append(word)
+    return {c: tuple(sorted(words)) for c, words in found.items()}
+
+
+def _first_key(df: DataFrame, candidates: list[str]) -> tuple[str, ...]:
+    """The first column without repeats among those without gaps."""
+    for c in candidates:
+        if df.groupBy(column(c)).count().filter("count > 1").isEmpty():
             return (c,)
     return ()
 

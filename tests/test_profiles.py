@@ -85,3 +85,26 @@ def test_resolution(spark, erp):
     assert profile.name == "mine" and profile.inferred and "inferred" in notes[0]
     _, notes = resolve_profile(spark.range(30), registered=[None])
     assert "could not be used" in notes[0]
+
+
+@pytest.mark.parametrize("words, repeat, key", [(20, False, ("k",)), (21, False, ("k",)), (20, True, ("j",)), (21, True, ("j",))])
+def test_inference_is_exact_at_the_limits(spark, monkeypatch, words, repeat, key):
+    """The word or repeat that decides comes in the last row, which no look at the first rows sees."""
+    from assayer.plans import inference
+    monkeypatch.setattr(inference, "LOOK_ROWS", 50)
+    last = 399
+    rows = [(i if not (repeat and i == last) else 0, f"key {i}", f"w{min(i % 20, 19)}" if i < last or words == 20 else "new", None if i < 390 else "x",
+             float(i // 2), i == 0) for i in range(last + 1)]
+    df = spark.createDataFrame(rows, "k int, j string, w string, rare string, half double, flag boolean").coalesce(1)
+    profile = infer_profile(df)
+    spec = {c.name: c for c in profile.columns}
+    assert spec["w"].allowed_values == (tuple(sorted(f"w{i}" for i in range(20))) if words == 20 else None)
+    assert spec["rare"].allowed_values == ("x",) and spec["j"].allowed_values is None
+    assert profile.primary_key == key
+
+
+def test_inference_of_odd_columns(spark):
+    df = spark.createDataFrame([(0.0, {"a": 1}, [1]), (-0.0, None, [1]), (float("nan"), None, None)], "z double, m map<string,int>, a array<int>")
+    profile = infer_profile(df)
+    assert profile.primary_key == () and [c.dtype for c in profile.columns] == ["float", "string", "string"]
+    assert infer_profile(spark.range(0)).primary_key == ("id",)  # nothing repeats

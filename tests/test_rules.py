@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.functions.predicates import PredicateError, check_predicate
+from assayer.functions.predicates import PredicateError, check_predicate, operands
 from assayer.operators.consistency import Reference
 from assayer.operators.plausibility import fit_outliers, sample_skewness
 from assayer.operators.quality import QualityRun
@@ -129,7 +129,7 @@ def test_expression_skips_missing_operands(tiny, tiny_profile):
     ("a / b > 0", [(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (4.0, 2.0)], 2),
     ("a % b == 2", [(-7.0, 3.0), (8.0, 3.0), (7.0, -3.0)], 1),
     ("round(a) == 2", [(2.5, 0.0), (1.5, 0.0), (3.5, 0.0)], 1),
-    ("a ** 2 >= b and not a > 3", [(2.0, 4.0), (4.0, 1.0), (1.0, 2.0)], 2),
+    ("power(a, 2) >= b and not a > 3", [(2.0, 4.0), (4.0, 1.0), (1.0, 2.0)], 2),
     ("0 <= a < b", [(0.0, 1.0), (1.0, 1.0), (-1.0, 1.0)], 2),
 ])
 def test_expression_arithmetic(spark, text, rows, failed):
@@ -146,7 +146,8 @@ def test_iso_dates_compare_as_text(spark):
 
 @pytest.mark.parametrize("text", [
     "a + evil > 0", "__import__('os').system('ls')", "upper(a) == 'X'", "(SELECT 1) > a", "a.b > 1", "a[0] > 1",
-    "[a for a in b]", "abs(a, b) > 1", "lambda: a", "round(a, b) > 1", "a >", "a if b else a"])
+    "[a for a in b]", "abs(a, b) > 1", "exists(SELECT 1)", "a BETWEEN 0 AND 1", "abs(a) OVER () > 1", "abs(DISTINCT a) > 1", "a = NULL",
+    "a > 1 AS x", "a > DATE'2020-01-01'", "x -> a", "a:b > 1", "current_user() = a", "a LIKE 'x'", "a IN (1)", "CASE WHEN a THEN b END", "lambda: a", "round(a, b) > 1", "a >", "a if b else a"])
 def test_predicates_refused(spark, text):
     with pytest.raises(PredicateError):
         check_predicate(text, {"a", "b"})
@@ -154,6 +155,9 @@ def test_predicates_refused(spark, text):
 
 def test_predicate_accepted(spark):
     check_predicate("abs(a - b) <= 0.1 AND NOT round(a, 2) > 3", {"a", "b"})
+    check_predicate("abs(a - b) <= 0.1", {"a", "b"})
+    check_predicate("`odd name` != 'x' or -a * 2 >= +b / 3 % 4", {"a", "b", "odd name"})
+    assert operands("b + abs(a) > b - c") == ["b", "a", "c"]
 
 
 def test_foreign_key_and_lookup(spark):

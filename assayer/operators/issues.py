@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from assayer.functions.coerce import column
 from assayer.operators.identity import POSITION, ROW_KEY
 from assayer.operators.order_stats import quantiles
 from assayer.plans import severity as S
@@ -126,6 +127,14 @@ def flagged_records(scores: DataFrame, threshold: float, limit: int) -> DataFram
     return scores.filter(F.col("score") >= threshold).orderBy(F.desc("score"), POSITION).limit(limit)
 
 
+def top_scored(rows: DataFrame, scores: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` highest-scoring rows with their score in front, equal scores in row order (A-TOP)."""
+    top = scores.orderBy(F.desc("score"), POSITION).limit(n).select(POSITION, F.col("score").alias("anomaly_score"))
+    kept = rows.join(F.broadcast(top), POSITION)  # at most n rows
+    return kept.orderBy(F.desc("anomaly_score"), POSITION).select(
+        "anomaly_score", *[column(c) for c in rows.columns if c not in (POSITION, ROW_KEY)])
+
+
 def with_percentiles(top: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """Adds the average-rank percentile among all ``n`` scores to the highest ones.
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.functions.coerce import column, is_number_type, missing
 from assayer.operators.consistency import Reference, ambiguous_references
@@ -26,7 +26,7 @@ from assayer.plans.inference import resolve_profile
 from assayer.plans.profile import Profile
 from assayer.plans.severity import MAX_RECORD_ISSUES
 from assayer.session import settled
-from assayer.sources.models import ModelBundle, calibration_scores
+from assayer.sources.models import ModelBundle, calibration_scores, load_bundle
 
 MIN_FALLBACK_ROWS = 50
 MIN_FALLBACK_COLUMNS = 2
@@ -139,14 +139,18 @@ def audit_batch(
     df: DataFrame,
     profile: Profile | None = None,
     references: dict[str, DataFrame | Reference] | None = None,
-    bundle: ModelBundle | None = None,
+    bundle: ModelBundle | str | None = None,
     config: AuditConfig = AuditConfig(),
     batch_id: str | None = None,
     table: str | None = None,
     label: str | None = None,
     order: list[str] | None = None,
 ) -> Audit:
-    """Check a batch against its profile, score its rows, and rank what was found."""
+    """Check a batch against its profile, score its rows, and rank what was found.
+
+    ``bundle`` is a trained model or the folder of one; a folder without a usable model
+    is noted, and the batch is scored by a model of its own.
+    """
     profile, notes = resolve_profile(df, profile, table or "uploaded_batch")
     df = with_position(df)  # one fixed copy for all passes, unless the source is one
     table = table or profile.name
@@ -156,7 +160,7 @@ def audit_batch(
     anomaly: dict[str, Any] = {}
     scored: _Scored | None = None
     if config.use_model:
-        scored = _detect(run, bundle, config, label, notes)
+        scored = _detect(run, _loaded(df.sparkSession, bundle, notes), config, label, notes)
     if scored is not None:
         value = scored.threshold.value
         anomaly = anomaly_summary(scored.scores, value, scored.threshold.rule, scored.model_name)
@@ -175,6 +179,16 @@ def audit_batch(
         scored.threshold if scored else None, notes)
 
 
+def _loaded(spark: SparkSession, bundle: ModelBundle | str | None, notes: list[str]) -> ModelBundle | None:
+    if not isinstance(bundle, str):
+        return bundle
+    try:
+        return load_bundle(spark, bundle)
+    except Exception as error:  # an unusable model must not block an audit
+        notes.append(f"Trained model could not be loaded: {error}")
+        return None
+
+
 def _detect(
     run: QualityRun, bundle: ModelBundle | None, config: AuditConfig, label: str | None, notes: list[str]
 ) -> _Scored | None:

@@ -10,9 +10,10 @@ from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from assayer.functions.predicates import check_predicate
+from assayer.session import read_text
 
 # Dimensions, in report order, with their default weights.
 DIMENSION_WEIGHTS = {
@@ -148,9 +149,9 @@ def profile_from_dict(raw: dict[str, Any]) -> Profile:
     return Profile(**_only_known(Profile, body, label)).checked()
 
 
-def load_profile(path: str | Path) -> Profile:
-    """Read a profile from YAML or JSON."""
-    text = Path(path).read_text(encoding="utf-8")
+def load_profile(path: str | Path, spark: SparkSession | None = None) -> Profile:
+    """Read a profile from YAML or JSON; with a session from any file system it reaches."""
+    text = Path(path).read_text(encoding="utf-8") if spark is None else read_text(spark, str(path))
     if str(path).endswith(".json"):
         return profile_from_dict(json.loads(text))
     import yaml

@@ -73,6 +73,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.hint("rebalance") if int(str(size)) < SMALL_SOURCE else df
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it names it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file on whatever file system the path names."""
+    system, target = file_system(spark, path)
+    stream = system.create(target, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file from whatever file system the path names."""
+    lines = spark.read.text(path, wholetext=True).collect()
+    return lines[0][0] if lines else ""
+
+
 def drop_settled(spark: SparkSession) -> None:
     """Remove this application's written tables, once nothing reads them any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/settled-*")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assayer.operators.issues import top_issues
 from assayer.plans.audit import Audit
+from assayer.session import write_text
 
 SCHEMA_VERSION = "1.0"
 TOP_ISSUES = 25
@@ -93,16 +94,6 @@ def report_markdown(audit: Audit, document: dict[str, Any] | None = None, top: i
     return "\n".join(lines) + "\n"
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file on whatever file system the path names."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        stream.write(bytearray(text.encode("utf-8")))
-    finally:
-        stream.close()
-
-
 def write_report(audit: Audit, folder: str, top: int = TOP_ISSUES, findings: bool = False) -> dict[str, str]:
     """report.json, report.md and issues.csv; on request also all findings, by rule."""
     spark = audit.issues.sparkSession
@@ -127,3 +118,19 @@ def read_top_issues(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
     """The first issues of a written register."""
     issues = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return top_issues(issues.withColumn("priority", F.col("priority").cast("int")), n)
+
+
+_DIMENSION = "struct<score: double, weight: double, rules_evaluated: bigint, rules_failed: bigint>"
+#: What a written report holds, as far as readers of it rely on.
+REPORT_SCHEMA = f"""schema_version string, batch_id string, `table` string, n_rows bigint, generated_at string,
+  quality struct<`table`: string, n_rows: bigint, n_columns: bigint, global_score: double, global_score_arithmetic: double, grade: string,
+    profile_inferred: boolean, dimensions: map<string, {_DIMENSION}>>,
+  severity_counts map<string, bigint>, n_issues bigint,
+  issues array<struct<issue_id: string, priority: bigint, severity: string, severity_score: double, rule_id: string, n_records: bigint,
+    reason: string, record_keys: array<string>>>,
+  notes array<string>"""
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Written reports as rows, one per document; a glob reads the reports of many batches."""
+    return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)

@@ -172,3 +172,52 @@ def small_card(spark):
     rows = [(i, i * 60.0, i % 17 + 1.0, *map(float, v[i])) for i in range(300)]
     return spark.createDataFrame(rows, "__position bigint, Time double, Amount double, "
                                  + ", ".join(f"{c} double" for c in COMPONENTS))
+
+
+def test_a_model_folder_is_whole_or_noted(spark, tmp_path):
+    from assayer.operators.reconstruct import AutoencoderModel
+    from assayer.sources.models import ModelDamaged, ModelMissing, bundle_available, load_bundle, save_bundle
+    import numpy as np
+
+    config = AutoencoderConfig(hidden=(), latent=2)
+    scaler = Scaler(tuple(card_features()), (0.0,) * 31, (1.0,) * 31)
+
+    def model(x):
+        return ModelBundle(scaler, AutoencoderModel(np.full(31 * 2 * 2 + 33, x), 31, config))
+
+    folder = str(tmp_path / "models")
+    with pytest.raises(ModelMissing):
+        load_bundle(spark, folder)
+    first = save_bundle(spark, model(0.5), folder)
+    second = save_bundle(spark, model(0.25), folder)
+    assert first != second and load_bundle(spark, folder).autoencoder.flat[0] == 0.25
+    (tmp_path / "models" / "version-000002" / "manifest.json").unlink()  # a save that did not finish
+    assert bundle_available(spark, folder) and load_bundle(spark, folder).autoencoder.flat[0] == 0.5
+    third = save_bundle(spark, model(0.125), folder)
+    assert third.endswith("version-000003")
+    manifest = tmp_path / "models" / "version-000003" / "manifest.json"
+    manifest.with_name(".manifest.json.crc").unlink()  # the file system's own check would see the change first
+    manifest.write_text(manifest.read_text().replace('"digest": "', '"digest": "0'))
+    with pytest.raises(ModelDamaged):
+        load_bundle(spark, folder)
+    quick = AuditConfig(forest=FOREST, review_budget=0.01)
+    audit = audit_batch(small_card(spark), bundle=folder, config=quick)
+    assert any(n.startswith("Trained model could not be loaded: ") for n in audit.notes)
+    assert audit.anomaly["model"] == "isolation_forest_fitted_on_batch"
+    manifest.unlink()
+    assert audit_batch(small_card(spark), bundle=folder, config=quick).anomaly["model"] == "autoencoder"
+
+
+def test_top_scored_rows(spark):
+    from assayer.operators.issues import top_scored
+    rows = spark.range(30).select(F.col("id").alias("__position"), (F.col("id") % 4).alias("score"), (F.col("id") * 2).alias("score_of"), F.lit("k").alias("__row_key"))
+    top = top_scored(rows.drop("score"), rows.select("__position", "score"), 9)
+    assert top.columns == ["anomaly_score", "score_of"]
+    assert [tuple(r) for r in top.collect()] == [(3, 2 * i) for i in range(3, 30, 4)] + [(2, 4), (2, 12)]
+
+
+def test_profile_from_a_file_system(spark, tmp_path):
+    from assayer.plans.profile import load_profile
+    path = tmp_path / "p.json"
+    path.write_text('{"name": "t", "columns": [{"name": "a", "dtype": "int"}]}')
+    assert load_profile(f"file://{path}", spark).columns[0].name == "a"

@@ -415,7 +415,7 @@ ranked AS (SELECT o_orderkey, o_totalprice AS s, t, m, n,
              count(*) FILTER (WHERE o_totalprice >= t) OVER () AS flagged,
              row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders, t)"""
 ORACLES["anomaly_issues"] = f"""{_FLAGGED},
-conf AS (SELECT *, greatest(0.0, least(1.0, (pct - below) / greatest(1e-9, 1 - below))) AS c FROM ranked WHERE s >= t AND pos <= 60),
+conf AS (SELECT *, greatest(0.0, least(1.0, (pct - below) / greatest(1e-9, 1 - below))) AS c FROM ranked WHERE s >= t AND pos <= 200),
 listed AS (
   SELECT format('ISS-A{{:04d}}', pos) AS issue_id, 100 * (0.27 + 0.30 * sqrt(1.0 / n) + 0.25 * c) AS sev,
          'record' AS scope, 'anomaly.price' AS rule_id, 1 AS n_records, 1.0 / n AS p,
@@ -424,9 +424,9 @@ listed AS (
            || format('{{:.4f}}', 100 * pct) || '% percentile, ' || format('{{:.1f}}', s / m) || 'x the batch median).' AS reason,
          {quoted(FAMILY_ACTIONS['anomaly'])} AS action, CAST(o_orderkey AS VARCHAR) AS keys FROM conf
   UNION ALL
-  SELECT 'ISS-A0000', 40.0, 'dataset', 'anomaly.price.truncated', flagged - 60, (flagged - 60) / n, '',
-         format('{{:,}}', flagged - 60) || ' further records exceeded the anomaly threshold but were not listed individually (register capped at 60).',
-         {quoted(TRUNCATED_ACTION)}, '' FROM ranked WHERE pos = 1 AND flagged > 60)
+  SELECT 'ISS-A0000', 40.0, 'dataset', 'anomaly.price.truncated', flagged - 200, (flagged - 200) / n, '',
+         format('{{:,}}', flagged - 200) || ' further records exceeded the anomaly threshold but were not listed individually (register capped at 200).',
+         {quoted(TRUNCATED_ACTION)}, '' FROM ranked WHERE pos = 1 AND flagged > 200)
 SELECT issue_id, CAST(row_number() OVER (ORDER BY sev DESC, n_records DESC, rule_id, keys) AS INTEGER) AS priority,
        CASE WHEN issue_id = 'ISS-A0000' THEN 'medium' WHEN sev >= 75 THEN 'critical' WHEN sev >= 50 THEN 'high'
             WHEN sev >= 25 THEN 'medium' ELSE 'low' END AS severity,
@@ -436,7 +436,7 @@ SELECT issue_id, CAST(row_number() OVER (ORDER BY sev DESC, n_records DESC, rule
 ORACLES["anomaly_issues"] = ORACLES["anomaly_issues"].replace(
     """         regexp_replace('Anomaly score ' || CAST(CAST(round(s) AS BIGINT) AS VARCHAR), '^$', '') AS head,
 """, "").replace("CASE WHEN s < 99999.5 THEN 'x' ELSE format('{:.5g}', s) END", "format('{:.5g}', s)").replace(
-    "(flagged - 60) / n, '',", "(flagged - 60) / n,")
+    "(flagged - 200) / n, '',", "(flagged - 200) / n,")
 ORACLES["anomaly_summary"] = f"""{_FLAGGED}
 SELECT 'price' AS model, any_value(n) AS n_scored, any_value(flagged) AS n_flagged,
        round(any_value(flagged) / any_value(n), 6) AS flag_rate, round(any_value(t), 6) AS threshold_value,
@@ -824,3 +824,46 @@ ORACLES["findings_partitioned"] = " UNION ALL ".join(
     for rule, failed in _STRICT.items()) + """ UNION ALL SELECT 'expect_table_rows_to_be_unique', sum(n - 1)::BIGINT, sum(n - 1)::BIGINT
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag) HAVING sum(n - 1) > 0"""
 ORACLES["csv_round_trip"] = "SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, round(p_retailprice, 6) AS p_retailprice, true AS gapless FROM part"
+ORACLES["top_scored_rows"] = """SELECT o_totalprice AS anomaly_score, * EXCLUDE (o_orderdate) FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"""
+
+# --- reports, models --------------------------------------------------------------------
+
+_SCORED = f"scored AS ({ORACLES['batch_quality_score']})"
+ORACLES["report_document"] = f"""WITH {_SCORED}, dims AS ({ORACLES['dimension_scores']}), issues AS ({ORACLES['issue_register']})
+SELECT 'orders-1' AS batch_id, s."table", s.n_rows, s.n_columns, round(s.global_score, 2) AS global_score, s.grade, s.profile_inferred,
+  (SELECT count(*) FROM issues) AS n_issues, d.dimension, d.score, d.weight, d.rules AS rules_evaluated, d.failed_rules AS rules_failed,
+  {', '.join(f"(SELECT count(*) FROM issues WHERE severity = '{x}') AS n_{x}" for x in ('critical', 'high', 'medium', 'low'))}
+FROM scored s, dims d"""
+ORACLES["report_issues"] = f"""WITH issues AS ({ORACLES['issue_register']}), keys AS ({ORACLES['issue_sample_keys']})
+SELECT issue_id, priority, severity, severity_score, rule_id, n_records, reason, coalesce(record_keys, '') AS record_keys
+FROM issues LEFT JOIN keys USING (rule_id)"""
+ORACLES["report_top_issues"] = ORACLES["top_issues"]
+ORACLES["model_round_trip"] = """SELECT vec_id::VARCHAR AS row_key, true AS same_autoencoder, true AS same_forest, true AS same_scaler,
+  (SELECT count(*) FROM embeddings) AS n_calibration FROM embeddings"""
+
+# the set weights pass on the positive part of the first twelve of 31 features and drop the others
+_CARD = [f"V{i}" for i in range(1, 29)] + ["log_amount", "hour_sin", "hour_cos"]
+_VALUES = [f"embedding[{i}]::DOUBLE" for i in range(1, 29)] + [
+    "ln(1 + greatest(abs(embedding[29]::DOUBLE) * 100, 0))", "sin((vec_id * 61.0 / 3600.0) % 24.0 * (2 * pi() / 24.0))",
+    "cos((vec_id * 61.0 / 3600.0) % 24.0 * (2 * pi() / 24.0))"]
+_SEEN = "[" + ", ".join(f"(({v}) / 0.25)::FLOAT::DOUBLE" for v in _VALUES) + "]"
+ORACLES["explained_issues"] = f"""
+WITH seen AS (SELECT vec_id, {_SEEN} AS x FROM embeddings),
+rebuilt AS (SELECT vec_id, x, [CASE WHEN i <= 12 THEN greatest(x[i], 0) ELSE 0 END FOR i IN range(1, 32)] AS y FROM seen),
+errors AS (SELECT vec_id, x, y, [(y[i] - x[i]) * (y[i] - x[i]) FOR i IN range(1, 32)] AS e FROM rebuilt),
+scored AS (SELECT *, list_sum(e) / 31 AS s FROM errors),
+t AS (SELECT quantile_cont(s, 0.98) AS t, median(s) AS m, count(*) AS n FROM scored),
+ranked AS (SELECT *, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0) / n AS pct,
+  row_number() OVER (ORDER BY s DESC, vec_id) AS pos, count(*) FILTER (WHERE s >= t) OVER () AS flagged FROM scored, t),
+listed AS (SELECT * FROM ranked WHERE s >= t AND pos <= 200),
+feature AS (SELECT vec_id, ([{', '.join(quoted(c) for c in _CARD)}])[i] AS f, x[i] AS o, y[i] AS p,
+  row_number() OVER (PARTITION BY vec_id ORDER BY e[i] DESC, i) AS r FROM (SELECT *, unnest(range(1, 32)) AS i FROM listed)),
+why AS (SELECT vec_id, string_agg(f, ',' ORDER BY r) AS features,
+  string_agg(f || ' (observed ' || printf('%.2f', o) || ' vs expected ' || printf('%.2f', p) || ')', ', ' ORDER BY r) AS deviations FROM feature WHERE r <= 3 GROUP BY 1)
+SELECT format('ISS-A{{:04d}}', pos) AS issue_id, 'anomaly.autoencoder' AS rule_id, 1::BIGINT AS n_records, (vec_id // 2)::VARCHAR AS record_keys, features,
+  'Anomaly score ' || format('{{:.5g}}', s) || ' (' || format('{{:.4f}}', 100 * pct) || '% percentile, ' || format('{{:.1f}}', s / m)
+    || 'x the batch median). Largest deviations: ' || deviations || '.' AS reason
+FROM listed JOIN why USING (vec_id)
+UNION ALL SELECT 'ISS-A0000', 'anomaly.autoencoder.truncated', (flagged - 200)::BIGINT, '', NULL,
+  format('{{:,}}', flagged - 200) || ' further records exceeded the anomaly threshold but were not listed individually (register capped at 200).'
+FROM ranked WHERE pos = 1 AND flagged > 200"""

@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.functions.hashing import uniform
 from assayer.operators import explore, metrics
 from assayer.operators.consistency import as_references, reference_entries
 from assayer.operators.defects import changed_cells, inject_defects
-from assayer.operators.features import Scaler, card_features, normals, plain_features, temporal_split
+from assayer.operators.features import FEATURES, Scaler, card_features, normals, plain_features, temporal_split
 from assayer.operators.forest import ForestConfig, fit_forest
 from assayer.operators.groups import Entry, group_counts, verdicts
 from assayer.operators.identity import FILE_ROWS, POSITION, ROW_KEY, with_identity, with_position
 from assayer.operators.issues import (
     anomaly_issues, anomaly_summary, by_severity, prioritized, quality_issues, sample_keys, severity_counts,
-    top_issues,
+    top_issues, top_scored,
 )
 from assayer.operators.plausibility import fit_outliers, outlier_rules
 from assayer.operators.quality import QualityRun
-from assayer.operators.reconstruct import AutoencoderConfig, fit_autoencoder, fit_pca
+from assayer.operators.reconstruct import AutoencoderConfig, AutoencoderModel, fit_autoencoder, fit_pca
 from assayer.operators.rules import RowRule, completeness_rules, expression_rules, rule_results as scored_rules, tally, validity_rules
 from assayer.operators.scoring import dimension_table, quality_summary
 from assayer.operators.supervised import fit_logistic
@@ -35,6 +36,8 @@ from assayer.plans.inference import infer_profile, profile_table
 from assayer.plans.measure import Measurement, measure_rules
 from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile
 from assayer.session import scratch_path, settled, small_table
+from assayer.sources.models import ModelBundle, calibration_scores, load_bundle, save_bundle
+from assayer.sources.reports import read_reports, read_top_issues, write_report
 from assayer.sources.tables import Contract, checked_contract, most_recent, read_reference_dir, read_table, write_tables
 from workload import bindings as B
 
@@ -275,11 +278,11 @@ def _price_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("anomaly_issues")
 def anomaly_issue_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders flagged by price under the review budget, at most 60 listed one by one."""
+    """Orders flagged by price under the review budget, listed one by one up to the register's cap."""
     scores = _price_scores(spark, folder)
     threshold = review_budget(scores)
     summary = anomaly_summary(scores, threshold.value, threshold.rule, "price")
-    issues = prioritized([anomaly_issues(spark, scores, summary, "orders", 60)])
+    issues = prioritized([anomaly_issues(spark, scores, summary, "orders")])
     return issues.select(*ISSUE, F.concat_ws(",", "record_keys").alias("record_keys"))
 
 
@@ -327,6 +330,46 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.join(gapless, "__file").select("p_partkey", "p_name", "p_brand", "p_size", F.round("p_retailprice", 6).alias("p_retailprice"), "gapless")
 
 
+@query("top_scored_rows")
+def top_scored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_identity(B.table(spark, folder, "orders", position=True), ["o_orderkey"], ["o_orderkey"])
+    return top_scored(rows.drop("o_orderdate"), rows.select(POSITION, F.col("o_totalprice").alias("score")))
+
+
+# --- reports ----------------------------------------------------------------------------
+
+
+def _written_report(spark: SparkSession, folder: str) -> dict[str, str]:
+    batch = B.dirty_headers(spark, folder)
+    audit = audit_batch(batch, B.HEADERS, {"customer": B.table(spark, folder, "customer")}, table="orders", order=["o_orderkey"],
+                        config=AuditConfig(use_model=False, today=B.TODAY), batch_id="orders-1")
+    return write_report(audit, scratch_path(spark))
+
+
+@query("report_document")
+def report_document_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON report of an audit, written and read again: head, scores per dimension, counts per severity."""
+    doc = read_reports(spark, _written_report(spark, folder)["json"])
+    rows = doc.select("batch_id", "table", "n_rows", "quality.n_columns", "quality.global_score", "quality.grade", "quality.profile_inferred", "n_issues",
+                      F.explode("quality.dimensions").alias("dimension", "d"), "severity_counts")
+    return rows.select("batch_id", "table", "n_rows", "n_columns", "global_score", "grade", "profile_inferred", "n_issues", "dimension", "d.*",
+                       *[F.col("severity_counts")[level].alias(f"n_{level}") for level in ("critical", "high", "medium", "low")])
+
+
+@query("report_issues")
+def report_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """The issues of a written report, from its JSON document."""
+    doc = read_reports(spark, _written_report(spark, folder)["json"])
+    return doc.select(F.explode("issues").alias("i")).select("i.issue_id", "i.priority", "i.severity", "i.severity_score", "i.rule_id", "i.n_records", "i.reason",
+                                                             F.concat_ws(",", "i.record_keys").alias("record_keys"))
+
+
+@query("report_top_issues")
+def report_top_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """The first issues, from the report's CSV register."""
+    return read_top_issues(spark, _written_report(spark, folder)["issues"], 5)
+
+
 # --- profiles ---------------------------------------------------------------------------
 
 
@@ -591,6 +634,52 @@ def _card_features(spark: SparkSession, folder: str) -> DataFrame:
     return Scaler.fit(normals(rows, "Class"), features).transform(rows, features, ["Class"])
 
 
+def _sign_model(names: int = 31, kept: int = 12) -> AutoencoderModel:
+    """A network with set weights: it passes the positive part of its first features on and drops the rest."""
+    config = AutoencoderConfig(hidden=(), latent=kept)
+    shares = np.eye(names, kept)
+    flat = np.concatenate([shares.ravel(), np.zeros(kept), shares.T.ravel(), np.zeros(names)])
+    return AutoencoderModel(flat, names, config)
+
+
+def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Card-shaped rows under a key that two rows share."""
+    return B.card_rows(spark, folder).withColumn("pair", F.floor(F.col("vec_id") / 2))
+
+
+@query("explained_issues")
+def explained_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged rows and why, by a saved model with set weights that the audit loads from its folder."""
+    rows, path = _pairs(spark, folder), scratch_path(spark)
+    features = card_features()
+    scaler = Scaler(tuple(features), (0.0,) * len(features), (0.25,) * len(features))
+    save_bundle(spark, ModelBundle(scaler, _sign_model()), path)
+    audit = audit_batch(rows, bundle=path, order=["pair"], table="cards", config=AuditConfig(review_budget=0.02, today=B.TODAY))
+    found = audit.issues.filter("source = 'anomaly_model'")
+    top = F.from_json("evidence", "top_features array<struct<feature: string, observed: double, expected: double>>")["top_features"]
+    return found.select("issue_id", "rule_id", "n_records", F.concat_ws(",", "record_keys").alias("record_keys"),
+                        F.concat_ws(",", F.transform(top, lambda f: f["feature"])).alias("features"), "reason")
+
+
+@query("model_round_trip")
+def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Trained detectors, saved twice and loaded: each row's scores are those of the models that were saved."""
+    df, path = _card_features(spark, folder), scratch_path(spark)
+    short = AutoencoderConfig(max_epochs=5, batch_size=256)
+    scaler = Scaler.fit(normals(B.card_rows(spark, folder), "Class"), card_features())
+    ae, forest = fit_autoencoder(df, 31, short), fit_forest(df, ForestConfig(trees=20))
+    saved = ae.score(df).select(F.lit("autoencoder").alias("model"), "score")
+    save_bundle(spark, ModelBundle(scaler, ae), path)
+    save_bundle(spark, ModelBundle(scaler, ae, forest, saved), path)
+    back = load_bundle(spark, path)
+    both = df.select(F.col(ROW_KEY).alias("row_key"), FEATURES)
+    for name, before, after in (("autoencoder", ae, back.autoencoder), ("forest", forest, back.forest)):
+        both = before.score(both).withColumnRenamed("score", "a")
+        both = after.score(both).withColumn(f"same_{name}", F.col("a") == F.col("score")).drop("a", "score")
+    counted = calibration_scores(back, "autoencoder").agg(F.count("score").alias("n_calibration"))
+    return both.drop(FEATURES).withColumn("same_scaler", F.lit(back.scaler == scaler)).crossJoin(F.broadcast(counted))  # one row on the right
+
+
 @query("anomaly_pca_scores")
 def anomaly_pca_scores(spark: SparkSession, folder: str) -> DataFrame:
     df = _card_features(spark, folder)

@@ -867,3 +867,20 @@ FROM listed JOIN why USING (vec_id)
 UNION ALL SELECT 'ISS-A0000', 'anomaly.autoencoder.truncated', (flagged - 200)::BIGINT, '', NULL,
   format('{{:,}}', flagged - 200) || ' further records exceeded the anomaly threshold but were not listed individually (register capped at 200).'
 FROM ranked WHERE pos = 1 AND flagged > 200"""
+
+# --- what must hold of fitted detectors: their numbers can't be computed here, their defining equations hold or not ---
+
+ORACLES["pca_facts"] = """SELECT k::INT AS component, (SELECT count(*) FROM embeddings WHERE label <> 0) AS n, true AS unit, true AS orthogonal, true AS solves,
+  true AS falling FROM range(1, 9) t(k)"""
+ORACLES["logistic_facts"] = """SELECT count(*) AS n, count(*) FILTER (label = 0) AS positives, true AS gradient_vanishes, true AS classes_balanced FROM embeddings"""
+ORACLES["forest_facts"] = """SELECT t::INT AS tree, least(8192, (SELECT count(*) FROM lineitem))::BIGINT AS sample, true AS drawn, true AS cuts_inside,
+  true AS paths_bounded FROM range(200) r(t)"""
+ORACLES["autoencoder_facts"] = """SELECT true AS same, true AS learns,
+  (SELECT 2 * (w * 24 + 24 * 16 + 16 * 8) + 24 + 16 + 8 + 16 + 24 + w FROM (SELECT max(len(embedding)) AS w FROM embeddings))::BIGINT AS weights"""
+ORACLES["set_forest_scores"] = """
+WITH x AS (SELECT l_orderkey, [l_quantity::FLOAT::DOUBLE, l_extendedprice::FLOAT::DOUBLE, l_discount::FLOAT::DOUBLE, l_tax::FLOAT::DOUBLE] AS v FROM lineitem),
+up AS (SELECT l_orderkey, [v[1] >= 25.0, v[2] >= 30000.0, v[3] >= 0.05, v[4] >= 0.04] AS u FROM x),
+path AS (SELECT l_orderkey, list_sum([CASE WHEN u[t + 1] THEN CASE WHEN u[(t + 2) % 4 + 1] THEN 5 + t ELSE 4 END
+  ELSE CASE WHEN u[(t + 1) % 4 + 1] THEN 3 ELSE 2 + t END END FOR t IN range(3)]) / 3.0 AS p FROM up),
+norm AS (SELECT 2.0 * (ln(255.0) + 0.5772156649015329) - 2.0 * 255.0 / 256.0 AS c)
+SELECT round(pow(2.0, -p / c), 9) AS score, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM path, norm GROUP BY 1"""

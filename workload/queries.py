@@ -13,7 +13,7 @@ from assayer.operators import explore, metrics
 from assayer.operators.consistency import as_references, reference_entries
 from assayer.operators.defects import changed_cells, inject_defects
 from assayer.operators.features import FEATURES, Scaler, card_features, normals, plain_features, temporal_split
-from assayer.operators.forest import ForestConfig, fit_forest
+from assayer.operators.forest import ForestConfig, ForestModel, fit_forest, mean_path, tree_samples
 from assayer.operators.groups import Entry, group_counts, verdicts
 from assayer.operators.identity import FILE_ROWS, POSITION, ROW_KEY, with_identity, with_position
 from assayer.operators.issues import (
@@ -680,12 +680,42 @@ def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return both.drop(FEATURES).withColumn("same_scaler", F.lit(back.scaler == scaler)).crossJoin(F.broadcast(counted))  # one row on the right
 
 
+def _vector_features(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """All components of the embeddings, scaled by the normal rows."""
+    df = with_identity(B.table(spark, folder, "embeddings", position=True), ["vec_id"])
+    width = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    rows = df.withColumn("Class", (F.col("label") == 0).cast("int"))
+    features = {f"e{i}": F.col("embedding")[i].cast("double") for i in range(width)}
+    return Scaler.fit(normals(rows, "Class"), features).transform(rows, features, ["Class"]), width
+
+
 @query("anomaly_pca_scores")
 def anomaly_pca_scores(spark: SparkSession, folder: str) -> DataFrame:
-    df = _card_features(spark, folder)
+    df, _ = _vector_features(spark, folder)
     return _scores(fit_pca(normals(df, "Class")).score(df))
 
 
+@query("pca_facts")
+def pca_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What makes the fitted directions principal components: unit length, and cov(feature, projection) = eigenvalue * weight."""
+    df, width = _vector_features(spark, folder)
+    rows = normals(df, "Class")
+    weights = fit_pca(rows).components
+    k = weights.shape[1]
+    z = [F.aggregate(F.zip_with(F.col(FEATURES), F.array(*[F.lit(float(v)) for v in weights[:, j]]), lambda x, w: x.cast("double") * w),
+                     F.lit(0.0), lambda a, v: a + v).alias(f"z{j}") for j in range(k)]
+    cells = rows.select(*z, F.posexplode(FEATURES).alias("f", "x"))
+    covariances = [r.asDict() for r in cells.groupBy("f").agg(F.count(F.lit(1)).alias("n"), *[
+        F.covar_samp(F.col("x").cast("double"), f"z{j}").alias(f"c{j}") for j in range(k)]).collect()]  # a row per feature
+    c = np.array([[r[f"c{j}"] for j in range(k)] for r in sorted(covariances, key=lambda r: r["f"])])
+    values = (c * weights).sum(axis=0)
+    gram = weights.T @ weights
+    facts = [(j + 1, covariances[0]["n"], bool(abs(gram[j, j] - 1) < 1e-9), bool(np.abs(np.delete(gram[j], j)).max() < 1e-9),
+              bool(np.abs(c[:, j] - values[j] * weights[:, j]).max() < 1e-9 * values[0]), bool(j == 0 or values[j] <= values[j - 1] * (1 + 1e-12)))
+             for j in range(k)]
+    return small_table(spark, facts, "component int, n bigint, unit boolean, orthogonal boolean, solves boolean, falling boolean")
+
+
 @query("anomaly_forest_scores")
 def anomaly_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
     df = _lines(spark, folder)
@@ -700,8 +730,8 @@ def anomaly_autoencoder_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("autoencoder_explanations")
 def autoencoder_explanations(spark: SparkSession, folder: str) -> DataFrame:
-    df = _card_features(spark, folder)
-    model = fit_autoencoder(normals(df, "Class"), 31, AUTOENCODER)
+    df, width = _vector_features(spark, folder)
+    model = fit_autoencoder(normals(df, "Class"), width, AUTOENCODER)
     return model.explain(df).select(
         F.col(ROW_KEY).alias("row_key"), F.round("score", 6).alias("score"),
         F.round(F.array_max("errors"), 6).alias("largest_error"))
@@ -716,10 +746,75 @@ def fallback_forest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("logistic_ceiling")
 def logistic_ceiling(spark: SparkSession, folder: str) -> DataFrame:
-    df = _card_features(spark, folder)
+    df, _ = _vector_features(spark, folder)
     return _scores(fit_logistic(df, "Class").score(df))
 
 
+@query("logistic_facts")
+def logistic_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """At the optimum the weighted gradient of the penalized loss vanishes; both classes weigh the same in total."""
+    df, width = _vector_features(spark, folder)
+    model = fit_logistic(df, "Class")
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.sum("Class").cast("bigint").alias("p")).first()
+    weight = F.when(F.col("Class") == 1, sizes["n"] / (2 * sizes["p"])).otherwise(sizes["n"] / (2 * (sizes["n"] - sizes["p"])))
+    off = model.score(df).select(FEATURES, "Class", (weight * (F.col("score") - F.col("Class"))).alias("off"), weight.alias("w"))
+    sums = off.agg(F.sum("off").alias("intercept"), F.sum(F.when(F.col("Class") == 1, F.col("w"))).alias("heavy"), F.sum("w").alias("all"), *[
+        F.sum(F.col("off") * F.col(FEATURES)[i]).alias(f"g{i}") for i in range(width)]).first()
+    slope = np.array([sums[f"g{i}"] for i in range(width)]) + model.model.coefficients.toArray()
+    size = np.abs(np.array([*slope, sums["intercept"]])).max() / sizes["n"]
+    return small_table(spark, [(sizes["n"], sizes["p"], bool(size < 1e-4), bool(abs(sums["heavy"] / sums["all"] - 0.5) < 1e-9))],
+                       "n bigint, positives bigint, gradient_vanishes boolean, classes_balanced boolean")
+
+
+def _set_trees() -> ForestModel:
+    """Three trees of two levels over the line numbers, with set cuts and path lengths."""
+    feature = np.array([[t, (t + 1) % 4, (t + 2) % 4, 0, 0, 0, 0] for t in range(3)], np.int16)
+    cuts = (25.0, 30_000.0, 0.05, 0.04)
+    threshold = np.array([[cuts[f] for f in row[:3]] + [0.0] * 4 for row in feature])
+    path = np.array([[0, 0, 0, 2 + t, 3, 4, 5 + t] for t in range(3)], np.float32)
+    return ForestModel(feature, threshold, path, 256, 2)
+
+
+@query("set_forest_scores")
+def set_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines scored by trees that are set, not grown, so that every path is known."""
+    df = B.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.array(*[F.col(c).cast("float") for c in NUMBERS]).alias(FEATURES))
+    scored = _set_trees().score(df)
+    return scored.groupBy(F.round("score", 9).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("forest_facts")
+def forest_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tree drew the stated number of rows, cuts inside the data, and shorter or equal paths than its rows allow."""
+    df = _lines(spark, folder)
+    rows = df.count()
+    ends = df.agg(*[m(F.col(FEATURES)[i].cast("double")).alias(f"{label}{i}") for i in range(len(NUMBERS)) for label, m in (("a", F.min), ("b", F.max))]).first()
+    samples, size = tree_samples(df, FOREST, rows)
+    drawn = {r["tree"]: r["n"] for r in samples.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per tree
+    model = fit_forest(df, FOREST, rows)
+    low, high = (np.array([ends[f"{e}{i}"] for i in range(len(NUMBERS))]) for e in "ab")
+    facts = []
+    for t in range(len(model.feature)):
+        inner = model.feature[t][:2 ** model.depth - 1]
+        cut = model.threshold[t][:2 ** model.depth - 1]
+        used = np.isfinite(cut) & (cut != 0)
+        inside = (cut >= low[inner]) & (cut <= high[inner])
+        leaves = model.path[t][2 ** model.depth - 1:]
+        facts.append((t, size, drawn.get(t, 0) >= size, bool(inside[used].all()), bool((leaves > 0).all() and (leaves <= model.depth + float(mean_path(size))).all())))
+    return small_table(spark, facts, "tree int, sample bigint, drawn boolean, cuts_inside boolean, paths_bounded boolean")
+
+
+@query("autoencoder_facts")
+def autoencoder_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """A fit repeats whatever the layout, and learns."""
+    df, width = _vector_features(spark, folder)
+    short = AutoencoderConfig(max_epochs=15, batch_size=256, workers=3)
+    models = [fit_autoencoder(df.repartition(n, F.col(ROW_KEY)), width, short) for n in (2, 5)]
+    epochs = models[0].history
+    return small_table(spark, [(bool(np.array_equal(models[0].flat, models[1].flat)), bool(epochs[-1][1] < epochs[0][1]), len(models[0].flat))],
+                       "same boolean, learns boolean, weights bigint")
+
+
 @query("full_audit")
 def full_audit(spark: SparkSession, folder: str) -> DataFrame:
     """One batch from rules to register, with record-level anomalies."""

@@ -26,33 +26,38 @@ REGISTER_COLUMNS = [
 
 
 def severity_score(
-    impact: Column, affected: Column, rows: Column, weight: Column, max_weight: float, confidence: Column
+    impact: Column, affected: Column, rows: Column, weight: Column, max_weight: float, confidence: Column,
+    settings: S.Severity = S.SHIPPED,
 ) -> Column:
     """0-100 from impact, the square root of the affected share, and confidence."""
     extent = F.when(rows > 0, F.sqrt(affected / rows)).otherwise(F.lit(0.0))
     share = weight / max_weight if max_weight else F.lit(1.0)
-    blend = S.IMPACT_SHARE * impact + S.EXTENT_SHARE * extent + S.CONFIDENCE_SHARE * confidence
+    w = settings.weights
+    blend = w["impact"] * impact + w["extent"] * extent + w["confidence"] * confidence
     return 100.0 * F.greatest(F.lit(S.LEAST_WEIGHT), share) * blend
 
 
-def severity_band(score: Column, rule_id: Column) -> Column:
+def severity_band(score: Column, rule_id: Column, settings: S.Severity = S.SHIPPED) -> Column:
     family = F.substring_index(rule_id, ".", 1)
-    band = F.when(rule_id.isin(*S.ALWAYS_CRITICAL) | family.isin(*S.ALWAYS_CRITICAL), "critical")
-    for low, level in S.BANDS:
+    always = settings.always_critical
+    band = F.when(rule_id.isin(*always) | family.isin(*always), "critical")
+    for low, level in settings.ordered_bands():
         band = band.when(score >= low, level)
     return band.otherwise("low")
 
 
 def _choice(key: Column, table: dict[str, str]) -> Column:
+    if not table:
+        return F.lit(None).cast("string")
     return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
-def action_for(rule_id: Column) -> Column:
+def action_for(rule_id: Column, settings: S.Severity = S.SHIPPED) -> Column:
     """Advice for the rule, else its family, else the general one."""
     family = F.substring_index(rule_id, ".", 1)
     rest = F.expr("substring(rule_id, length(substring_index(rule_id, '.', 1)) + 2)")
-    specific = F.when(family == "consistency", _choice(rest, S.RULE_ACTIONS))
-    return F.coalesce(specific, _choice(family, S.FAMILY_ACTIONS), F.lit(S.FAMILY_ACTIONS["anomaly"]))
+    specific = F.when(family == "consistency", _choice(rest, settings.rule_actions))
+    return F.coalesce(specific, _choice(family, settings.actions), F.lit(settings.actions.get("anomaly", S.FAMILY_ACTIONS["anomaly"])))
 
 
 def sample_keys(positioned_findings: DataFrame) -> DataFrame:
@@ -67,7 +72,9 @@ def sample_keys(positioned_findings: DataFrame) -> DataFrame:
     return first.groupBy("rule_id").agg(listed.alias("record_keys"))
 
 
-def quality_issues(results: DataFrame, profile: Profile, table: str, keys: DataFrame | None = None) -> DataFrame:
+def quality_issues(
+    results: DataFrame, profile: Profile, table: str, keys: DataFrame | None = None, settings: S.Severity = S.SHIPPED
+) -> DataFrame:
     """One issue per breached rule; ids count over all rules, so they have gaps."""
     weights = profile.weights
     n_failed, n_checked = F.col("n_failed"), F.greatest(F.lit(1), F.col("n_checked"))
@@ -76,7 +83,7 @@ def quality_issues(results: DataFrame, profile: Profile, table: str, keys: DataF
     numbered = results.withColumn("__no", F.row_number().over(Window.orderBy("rule_id")))
     breached = numbered.filter((n_failed > 0) & (F.col("score") < S.PASSING_SCORE))
     scored = breached.withColumn("severity_score", severity_score(
-        F.col("impact"), n_failed, n_checked, weight, max(weights.values(), default=1.0), confidence))
+        F.col("impact"), n_failed, n_checked, weight, max(weights.values(), default=1.0), confidence, settings))
     if keys is None:
         scored = scored.withColumn("record_keys", F.array().cast("array<string>"))
     else:
@@ -85,7 +92,7 @@ def quality_issues(results: DataFrame, profile: Profile, table: str, keys: DataF
     detail = F.map_concat(F.create_map(F.lit("rule_score"), F.bround("score", 6).cast("string")), F.col("detail"))
     return scored.select(
         F.format_string("ISS-Q%04d", "__no").alias("issue_id"),
-        severity_band(F.col("severity_score"), F.col("rule_id")).alias("severity"),
+        severity_band(F.col("severity_score"), F.col("rule_id"), settings).alias("severity"),
         "severity_score",
         F.lit("quality_rule").alias("source"), "dimension", "rule_id",
         F.when(F.col("column").isNotNull(), "column").otherwise("dataset").alias("scope"),
@@ -94,7 +101,7 @@ def quality_issues(results: DataFrame, profile: Profile, table: str, keys: DataF
         F.concat(F.col("description"), F.lit(". "), F.format_string("%,d of %,d", n_failed, F.col("n_checked")),
                  F.lit(" rows checked failed ("), F.format_string("%.2f%%", F.bround(share * 100, 2)),
                  F.lit(").")).alias("reason"),
-        action_for(F.col("rule_id")).alias("recommended_action"),
+        action_for(F.col("rule_id"), settings).alias("recommended_action"),
         F.coalesce("record_keys", F.array().cast("array<string>")).alias("record_keys"),
         F.to_json(detail).alias("evidence"))
 
@@ -185,7 +192,7 @@ _EXPLAINED = ("array<struct<feature: string, squared_error: double, share_of_err
 
 def anomaly_issues(
     spark: SparkSession, scores: DataFrame, summary: dict[str, Any], table: str,
-    max_issues: int = S.MAX_RECORD_ISSUES, explained: DataFrame | None = None,
+    max_issues: int = S.MAX_RECORD_ISSUES, explained: DataFrame | None = None, settings: S.Severity = S.SHIPPED,
 ) -> DataFrame:
     """One issue per flagged record up to the register's cap, and one for the rest.
 
@@ -212,14 +219,14 @@ def anomaly_issues(
     sure = F.least(one, F.greatest(F.lit(0.0), (F.col("percentile") - below) / max(1e-9, 1 - below)))
     place = F.row_number().over(Window.orderBy(F.desc("score"), POSITION))  # the list is short
     evidence = F.struct("score", "percentile", F.lit(summary["threshold_value"]).alias("threshold"), "top_features")
-    listed = top.withColumn("severity_score", severity_score(F.lit(S.ANOMALY_IMPACT), one, F.lit(n), one, 1.0, sure)).select(
+    listed = top.withColumn("severity_score", severity_score(F.lit(S.ANOMALY_IMPACT), one, F.lit(n), one, 1.0, sure, settings)).select(
         F.format_string("ISS-A%04d", place).alias("issue_id"),
-        severity_band(F.col("severity_score"), F.lit(rule_id)).alias("severity"), "severity_score",
+        severity_band(F.col("severity_score"), F.lit(rule_id), settings).alias("severity"), "severity_score",
         F.lit("anomaly_model").alias("source"), F.lit("anomaly").alias("dimension"), F.lit(rule_id).alias("rule_id"),
         F.lit("record").alias("scope"), F.lit(table).alias("table"), F.lit(None).cast("string").alias("column"),
         F.lit(1).cast("bigint").alias("n_records"), F.lit(1 / n).alias("pct_affected"),
         _record_reason(summary["score_median"]).alias("reason"),
-        F.lit(S.FAMILY_ACTIONS["anomaly"]).alias("recommended_action"), F.array(ROW_KEY).alias("record_keys"),
+        F.lit(settings.actions.get("anomaly", S.FAMILY_ACTIONS["anomaly"])).alias("recommended_action"), F.array(ROW_KEY).alias("record_keys"),
         F.to_json(evidence).alias("evidence"))
     return listed.unionByName(more)
 

@@ -24,7 +24,7 @@ from assayer.operators.scoring import dimension_table, quality_summary
 from assayer.operators.thresholds import REVIEW_BUDGET, Threshold, caught, flagged, review_budget
 from assayer.plans.inference import resolve_profile
 from assayer.plans.profile import Profile
-from assayer.plans.severity import MAX_RECORD_ISSUES
+from assayer.plans.severity import MAX_RECORD_ISSUES, SHIPPED, Severity
 from assayer.session import settled
 from assayer.sources.models import ModelBundle, calibration_scores, load_bundle
 
@@ -41,6 +41,7 @@ class AuditConfig:
     fallback_forest: bool = True
     forest: ForestConfig = ForestConfig()
     today: str | None = None
+    severity: Severity = SHIPPED
 
 
 @dataclass
@@ -156,7 +157,7 @@ def audit_batch(
     table = table or profile.name
     run = QualityRun(df, profile, references or {}, table, config.today, order)
     notes += ambiguous_references(df, profile, run.refs)
-    parts = [quality_issues(run.results, profile, table, sample_keys(run.positioned_findings))]
+    parts = [quality_issues(run.results, profile, table, sample_keys(run.positioned_findings), config.severity)]
     anomaly: dict[str, Any] = {}
     scored: _Scored | None = None
     if config.use_model:
@@ -165,7 +166,7 @@ def audit_batch(
         value = scored.threshold.value
         anomaly = anomaly_summary(scored.scores, value, scored.threshold.rule, scored.model_name)
         parts.append(anomaly_issues(df.sparkSession, scored.scores, anomaly, table, config.max_record_issues,
-                                    _explanations(scored, config.max_record_issues)))
+                                    _explanations(scored, config.max_record_issues), config.severity))
         if label and label in df.columns:
             labelled = flagged(scored.scores.withColumn("label", column(label).try_cast("double")), value)
             anomaly |= caught(labelled).first().asDict()

@@ -1,7 +1,18 @@
-"""How a failure becomes a severity, and what to do about it. Fixed values throughout."""
+"""How a failure becomes a severity, and what to do about it: the shipped values, and settings that replace them."""
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
+from pathlib import Path
+from typing import Any
+
+from pyspark.sql import SparkSession
+
+from assayer.session import read_text
+
+# Fixed values, down to TRUNCATED_SCORE.
+
 LEVELS = ("critical", "high", "medium", "low")
 BANDS = ((75.0, "critical"), (50.0, "high"), (25.0, "medium"))
 IMPACT_SHARE = 0.45
@@ -85,3 +96,46 @@ TRUNCATED_ACTION = (
     "Increase the register cap or tighten the review budget to bring the alert volume within review capacity."
 )
 TRUNCATED_SCORE = 40.0
+
+
+@dataclass(frozen=True)
+class Severity:
+    """Settings of the register; what is not given keeps its shipped value."""
+
+    bands: dict[str, float] = field(default_factory=lambda: {level: low for low, level in BANDS})
+    weights: dict[str, float] = field(default_factory=lambda: {
+        "impact": IMPACT_SHARE, "extent": EXTENT_SHARE, "confidence": CONFIDENCE_SHARE})
+    always_critical: tuple[str, ...] = ALWAYS_CRITICAL
+    actions: dict[str, str] = field(default_factory=lambda: dict(FAMILY_ACTIONS))
+    rule_actions: dict[str, str] = field(default_factory=lambda: dict(RULE_ACTIONS))
+
+    def __post_init__(self) -> None:
+        unknown = sorted(set(self.bands) - set(LEVELS[:-1])) + sorted(set(self.weights) - {"impact", "extent", "confidence"})
+        if unknown:
+            raise ValueError(f"severity settings: unknown names {unknown}")
+        if len(self.weights) != 3 or min(self.weights.values()) < 0:
+            raise ValueError("severity settings: impact, extent and confidence need a weight of zero or more")
+        object.__setattr__(self, "always_critical", tuple(self.always_critical))
+
+    def ordered_bands(self) -> list[tuple[float, str]]:
+        return sorted(((float(low), level) for level, low in self.bands.items()), reverse=True)
+
+
+def severity_from_dict(raw: dict[str, Any]) -> Severity:
+    extra = sorted(set(raw) - set(Severity.__dataclass_fields__))
+    if extra:
+        raise ValueError(f"severity settings: unknown fields {extra}")
+    return Severity(**{k: v for k, v in raw.items() if v is not None})
+
+
+def load_severity(path: str | Path, spark: SparkSession | None = None) -> Severity:
+    """Read settings from YAML or JSON; with a session from any file system it reaches."""
+    text = Path(path).read_text(encoding="utf-8") if spark is None else read_text(spark, str(path))
+    if str(path).endswith(".json"):
+        return severity_from_dict(json.loads(text))
+    import yaml
+
+    return severity_from_dict(yaml.safe_load(text))
+
+
+SHIPPED = Severity()

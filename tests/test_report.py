@@ -221,3 +221,22 @@ def test_profile_from_a_file_system(spark, tmp_path):
     path = tmp_path / "p.json"
     path.write_text('{"name": "t", "columns": [{"name": "a", "dtype": "int"}]}')
     assert load_profile(f"file://{path}", spark).columns[0].name == "a"
+
+
+def test_severity_settings_from_a_file(spark, tmp_path, tiny, tiny_profile):
+    from assayer.plans.severity import Severity, load_severity, severity_from_dict
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"bands": {"critical": 99, "high": 10, "medium": 5}, "always_critical": ["expect_column_values_to_be_in_set"],
+                                "weights": {"impact": 1.0, "extent": 0.0, "confidence": 0.0}, "actions": {"expect_column_values_to_be_between": "Look."}}))
+    df = tiny.withColumn("category", F.when(F.col("__position") == 3, "Z").otherwise(F.col("category"))).withColumn(
+        "quantity", F.when(F.col("__position") == 5, -1.0).otherwise(F.col("quantity")))
+    for settings in (load_severity(path), load_severity(f"file://{path}", spark)):
+        audit = audit_batch(df, tiny_profile, config=AuditConfig(use_model=False, severity=settings))
+        got = {r["rule_id"]: (r["severity"], r["severity_score"], r["recommended_action"]) for r in audit.issues.collect()}
+        assert got["expect_column_values_to_be_in_set.category"][0] == "critical"
+        assert got["expect_column_values_to_be_between.quantity"] == ("high", 75.0, "Look.")
+        assert got["expect_column_values_to_be_in_set.category"][2] == AuditConfig().severity.actions["anomaly"]
+    assert Severity().ordered_bands() == [(75.0, "critical"), (50.0, "high"), (25.0, "medium")]
+    for wrong in ({"band": {}}, {"bands": {"worst": 1}}, {"weights": {"impact": 1.0}}):
+        with pytest.raises(ValueError):
+            severity_from_dict(wrong)

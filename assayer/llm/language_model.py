@@ -117,7 +117,7 @@ def _counts(n: np.ndarray) -> list[int]:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", part_chars: int = PART_CHARS) -> dict:
     """A description of the model: where its files are and its sums."""
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/settled-kneser-ney-{uuid.uuid4().hex}"
     folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
     place, path = fs.FileSystem.from_uri(folder)
     place.create_dir(path)

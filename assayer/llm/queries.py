@@ -54,8 +54,8 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.shares(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def op8_mixed_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The mix itself, of which op8_mixing has the shares of documents."""
+def mixed_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix itself, a row per slot, of which op8_mixing has the shares of documents."""
     return mixture.packed(_table(spark, folder, "documents"))
 
 
@@ -111,7 +111,7 @@ def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, op8_mixed_blocks, op9_warc_revisits,
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_minhash_near_dedup, op3_substring_dedup, op4_quality_rules, op5_lm_scoring, op6_personal_data, op7_benchmark_decontamination, op8_mixing, mixed_blocks, op9_warc_revisits,
                                      op10_toxicity, op11_conversation_repair, op12_embedding_whitening, op13_sharding)}
 #: The as-of join as SQL. Canonical URLs by the same rules, matches by DuckDB's own ASOF join.
 _CANONICAL = """regexp_replace(lower(regexp_extract(b, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '', 'g')

@@ -1,4 +1,9 @@
-"""A corpus from raw documents: toxic ones, near copies and leaked benchmark text go, personal data is masked, sources are mixed."""
+"""A corpus from raw documents: toxic ones, near copies and leaked benchmark text go, personal data is masked, sources are mixed.
+
+A document is a row with an id, null or not, and a text. Stages read the columns of ``documents`` by name and return them alone, so others, whatever
+their names, are not in the way. Null texts have no words: they are scored, kept apart, never contaminated, left as they are, and mixed with size 0.
+Texts of any length are read whole. An empty table gives an empty one from every stage.
+"""
 
 from __future__ import annotations
 
@@ -13,20 +18,28 @@ TOXIC = 0.5
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below ``TOXIC``; a model is fitted on the labelled ones."""
+    """Documents whose toxicity score is below ``TOXIC``; a model is fitted on the labelled ones. Without a usable label nothing is known to be toxic, and all stay."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    places, _, bias = model
+    if not len(places) and bias == 0.0:
+        return docs.select(*COLUMNS)
     scored = toxicity.score(docs.withColumn("__doc_id", F.col("doc_id")), model, keep=["__doc_id", "text", "lang", "source", "n_chars"])
     return scored.where(F.col("score") < TOXIC).select(F.col("__doc_id").alias("doc_id"), *COLUMNS[1:])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (word shingles of five, similarity of 0.8)."""
-    found = near_duplicates.near_duplicates(docs)
-    # rows that share an id are one document: the first by content stays
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    single = stay.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row"))
-    return single.select("doc_id", "row.*").unionByName(stay.where("doc_id IS NULL")).select(*COLUMNS)
+    """One document of each group of near copies (word shingles of five, similarity of 0.8): the one with the smallest id, null ids last.
+
+    Rows are told apart by id and text, so an id with several texts is several documents, and rows without an id are judged too. Of rows with the
+    same id and text the least by the other columns stays. Documents without words are no copies of each other.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates.near_duplicates(keyed.select("__key", "text"), key="__key")
+    named = found.select(F.col("doc_id").alias("__key"), "component_id").distinct().join(keyed.select("__key", "doc_id").distinct(), "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__key")).alias("first"))
+    stay = keyed.join(first.select("first.__key"), "__key", "left_semi")
+    single = stay.groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return single.select("row.*").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

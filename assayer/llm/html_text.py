@@ -1,7 +1,8 @@
 """Main text of HTML pages: page structure, and a suffix array of each host's token streams.
 
 1. A page is cut into blocks in page order. A block knows whether it lies in an article or main element, and whether it lies in menus, headers,
-   footers, sidebars, notices, adverts, forms or reader comments, by element, role, or a word of its class or id.
+   footers, sidebars, notices, adverts, forms or reader comments, by element, role, or a word of its class or id. Inside an article only whole
+   classes of elements other than headings, paragraphs and the like count. A marked inline element loses its own text, not its block.
 2. The pages of a host are dealt by their token streams into groups of about ``GROUP_CHARS``, so a host of any size is many tasks. In a group
    the streams of distinct pages are laid end to end and a suffix array is built over them (ranks by doubling). Where neighbouring suffixes
    of different pages agree in ``RUN`` tokens or more, both are covered by a repeated run. Pages with equal streams are one page.
@@ -12,7 +13,8 @@
    element and with nothing unique, all unmarked blocks stay.
 
 Null and empty pages have an empty text. Unclosed elements end with the page. Repeated rows are extracted each. A null URL
-is a host of its own. Markup that can't be parsed counts as text.
+is a host of its own. Markup that can't be parsed counts as text. Pages of any length are read whole, one at a time; an empty table gives an empty one, and
+columns other than key, URL and HTML are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +47,13 @@ _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
     r"comments?|commentlist|replies|disqus|respond|pagination|pager|widget|copyright|legal|disclaimer)(?=$|[\s_-])", re.IGNORECASE)
+#: Inside an article a class or id counts as a whole: "article-header" and "social science" head and carry text there.
+_OWN_WORDS = re.compile(
+    r"(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|cookies?|consent|gdpr|popup|modal|overlay|"
+    r"newsletter|subscribe|signup|login|share|sharing|related|recommended|comments?|commentlist|replies|disqus|respond|pagination|pager|widget)"
+    r"(?:[_-].*)?|side|footer|header|masthead|notice|alert|social|copyright|legal|disclaimer", re.IGNORECASE)
+#: Elements that hold an article's own text, whatever their class.
+_TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption"}
 _GAP = re.compile(r"\s+")
 #: Elements whose start closes an open paragraph.
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -73,6 +82,8 @@ class _Blocks(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag not in _INLINE:
             self.cut()
+            while self.open and self.open[-1][0] in _INLINE and self.open[-1][1]:
+                self.open.pop()  # a marked inline element that was never closed ends with its block
         if tag in _CLOSES_P:
             self._close({"p"}, {"article", "main", "div", "section", "body", "td", "li", "nav", "header", "footer", "aside", "form"})
         elif tag == "li":
@@ -82,10 +93,14 @@ class _Blocks(HTMLParser):
         dropped, main, marked = self.state
         at = dict(attrs)
         name = f"{at.get('class') or ''} {at.get('id') or ''}"
-        own = (tag in _MARKED or (at.get("role") or "").lower() in _ROLES or "hidden" in at or at.get("aria-hidden") == "true"
-               or (tag not in ("body", "html", *_MAIN) and _WORDS.search(name) is not None))
-        if tag == "header" and main:  # the head of an article is a part of it
-            own = _WORDS.search(name) is not None
+        if main:  # the head of an article is a part of it
+            worded = tag not in _TEXT and tag not in _MAIN and any(_OWN_WORDS.fullmatch(w) for w in name.split())
+            own = (tag in _MARKED and tag != "header") or worded
+        else:
+            own = tag in _MARKED or (tag not in ("body", "html", *_MAIN) and _WORDS.search(name) is not None)
+        own = own or (at.get("role") or "").lower() in _ROLES or "hidden" in at or at.get("aria-hidden") == "true"
+        if tag in _INLINE:  # only its own text goes, not the block that it stands in
+            dropped, own = dropped or own, False
         self.open.append((tag, dropped or tag in _DROPPED, main or tag in _MAIN or at.get("role") == "main", marked or own))
 
     def _close(self, names, barriers):
@@ -173,7 +188,7 @@ def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     seen: set = set()  # each task has its own
 
     def cut(b: pa.RecordBatch):
-        found = [blocks(h) for h in b.column("html").to_pylist()]
+        found = [blocks(h.as_py()) for h in b.column("html")]
         bodies = [" ".join(x[0] for x in f).encode("utf-8", "replace").lower() for f in found]  # as words() folds and splits them
         ends = [np.array([len(x[0].encode("utf-8", "replace")) for x in f], np.int64).tobytes() for f in found]
         hashed = [hashlib.blake2b(t, digest_size=16).digest() for t in bodies]

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.main_text(_table(spark, folder, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -239,6 +239,26 @@ def test_html(spark):
     assert same.tolist() == [True] * 4 + [False] + [True] * 4 + [False]
 
 
+def test_html_marks_inside_articles():
+    def kept(html):
+        return [t for t, main, marked in html_text.blocks(html) if not marked]
+
+    page = ("<article><p>Good words here</p><h2 class='section-header'>Part two</h2><p class='social'>On social life</p><div class='article-header'>Head</div>"
+            "<p>Read <span class='share'>Share this</span>on <span hidden>x</span>now</p><div class='ad-slot big'>Buy</div><div class='social'>Like</div>"
+            "<div class='social science'>s</div><section class='legalese'>Law text</section><p>Open <span class='ad'>buy<p>Next</p><aside>a</aside></article>")
+    assert kept(page) == ["Good words here", "Part two", "On social life", "Head", "Read on now", "Law text", "Open", "Next"]
+    assert kept("<div class='site-header'>Site</div><p class='social'>x</p>text <b class='menu'>m</b> more") == ["text more"]
+
+
+def test_html_edges(spark):
+    long = "<article>" + "<p>" + "long words " * 500_000 + "</p></article>"
+    kind = "page_id long, url string, html string, host string, blocks string, main string, digest string, text string"
+    rows = [(1, None, long, *["x"] * 5), (2, "http://h/", long, *["x"] * 5), (2, "http://h/", long, *["x"] * 5)]
+    got = html_text.main_text(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.page_id, len(r.text)) for r in got) == [(1, 5_499_999), (2, 5_499_999), (2, 5_499_999)]
+    assert html_text.main_text(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_html_repeats_across_groups(spark):
     notice = "<div>Please note our rare notice number {} today</div>"
     own = "<div>" + " ".join("w{}x%d" % i for i in range(40)) + "</div>"

@@ -8,6 +8,8 @@ block at a time is broadcast, so no broadcast grows with the benchmark.
 
 Nulls and texts without words hit nothing and are not contaminated. Repeated documents are judged each; items
 that repeat a window all count. An empty benchmark leaves every document clean. Rows with a null item id are no items.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key and text are not read.
 """
 
 from __future__ import annotations

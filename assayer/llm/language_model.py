@@ -11,6 +11,8 @@ Words are lower-cased and hashed to 48 bits; each text ends in an end token and
 new name and moved, so repeated tasks agree. In a shared folder that isn't a local path, workers first copy the files they map.
 
 Null texts are empty: one end token. Without training text every word has the same probability. Repeated rows count and are scored each.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key and text are not read.
 """
 
 from __future__ import annotations

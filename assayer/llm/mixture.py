@@ -13,6 +13,8 @@
 Permutations are four-round Feistel networks with cycle walking, seeded by a parameter: reruns agree, on any layout. A null
 source is a source of its own, after all others. Documents without words take part with size 0. A null id comes first
 in its source. Rows with equal id and text are interchangeable.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key, text and source are not read.
 """
 
 from __future__ import annotations

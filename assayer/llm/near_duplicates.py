@@ -12,6 +12,8 @@
 
 Texts without words have an empty set and link with nothing. Rows with the same id are one node, each with its own set. Rows
 with a null id stay, link with nothing and have no component.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key and text are not read.
 """
 
 from __future__ import annotations

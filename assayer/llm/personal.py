@@ -12,6 +12,9 @@ left out, how often turned-down candidates are mentioned again in an accepted fo
 neighbouring candidates agree. The key space of these counts is fixed, so the driver gets a bounded table.
 
 Null texts are empty. Texts without a digit and without @ are passed over. Positions are code points. Repeated rows are judged each.
+
+At most one label has a probability over one half, so there are no ties. An empty table gives an empty one, and learning from one gives
+counts of zero; texts of any length are read whole, and columns other than key and text pass through or are not read.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ Raw counts cover all documents. Trusted ones are at most ``max_trusted`` labelle
 their ids. All n-grams fall into ``buckets`` places, so the table that scores everything has a fixed size.
 
 Null texts count as empty: no words, base failed, not kept. Without trusted documents all scores are 0. Rows with repeated ids are judged each.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key and text are not read.
 """
 
 from __future__ import annotations

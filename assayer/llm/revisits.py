@@ -9,6 +9,8 @@ The join is by range slices of (url, ts), written once: a window in each slice,
 on, so a URL with a third of all captures is spread over many tasks. Captures of one URL and ts stay together; per such
 pair there is one candidate response. Null URLs match nothing, null times are never earlier or later. A revisit
 without a match, without a common validator, or with another value is reported as such. Repeated rows are reported each.
+
+Values of any length are compared whole, an empty table gives an empty one, and columns other than those named are not read.
 """
 
 from __future__ import annotations

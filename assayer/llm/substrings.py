@@ -23,6 +23,8 @@ shuffle serves all steps.
 Null texts have no words. Windows never leave a document; shorter documents keep all. Rows with the
 same id are one document for the question whether a smaller one exists, each with its own text. A null id is larger than any
 other and never a reference.
+
+Texts of any length are read whole, an empty table gives an empty one, and columns other than key and text are not read.
 """
 
 from __future__ import annotations

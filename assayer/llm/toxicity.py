@@ -8,6 +8,8 @@ Fitting reads at most ``max_rows`` labelled rows, those with the least hashes of
 everything is scored. Examples are seen in the order of that hash. Null labels are no examples; without any
 example every score is 0.5. Null and empty texts are scored by the bias alone. Rows with repeated ids are
 scored each, and each of their labels is an example.
+
+Texts of any length are read whole; an empty table of documents gives no scores; other columns are carried only where they are asked for.
 """
 
 from __future__ import annotations

@@ -225,6 +225,29 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], kind)).count() == 0
 
 
+def test_clashing_columns_and_empty_tables(spark, odd):
+    kind = ("record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, "
+            "slice int, site string, own string, last string, carried string, base string, outcome string, lines string")
+    rows = [(1, "http://a/x", 1, "response", "e" * 1_000_000, None, None, None, 1, *["c"] * 7), (2, "http://a/x", 2, "revisit", "e" * 1_000_000, None, None, None, 1, *["c"] * 7)]
+    got = revisits.resolve(spark.createDataFrame(rows, kind)).collect()
+    assert [(r.record_id, r.outcome, r.refers_to) for r in got] == [(2, "resolved", 1)]
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    clash = docs.select("*", *[F.lit("c").alias(c) for c in ("places", "turn", "label", "toxic", "class", "pattern", "n", "hash", "w", "block")])
+    model = toxicity.fit(docs, labels)
+    assert key(toxicity.score(clash, toxicity.fit(clash, labels)).collect()) == key(toxicity.score(docs, model).collect())
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert key(decontaminate.digest(decontaminate.contamination(clash, bench)).collect()) == key(decontaminate.digest(decontaminate.contamination(docs, bench)).collect())
+    assert decontaminate.digest(decontaminate.contamination(docs.limit(0), bench)).count() == 0
+    counts = personal.learn(clash)
+    assert key(personal.find(clash, counts).collect()) == key(personal.find(docs, personal.learn(docs)).collect())
+    assert key(mixture.shares(clash).collect()) == key(mixture.shares(docs).collect())
+    trusted = labels.where("quality = 1")
+    assert key(quality.judged(clash, trusted).collect()) == key(quality.judged(docs, trusted).collect())
+    assert key(language_model.score(clash, language_model.train(clash)).select("doc_id", "n_tokens", "n_known").collect()) == key(
+        language_model.score(docs, language_model.train(docs)).select("doc_id", "n_tokens", "n_known").collect())
+
+
 def test_html(spark):
     page = ("<html><head><title>t</title></head><body><nav>menu</nav><article><h1>Head</h1><p>A &amp; B <b>c</b><p>D"
             "<aside>side</aside><form>f</form></article><div class='comments'>hey</div><footer>foot</footer></body>")

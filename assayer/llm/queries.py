@@ -125,7 +125,33 @@ _CRC_TABLE = """tab AS (SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_redu
 _CRC = """xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda p: ('0x' || p)::BIGINT),
   lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
 ORACLES: dict[str, str] = {
+    # sets of shingles, links by counting shared ones, components by walking links from smaller ids
+    "op2_minhash_near_dedup": f"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORD}) AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM shared s JOIN sized a ON a.doc_id = u JOIN sized b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+walk(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.v, w.root FROM walk w JOIN ways b ON b.u = w.node WHERE w.root < b.v),
+least AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
+SELECT s.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, root = s.doc_id AS kept
+FROM split s JOIN least l ON l.node = s.doc_id LEFT JOIN sized z ON z.doc_id = s.doc_id""",
+    "op3_substring_dedup": f"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+window_ AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)),
+first_ AS (SELECT g, min(doc_id) AS m FROM window_ GROUP BY 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM window_ JOIN first_ USING (g) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM split),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS body FROM word ANTI JOIN covered USING (doc_id, k) GROUP BY 1),
+gone AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY 1)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
     # edits by a table over the turns from the last to the first: for each state ('', s, u, a) the least (cost, audit) of what follows.
     # An insertion leads to the state after it; a second one in a row, from s or '', to the one after that
     "op11_conversation_repair": f"""

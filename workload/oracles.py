@@ -884,3 +884,10 @@ path AS (SELECT l_orderkey, list_sum([CASE WHEN u[t + 1] THEN CASE WHEN u[(t + 2
   ELSE CASE WHEN u[(t + 1) % 4 + 1] THEN 3 ELSE 2 + t END END FOR t IN range(3)]) / 3.0 AS p FROM up),
 norm AS (SELECT 2.0 * (ln(255.0) + 0.5772156649015329) - 2.0 * 255.0 / 256.0 AS c)
 SELECT round(pow(2.0, -p / c), 9) AS score, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM path, norm GROUP BY 1"""
+ORACLES["written_findings"] = f"SELECT rule_id, n_findings, n_rows FROM ({ORACLES['findings_per_rule']})"
+ORACLES["loaded_profile_scores"] = ORACLES["completeness_scores"]
+ORACLES["recent_sample"] = ORACLES["most_recent_rows"]
+ORACLES["resolved_profiles"] = """
+SELECT 'given' AS "case", 'part' AS profile, false AS inferred, 'p_partkey' AS primary_key, 6::BIGINT AS n_columns, 0::BIGINT AS n_notes, (SELECT count(*) FROM part) AS n_rows
+UNION ALL SELECT 'bundled', 'creditcard_transactions', false, '', 31, 0, (SELECT count(*) FROM embeddings)
+UNION ALL SELECT 'inferred', 'uploaded_batch', true, 'c_custkey', (SELECT count(*) FROM (DESCRIBE customer)), 1, (SELECT count(*) FROM customer)"""

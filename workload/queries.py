@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import asdict
 from functools import reduce
 
 import numpy as np
@@ -32,13 +34,13 @@ from assayer.operators.thresholds import (
 from assayer.operators.uniqueness import KEY_RULE, UNIQUE_RULE, equal_rows, row_duplicate_counts, row_rule, uniqueness_entries
 from assayer.plans.audit import AuditConfig, audit_batch, score_with_fallback
 from assayer.plans.bundled import bundled_profiles
-from assayer.plans.inference import infer_profile, profile_table
+from assayer.plans.inference import infer_profile, profile_table, resolve_profile
 from assayer.plans.measure import Measurement, measure_rules
-from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile
-from assayer.session import scratch_path, settled, small_table
+from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile, load_profile
+from assayer.session import scratch_path, settled, small_table, write_text
 from assayer.sources.models import ModelBundle, calibration_scores, load_bundle, save_bundle
 from assayer.sources.reports import read_reports, read_top_issues, write_report
-from assayer.sources.tables import Contract, checked_contract, most_recent, read_reference_dir, read_table, write_tables
+from assayer.sources.tables import Contract, checked_contract, most_recent, read_reference_dir, read_table, write_recent_sample, write_tables
 from workload import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +372,15 @@ def report_top_issues(spark: SparkSession, folder: str) -> DataFrame:
     return read_top_issues(spark, _written_report(spark, folder)["issues"], 5)
 
 
+@query("written_findings")
+def written_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """All findings of an audit, written in a folder per rule and read again."""
+    audit = audit_batch(B.dirty_headers(spark, folder), B.HEADERS, {"customer": B.table(spark, folder, "customer")}, table="orders", order=["o_orderkey"],
+                        config=AuditConfig(use_model=False, today=B.TODAY))
+    found = spark.read.parquet(write_report(audit, scratch_path(spark), findings=True)["findings"])
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("row_key").alias("n_rows"))
+
+
 # --- profiles ---------------------------------------------------------------------------
 
 
@@ -383,6 +394,28 @@ def inferred_profile_orders(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile_table(spark, infer_profile(settled(B.dirty_headers(spark, folder)))))
 
 
+@query("loaded_profile_scores")
+def loaded_profile_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A profile written as JSON, read from the shared folder and applied."""
+    raw = asdict(B.HEADERS)
+    raw["cross_field_rules"], raw["dimension_weights"] = raw.pop("rules"), raw.pop("weights")
+    path = f"{scratch_path(spark)}/orders.json"
+    write_text(spark, path, json.dumps(raw))
+    df = B.dirty_headers(spark, folder)
+    return row_results(df, completeness_rules(df, load_profile(path, spark)))
+
+
+@query("resolved_profiles")
+def resolved_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Which profile a batch gets: the given one, a bundled one that fits its columns, or one inferred from its rows."""
+    rows = []
+    for case, df, given in (("given", B.table(spark, folder, "part"), B.PARTS), ("bundled", B.card_rows(spark, folder).drop(POSITION), None),
+                            ("inferred", B.table(spark, folder, "customer"), None)):
+        profile, notes = resolve_profile(df, given)
+        rows.append((case, profile.name, profile.inferred, ",".join(profile.primary_key), len(profile.columns), len(notes), df.count()))
+    return small_table(spark, rows, "case string, profile string, inferred boolean, primary_key string, n_columns bigint, n_notes bigint, n_rows bigint")
+
+
 @query("detected_profile")
 def detected_profile(spark: SparkSession, folder: str) -> DataFrame:
     rows = B.card_rows(spark, folder).drop("__position")
@@ -606,6 +639,14 @@ def most_recent_rows(spark: SparkSession, folder: str) -> DataFrame:
     return most_recent(df, "ts", 500, "event_id").select("event_id", "user_id", "event_type", "value")
 
 
+@query("recent_sample")
+def recent_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest rows, written as a sample and read again."""
+    path = scratch_path(spark)
+    write_recent_sample(B.table(spark, folder, "events"), path, "ts", 500, "event_id")
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "value")
+
+
 @query("source_contract")
 def source_contract(spark: SparkSession, folder: str) -> DataFrame:
     """A labelled source is accepted when its size and positives are as stated."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer.functions.coerce import column, missing
 from assayer.operators.identity import POSITION, ROW_KEY
-from assayer.operators.rules import Rule, RowRule, rule_counts
+from assayer.operators.rules import Rule, RowRule, listed, rule_counts
 from assayer.operators.skew import rows_of_groups
 from assayer.session import settled
 
@@ -161,16 +161,14 @@ def findings(rows: DataFrame, row_rules: Sequence[RowRule], entries: Sequence[En
               for i, e in used.items()]
     if not marks:
         marks = [F.lit(None).cast(f"struct<own: struct<{_typed(name)}>, cell: struct<{_typed(cell)}>>")]
-    # an outer explode: the inner one would evaluate all rules a second time in a filter below it
-    exploded = rows.select(F.lit(table).alias("table"), F.col(ROW_KEY).alias("row_key"), F.col(POSITION),
-                           F.explode_outer(F.array_compact(F.array(*marks))).alias("m")).filter(F.col("m").isNotNull())
+    exploded = listed(rows.select(F.lit(table).alias("table"), F.col(ROW_KEY).alias("row_key"), F.col(POSITION), F.array(*marks).alias("__marks")), "m")
     told = F.col("m.own")
     if used:
         exploded = rows_of_groups(
             exploded.select("table", "row_key", POSITION, F.col("m.own").alias("own"), "m.cell.*"),
             failing.filter(F.col("entry").isin(*used)), ["entry", "key", "value"], COPIES, total_rows * len(used), sure=F.col("own").isNotNull())
         members = [F.when((F.col("entry") == i) & (F.lit(True) if m.only is None else m.only), about(m.rule)) for i, e in used.items() for m in e.members]
-        exploded = exploded.select("table", "row_key", POSITION, F.explode(F.array_compact(F.array(F.col("own"), *members))).alias("one"))
+        exploded = listed(exploded.select("table", "row_key", POSITION, F.array(F.col("own"), *members).alias("__marks")), "one")
         told = F.col("one")
     return exploded.select("table", "row_key", *[told[c].alias(c) for c in ("column", "rule_id", "dimension")], POSITION)
 

@@ -241,3 +241,9 @@ def test_large_table_path_gives_the_same(tiny, tiny_profile, monkeypatch):
     monkeypatch.setattr(skew.rows_of_groups, "__defaults__", (1, None))
     assert found() == small
     assert dict((r[0], r[2]) for r in small[0])["expect_table_rows_to_be_unique"] == 2
+
+
+def test_findings_are_marked_by_compiled_rules(tiny, tiny_profile):
+    run = QualityRun(tiny.withColumn("quantity", F.col("quantity").cast("string")), tiny_profile)
+    plan = run.findings()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "lambda" not in plan  # a lambda over the marks interprets every rule

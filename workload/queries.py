@@ -39,7 +39,7 @@ from assayer.plans.measure import Measurement, measure_rules
 from assayer.plans.profile import ColumnSpec, CrossRule, Profile, detect_profile, load_profile
 from assayer.session import scratch_path, settled, small_table, write_text
 from assayer.sources.models import ModelBundle, calibration_scores, load_bundle, save_bundle
-from assayer.sources.reports import read_reports, read_top_issues, write_report
+from assayer.sources.reports import findings_by_rule, read_reports, read_top_issues, write_report
 from assayer.sources.tables import Contract, checked_contract, most_recent, read_reference_dir, read_table, write_recent_sample, write_tables
 from workload import bindings as B
 
@@ -378,7 +378,7 @@ def written_findings(spark: SparkSession, folder: str) -> DataFrame:
     audit = audit_batch(B.dirty_headers(spark, folder), B.HEADERS, {"customer": B.table(spark, folder, "customer")}, table="orders", order=["o_orderkey"],
                         config=AuditConfig(use_model=False, today=B.TODAY))
     found = spark.read.parquet(write_report(audit, scratch_path(spark), findings=True)["findings"])
-    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("row_key").alias("n_rows"))
+    return findings_by_rule(found)
 
 
 # --- profiles ---------------------------------------------------------------------------

@@ -209,8 +209,11 @@ class AutoencoderModel(Reconstruction):
 _ROUND = "worker int, rows bigint, loss double, val_rows bigint, val_loss double, steps bigint, state binary"
 _ROUND_ARROW = pa.schema([("worker", pa.int32()), ("rows", pa.int64()), ("loss", pa.float64()), ("val_rows", pa.int64()),
                           ("val_loss", pa.float64()), ("steps", pa.int64()), ("state", pa.binary())])
-#: Rows a worker holds at a time, and worker results that one task adds up.
-CHUNK_ROWS, SUMS_PER_TASK = 1 << 16, 16
+_BLOCK = f"worker int, slice int, at bigint, rows bigint, {FEATURES} binary, val binary"
+_BLOCK_ARROW = pa.schema([("worker", pa.int32()), ("slice", pa.int32()), ("at", pa.int64()), ("rows", pa.int64()), (FEATURES, pa.binary()),
+                          ("val", pa.binary())])
+#: Rows a worker holds at a time, worker results that one task adds up, and rows that one task puts in order.
+CHUNK_ROWS, SUMS_PER_TASK, SLICE_ROWS = 1 << 16, 16, 1 << 19
 
 
 class _Worker:
@@ -262,24 +265,19 @@ def _sums_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _round(state: _State, lr: float, config: AutoencoderConfig, sizes: list[int], turn: int):
-    """A round's work on sorted rows; a partition holds whole workers, one after the other."""
+    """A round's work on sorted blocks; a partition holds whole workers, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: _Worker | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            workers = batch.column("worker").to_numpy()
-            values = batch.column(FEATURES)
-            x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(batch.num_rows, -1)
-            held = batch.column("val").to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(workers)) + 1), batch.num_rows]
-            for a, b in zip(edges, edges[1:]):
-                if now is None or now.worker != workers[a]:
+            for i, worker in enumerate(batch.column("worker").to_pylist()):
+                if now is None or now.worker != worker:
                     if now is not None:
                         yield now.result()
-                    now = _Worker(int(workers[a]), state, lr, config, sizes, turn)
-                now.take(x[a:b], held[a:b])
+                    now = _Worker(worker, state, lr, config, sizes, turn)
+                rows = batch.column("rows")[i].as_py()
+                x = np.frombuffer(batch.column(FEATURES)[i].as_buffer(), np.float32).reshape(rows, -1)
+                now.take(x, np.frombuffer(batch.column("val")[i].as_buffer(), bool))
         if now is not None:
             yield now.result()
 
@@ -304,12 +302,37 @@ def _one_row(parts: DataFrame, workers: int) -> dict | None:
 
 
 def dealt_to_workers(df: DataFrame, config: AutoencoderConfig) -> DataFrame:
-    """(worker, features, val): each worker's rows in one partition, in an order of their own."""
+    """(worker, slice, at, rows, features, val): each worker's rows in one partition, in an order of their own.
+
+    Rows are put in order in slices of a worker, which follow each other in that order, and packed into blocks. Only blocks are then sorted for
+    the worker, so a task sorts about ``SLICE_ROWS`` rows, or a few numbers a row, whatever the size.
+    """
+    slices = max(1, -(-df.count() // (config.workers * SLICE_ROWS)))
     place = F.xxhash64(F.col(POSITION).cast("string"), F.lit(config.seed))
     held = uniform(F.col(POSITION).cast("string"), "held-out", config.seed) < config.val_fraction
     rows = df.select(FEATURES, held.alias("val"), place.alias("place"), F.col(POSITION).alias("at"))
     rows = rows.withColumn("worker", F.pmod("place", F.lit(config.workers)).cast("int"))
-    return rows.repartitionById(config.workers, F.col("worker")).sortWithinPartitions("worker", "place", "at").select("worker", FEATURES, "val")
+    share = F.floor((F.col("place").cast("double") / 2.0**64 + 0.5) * slices)  # rises with the place
+    rows = rows.withColumn("slice", F.least(share, F.lit(slices - 1)).cast("int"))
+    sliced = rows.repartitionById(config.workers * slices, F.col("worker") * slices + F.col("slice")).sortWithinPartitions("worker", "slice", "place", "at")
+    blocks = sliced.select("worker", "slice", FEATURES, "val").mapInArrow(_packed, _BLOCK)
+    return blocks.repartitionById(config.workers, F.col("worker")).sortWithinPartitions("worker", "slice", "at")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one slice's rows in their order: features and held-out marks as bytes."""
+    at = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        workers, slices = (batch.column(c).to_numpy() for c in ("worker", "slice"))
+        x = batch.column(FEATURES).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(batch.num_rows, -1)
+        held = batch.column("val").to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero((np.diff(workers) != 0) | (np.diff(slices) != 0)) + 1), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            values = [int(workers[a]), int(slices[a]), at, int(b - a), x[a:b].tobytes(), held[a:b].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK_ARROW)], schema=_BLOCK_ARROW)
+            at += 1
 
 
 def fit_autoencoder(df: DataFrame, width: int, config: AutoencoderConfig = AutoencoderConfig()) -> AutoencoderModel:

@@ -271,3 +271,14 @@ def test_train_compare_save_and_load(spark, tmp_path):
     assert calibration_scores(loaded, "autoencoder").count() == 400
     assert calibration_scores(loaded, "unknown") is None
     assert calibration_scores(ModelBundle(loaded.scaler, loaded.autoencoder), "autoencoder") is None
+
+
+def test_a_task_orders_slices_of_a_worker(spark, trained, monkeypatch):
+    from assayer.operators import reconstruct
+    df = vectors(spark, trained[0])
+    short = AutoencoderConfig(hidden=(16,), latent=4, batch_size=64, max_epochs=4, workers=3, passes=2)
+    whole = fit_autoencoder(df, 8, short)
+    monkeypatch.setattr(reconstruct, "SLICE_ROWS", 100)
+    sizes = reconstruct.dealt_to_workers(df, short).groupBy("worker", "slice").agg(F.sum("rows").alias("n")).collect()
+    assert len(sizes) == 30 and sum(r["n"] for r in sizes) == 3000 and max(r["n"] for r in sizes) < 200
+    assert np.array_equal(fit_autoencoder(df, 8, short).flat, whole.flat)

@@ -336,3 +336,14 @@ def test_pipeline(spark):
 def test_held_out_by_crc(spark):
     got = pairs(queries.op10_toxicity(spark, SF), "doc_id", "held_out")
     assert all(h == (zlib.crc32(str(d).encode()) % 5 == 0) for d, h in got)
+
+
+def test_pages_are_shuffled_once_and_packed(spark):
+    text = "".join(f"<p>{w} one two three four</p>" for w in ("red", "blue", "green") * 30)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<body>{text}<p>page {i % 7}</p>") for i in range(40)], "page_id long, url string, html string")
+    sent = html_text._parsed(pages, "page_id", "url", "html").select("host", "blocks").collect()
+    assert max(len(r.blocks) for r in sent if r.blocks) < len(text) // 10
+    found = html_text.main_text(pages)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMerge" not in plan and sorted(r.page_id for r in found.collect()) == list(range(40))
+    assert "Join Inner" not in plan  # texts are not moved a second time to meet their verdict

@@ -347,3 +347,55 @@ def test_pages_are_shuffled_once_and_packed(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "SortMerge" not in plan and sorted(r.page_id for r in found.collect()) == list(range(40))
     assert "Join Inner" not in plan  # texts are not moved a second time to meet their verdict
+
+
+def _shuffled(df):
+    """Bytes written by each exchange of a plan that has run; a reused one counts once."""
+    found = {}
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "ShuffleExchangeExec":
+            found[node.id()] = node.metrics().get("shuffleBytesWritten").get().value()
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sum(found.values())
+
+
+def test_html_groups_tell_runs_in_few_bytes(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"http://big/{i}", "<p>" + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000)) + " all pages end alike</p>") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    moved = []
+    for chars in (1 << 30, 200_000):  # one group, which tells nothing, and eight
+        found = html_text.main_text(pages, group_chars=chars)
+        assert [r.n_repeated for r in found.collect()] == [4] * 200
+        moved.append(_shuffled(found))
+    assert moved[1] - moved[0] < 3 * 200 * 3000  # 3 bytes a run, where a hash has 8
+
+
+def test_numbers_told_are_told_in_full():
+    rng = np.random.default_rng(6)
+    for n, width in ((1, 1), (1, 64), (7, 3), (60, 7), (70_000, 40), (70_000, 64), (3, 63)):
+        values = np.unique(rng.integers(0, (1 << width) - 1, n, dtype=np.uint64, endpoint=True))
+        coded = html_text._coded(values, width)
+        assert np.array_equal(html_text._decoded(coded), values)
+        assert len(coded) <= 18 + len(values) * (3 + max(0, width - math.log2(len(values)))) / 8
+    for n in (1, 2, 3, 4, 5, 9):
+        tokens, page = rng.integers(0, 3, 40).astype(np.uint64), np.sort(rng.integers(0, 6, 40))
+        runs = {}
+        for a in range(41 - n):
+            if page[a] == page[a + n - 1]:
+                runs.setdefault(tuple(tokens[a:a + n]), []).append(a)
+        want = np.zeros(40, bool)
+        for places in runs.values():
+            if len({page[a] for a in places}) > 1:
+                for a in places:
+                    want[a:a + n] = True
+        assert np.array_equal(html_text.repeated(tokens, page, n), want)

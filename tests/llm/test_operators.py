@@ -399,3 +399,15 @@ def test_numbers_told_are_told_in_full():
                 for a in places:
                     want[a:a + n] = True
         assert np.array_equal(html_text.repeated(tokens, page, n), want)
+
+
+def test_html_blocks_are_packed_against_a_dictionary(spark):
+    pages = spark.createDataFrame([(i, f"<nav>Home News Sport Weather</nav><article><p>Text {i} &eacute;</article>") for i in range(50)] + [(50, None), (51, "")],
+                                  "page_id long, html string")
+    heads = html_text._dictionary(pages, "html")
+    assert 0 < len(heads) <= html_text.DICTIONARY[0] * html_text.DICTIONARY[1] and html_text._dictionary(pages.limit(0), "html") == b""
+    for found in ([], [("Home News Sport Weather", False, True), ("Text é \x00", True, False), ("a", False, False), ("b", True, True)]):
+        for dictionary in (b"", heads):
+            assert html_text._unpack(html_text._pack(found, dictionary), dictionary) == found
+    page = html_text.blocks("<nav>Home News Sport Weather</nav><article><p>Text x")
+    assert len(html_text._pack(page, heads)) < 0.7 * len(html_text._pack(page))

@@ -282,3 +282,88 @@ def test_a_task_orders_slices_of_a_worker(spark, trained, monkeypatch):
     sizes = reconstruct.dealt_to_workers(df, short).groupBy("worker", "slice").agg(F.sum("rows").alias("n")).collect()
     assert len(sizes) == 30 and sum(r["n"] for r in sizes) == 3000 and max(r["n"] for r in sizes) < 200
     assert np.array_equal(fit_autoencoder(df, 8, short).flat, whole.flat)
+
+
+def counted_rounds(monkeypatch):
+    """(rows trained on, held-out rows) of every round that a fit runs."""
+    from assayer.operators import reconstruct
+    seen, plain = [], reconstruct._one_row
+
+    def counting(parts, workers):
+        row = plain(parts, workers)
+        seen.append((row["rows"], row["val_rows"]))
+        return row
+
+    monkeypatch.setattr(reconstruct, "_one_row", counting)
+    return seen
+
+
+def test_no_round_is_trained_that_cannot_change_the_model(spark, trained, monkeypatch):
+    df = vectors(spark, trained[0]).persist()
+    short = dict(hidden=(16,), latent=4, batch_size=64, lr=3e-3, workers=3, passes=2)
+    one = fit_autoencoder(df, 8, AutoencoderConfig(max_epochs=2, **short))
+    seen = counted_rounds(monkeypatch)
+    near = fit_autoencoder(df, 8, AutoencoderConfig(max_epochs=40, min_delta=5.0, **short))  # any loss is within it
+    assert [n > 0 for n, _ in seen] == [True, False] and near.best_epoch == 2 and near.history[0][2] < 5.0
+    assert np.array_equal(near.flat, one.flat)
+    for settings in (dict(max_epochs=8), dict(max_epochs=40, patience=4, min_delta=0.05)):
+        seen.clear()
+        model = fit_autoencoder(df, 8, AutoencoderConfig(**settings, **short))
+        assert sum(n > 0 for n, _ in seen) == len(model.history)  # none after the round that the last verdict is on
+        assert not np.isnan(model.history[-1][2]) and len({v for _, v in seen}) == 1
+    df.unpersist()
+
+
+def test_a_verdict_of_its_own_changes_nothing(spark, trained, monkeypatch):
+    df = vectors(spark, trained[0]).persist()
+    short = dict(hidden=(16,), latent=4, batch_size=64, lr=3e-3, workers=3, passes=2, max_epochs=8)
+    seen = counted_rounds(monkeypatch)
+    plain = fit_autoencoder(df, 8, AutoencoderConfig(patience=8, **short))
+    rounds = len(seen)
+    eager = fit_autoencoder(df, 8, AutoencoderConfig(patience=2, min_delta=1e-9, **short))  # every round may be the last
+    assert len(seen) - rounds > rounds and len(eager.history) == len(plain.history) == 4
+    assert np.array_equal(plain.flat, eager.flat) and plain.history == eager.history
+    df.unpersist()
+
+
+def test_fit_without_held_out_rows(spark, trained, monkeypatch):
+    seen = counted_rounds(monkeypatch)
+    model = fit_autoencoder(vectors(spark, trained[0][:300]), 8, AutoencoderConfig(max_epochs=3, passes=1, workers=2, batch_size=64, val_fraction=0.0))
+    assert [h[0] for h in model.history] == [1, 2, 3] and {v for _, v in seen} == {0} and all(n == 300 for n, _ in seen)
+
+
+def test_scores_of_lists_by_block(spark, trained, monkeypatch):
+    import pyarrow as pa
+    from assayer.operators import reconstruct
+    x, _, model = trained
+    got = {r["__position"]: r["score"] for r in model.score(vectors(spark, x)).collect()}
+    single = x.astype(np.float32).astype(np.float64)
+    want = ((model.rebuild(single) - single) ** 2).mean(axis=1)
+    assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-9, atol=0)
+    monkeypatch.setattr(reconstruct, "CACHED_ROWS", 7)
+    again = model.score(vectors(spark, x).repartition(2).filter("__position < 100"))
+    assert np.allclose([r["score"] for r in again.orderBy("__position").collect()], want[:100], rtol=1e-9, atol=0)
+    lists = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]], pa.list_(pa.float32()))
+    assert np.array_equal(reconstruct._flat_matrix(lists.slice(1)), [[3.0, np.nan], [5.0, 6.0]], equal_nan=True)
+    assert reconstruct._flat_matrix(lists.slice(3)).shape == (0, 0)
+
+
+def test_dealt_rows_leave_their_position_behind(spark, trained):
+    from assayer.operators import reconstruct
+    df = vectors(spark, trained[0]).withColumn("__position", F.struct(F.lit("a file").alias("file"), F.col("__position").alias("row")))
+    dealt = reconstruct.dealt_to_workers(df, AutoencoderConfig(workers=3))
+    node, moved = dealt._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size():
+        if "Repartition" in node.nodeName():
+            moved.append({node.output().apply(i).name() for i in range(node.output().size())})
+        node = node.children().head()
+    assert moved[1] == {"features", "val", "place", "tie"}  # before these rows are dealt out by the test's own repartition
+    assert dealt.agg(F.sum("rows")).first()[0] == 3000
+
+
+def test_draws_below_a_share(spark):
+    from assayer.functions.hashing import DRAW_RANGE, drawn_below, uniform
+    seen = spark.range(1, 2000).select(uniform(F.col("id"), "a", 7).alias("u")).first()["u"]
+    shares = [0.0, 1e-20, 0.1, 0.5, seen, seen + 1 / DRAW_RANGE, 0.999, 1.0, 2.0, -1.0]
+    tests = [F.count_if(drawn_below(s, F.col("id"), "a", 7) != (uniform(F.col("id"), "a", 7) < s)).alias(f"s{i}") for i, s in enumerate(shares)]
+    assert set(spark.range(1, 2000).agg(*tests).first()) == {0}

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.functions.hashing import drawn_below
 from assayer.operators.features import FEATURES
 from assayer.operators.identity import POSITION
+from assayer.session import batches_by_rows
 
 #: Rows scored at a time, so that the outputs of all layers stay in the processor's cache.
 CACHED_ROWS = 2048
@@ -368,7 +369,9 @@ def fit_autoencoder(df: DataFrame, width: int, config: AutoencoderConfig = Autoe
     """
     sizes = config.sizes(width)
     state = _initial(sizes, config.seed)
-    data = dealt_to_workers(df, config).persist()
+    with batches_by_rows(df.sparkSession, 4 * width + 64):
+        data = dealt_to_workers(df, config).persist()
+        data.count()  # deals the rows out
     lr, best_loss, best, best_epoch, waited, plateau, plateau_best = config.lr, float("inf"), state, 0, 0, 0, float("inf")
     history: list[tuple[int, float, float, float]] = []
     rounds, held = -(-config.max_epochs // config.passes), 0

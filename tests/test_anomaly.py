@@ -367,3 +367,37 @@ def test_draws_below_a_share(spark):
     shares = [0.0, 1e-20, 0.1, 0.5, seen, seen + 1 / DRAW_RANGE, 0.999, 1.0, 2.0, -1.0]
     tests = [F.count_if(drawn_below(s, F.col("id"), "a", 7) != (uniform(F.col("id"), "a", 7) < s)).alias(f"s{i}") for i, s in enumerate(shares)]
     assert set(spark.range(1, 2000).agg(*tests).first()) == {0}
+
+
+def test_batches_by_rows_only_where_the_byte_limit_cannot_bite(spark):
+    from assayer.session import BATCH_BYTES, BATCH_ROWS, batches_by_rows
+    kept, rows = spark.conf.get(BATCH_BYTES, None), spark.conf.get(BATCH_ROWS, None)
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        def inside(row_bytes):
+            with batches_by_rows(spark, row_bytes):
+                return spark.conf.get(BATCH_BYTES, None)
+
+        assert inside(80) == str(2**31 - 1) and inside(1 << 20) is None
+        with pytest.raises(ValueError), batches_by_rows(spark, 80):
+            raise ValueError
+        assert spark.conf.get(BATCH_BYTES, None) is None
+        spark.conf.set(BATCH_ROWS, "0")  # no limit of rows
+        assert inside(80) is None
+        spark.conf.unset(BATCH_ROWS)
+        spark.conf.set(BATCH_BYTES, "1000000")
+        assert inside(80) == spark.conf.get(BATCH_BYTES)
+        assert spark.conf.get(BATCH_BYTES).startswith("1000000")
+    finally:
+        for name, value in ((BATCH_BYTES, kept), (BATCH_ROWS, rows)):
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_rows_are_dealt_out_under_their_own_batches(spark, trained, monkeypatch):
+    from assayer.operators import reconstruct
+    from assayer.session import BATCH_BYTES
+    seen, plain, one = [], reconstruct.dealt_to_workers, reconstruct._one_row
+    monkeypatch.setattr(reconstruct, "dealt_to_workers", lambda *a: (seen.append(spark.conf.get(BATCH_BYTES, None)), plain(*a))[1])
+    monkeypatch.setattr(reconstruct, "_one_row", lambda *a: (seen.append(spark.conf.get(BATCH_BYTES, None)), one(*a))[1])
+    fit_autoencoder(vectors(spark, trained[0][:300]), 8, AutoencoderConfig(max_epochs=1, passes=1, workers=2))
+    assert seen[0] == str(2**31 - 1) and set(seen[1:]) == {None}  # blocks are large, rows are not
